@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .embedding_dedup import near_vectors
 from .fingerprints import fingerprints
 from .minhash_dedup import near_duplicates
+from .quality import quality_scores
 from .substring_dedup import remove_repeats
+from .toxicity import toxicity_scores
 from .url_filter import url_verdicts
 
 #: The rules of the URL query: host, path, action.
@@ -25,6 +27,14 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, URL_RULES)) + " AS r(host, path, action)")
     return url_verdicts(_table(spark, sf_dir, "pages", "page_id", "url"), rules)
@@ -45,6 +55,8 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_fingerprints": op9_fingerprints,

@@ -97,14 +97,15 @@ class Words(NamedTuple):
     bounds: np.ndarray
 
 
-def words_of(texts: Texts) -> Words:
+def words_of(texts: Texts, between: np.ndarray = SPACE) -> Words:
+    """Words by a table of the bytes that stand between them."""
     data, offsets = texts
     n = len(data)
     if not n:
         return Words(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64))
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
-    space = SPACE[data]
+    space = between[data]
     word = ~space
     before = np.empty(n, bool)
     before[0] = True
