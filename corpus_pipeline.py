@@ -4,23 +4,67 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerline.llm.minhash_dedup import drop_near_duplicates
+from ledgerline.llm.packing import pack
+from ledgerline.llm.quality import quality_scores
+from ledgerline.llm.storage import materialise
 from ledgerline.llm.substring_dedup import remove_repeats
+from ledgerline.llm.toxicity import toxicity_scores
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """All columns of the documents whose id is not in ``rejected``; documents without an id stay."""
+    gone = rejected.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject (score under 0.5)."""
+    scores = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, scores.where("predicted = 0"))
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier does not reject (score of 0.3 or more)."""
+    scores = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, materialise(scores.where("predicted = 1").select("doc_id")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group of near-duplicates."""
+    return drop_near_duplicates(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return remove_repeats(docs).select(*docs.columns)
+    """Documents without the passages that stand elsewhere too; ``n_chars`` follows the text."""
+    return remove_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in sequences of 4,096 tokens."""
+    return pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("substring_dedup", substring_dedup)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("packing", packing),
+]
 
-#: The stages train classifiers and tokenise with vocabulary files, which SQL cannot express.
+#: Two stages train classifiers and one tokenises by a vocabulary file, which SQL cannot express.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
