@@ -5,11 +5,16 @@ SuperMinHash walks, for each shingle, a random permutation of the registers: its
 at least j, so once a text's registers are all filled, no later round can change them: long texts stop after
 a round or two. Here all shingles of a slice of texts take a round together.
 
-With the defaults (21 bands of 3 registers) a pair at similarity 0.75 shares no band with probability 1e-5.
-Texts with equal shingle sets are one class, and only classes are banded. Members of a band's bucket are
-compared with one pivot of the bucket, so a group of n copies costs n comparisons and not n squared. Buckets
-that are still in several components then take 4, 16, 64 ... pivots, against members of other components
-only, until every pair of the bucket is joined or compared: no link between texts of a bucket is lost.
+With the defaults (28 bands of 4 registers) a pair at similarity 0.75 shares no band with probability 2e-5.
+Texts with equal shingle sets are one class, and only classes are banded. A group of n near copies must not cost
+n squared pairs, and yet no link may be lost that decides a component:
+
+1. Each member of a band's bucket is compared with one pivot of the bucket, which joins most of a group.
+2. Buckets that are still in several components compare members of different components only. Small ones
+   (up to 8 members) do so as pairs; larger ones in tiles of bounded size, the members outside the bucket's
+   main component against all. A tile pair works on signatures in memory, looks at each pair in the first band that
+   it shares, confirms on full sets what the signatures leave possible, and returns at most one link for
+   each component that it joins.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import bound_arrow, discard, materialise
+from .storage import bound_arrow, materialise
 from .textkit import mix, part, shingle_sets, slices, texts_of
 
 _EMPTY = np.uint64(2**64 - 1)
@@ -104,7 +109,80 @@ def _confirm(percent: int) -> Callable:
     return confirm
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bands: int = 21, rows: int = 3) -> DataFrame:
+def _signed(bands: int, rows: int):
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = texts_of(batch.column(1))
+            for i, j in slices(texts):
+                h, bounds = shingle_sets(part(texts, i, j))
+                short = (signatures(h, bounds, bands * rows) & np.uint64(0xFFFF)).astype(np.uint16)
+                sets = [h[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in short], pa.binary()), pa.array(sets, pa.binary())], ["rep", "signature", "elements"])
+
+    return signed
+
+
+class _Tile:
+    def __init__(self, rows: pa.StructArray, width: int):
+        self.ids = rows.field("rep").to_numpy(zero_copy_only=False)
+        self.group = rows.field("c").to_numpy(zero_copy_only=False)
+        self.signature = np.frombuffer(b"".join(rows.field("signature").to_pylist()), np.uint16).reshape(len(self.ids), width)
+        self.sets = [np.frombuffer(x, np.uint64) for x in rows.field("elements").to_pylist()]
+        self.sizes = np.fromiter(map(len, self.sets), np.int64, len(self.sets))
+
+
+def tile_links(a: _Tile, b: _Tile, own: bool, band: int, rows: int, percent: int, least: float = 0.5) -> list[tuple[int, int]]:
+    """Links between different components across two tiles, at most one for each two components that they join.
+
+    ``least`` is the share of equal registers below which a pair is not confirmed: for a pair at similarity 0.75
+    it is six standard deviations away. A pair that agrees in a band before ``band`` is left to that band's bucket."""
+    parent = {g: g for g in {*a.group.tolist(), *b.group.tolist()}}
+
+    def root(g: int) -> int:
+        while parent[g] != g:
+            g = parent[g]
+        return g
+
+    out = []
+    for x in range(len(a.ids)):
+        same = b.signature == a.signature[x]
+        likely = (same.sum(axis=1) >= least * same.shape[1]) & (100 * np.minimum(b.sizes, a.sizes[x]) >= percent * np.maximum(b.sizes, a.sizes[x])) & (b.group != a.group[x])
+        if own:
+            likely[: x + 1] = False
+        at = np.flatnonzero(likely)
+        if band and len(at):
+            at = at[~same[at, : band * rows].reshape(len(at), band, rows).all(axis=2).any(axis=1)]
+        mine = root(int(a.group[x]))
+        at = [y for y in at.tolist() if root(int(b.group[y])) != mine]
+        if not at:
+            continue
+        sizes = b.sizes[at]
+        flat = np.concatenate([b.sets[y] for y in at])
+        place = np.minimum(np.searchsorted(a.sets[x], flat), len(a.sets[x]) - 1)
+        shared = np.add.reduceat((a.sets[x][place] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+        for y, k, n in zip(at, shared.tolist(), sizes.tolist(), strict=True):
+            mine, other = root(int(a.group[x])), root(int(b.group[y]))
+            if mine != other and 100 * k >= percent * (len(a.sets[x]) + n - k):
+                parent[max(mine, other)] = min(mine, other)
+                out.append((int(a.ids[x]), int(b.ids[y])))
+    return out
+
+
+def _compare(rows: int, bands: int, percent: int):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for band, own, first, second in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                a = _Tile(first.values, bands * rows)
+                found = tile_links(a, a if own else _Tile(second.values, bands * rows), own, band, rows, percent)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    return compare
+
+
+_SMALL, _TILE = 8, 120_000
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bands: int = 28, rows: int = 4) -> DataFrame:
     """Group texts whose sets of lower-cased five-word shingles have ``100 * intersection >= percent * union``.
 
     Returns one row for each input row: ``id_col``, ``n_shingles``, ``component_id`` (the least id
@@ -118,36 +196,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     profiles = materialise(source.mapInArrow(_profile(bands, rows), "id long, n long, k1 long, k2 long, bands array<long>"))
     named = profiles.where("n > 0 AND id IS NOT NULL")
     classes = materialise(named.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
-    banded = classes.select("rep", "n", F.explode("bands").alias("key"))
+    banded = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot"), F.min_by("n", "rep").alias("pivot_n")).where("size > 1")
     members = materialise(banded.join(buckets, "key"))
     texts = materialise(source.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         sized = pairs.where(100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n"))
-        asked = materialise(sized.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
+        asked = sized.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
         own = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
         other = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-        rows_ = asked.join(own, "a").join(other, "b").select("a", "b", "ta", "tb")
-        out = materialise(rows_.mapInArrow(_confirm(percent), "a long, b long"))
-        discard(asked)
-        return out
-
-    links = verified(members.where(F.col("rep") != F.col("pivot")).select("rep", "n", "pivot", "pivot_n"))
-    pivots, closed = 1, 2  # one pivot settles a bucket of two
-    while True:
-        groups = components(links, "a", "b")
-        labelled = members.where(F.col("size") > closed).join(groups, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "size", F.coalesce("component", "rep").alias("c"))
-        split = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        still = materialise(labelled.join(split, "key"))
-        if still.isEmpty():
-            break
-        pivots = closed = pivots * 4
-        chosen = still.where(F.pmod(F.xxhash64("rep", "key"), F.col("size")) < pivots).select("key", F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("c").alias("pivot_c"))
-        more = verified(still.join(chosen, "key").where((F.col("c") != F.col("pivot_c")) & (F.col("rep") != F.col("pivot"))).select("rep", "n", "pivot", "pivot_n"))
-        discard(still)
-        links = materialise(links.unionByName(more))
-
+        return asked.join(own, "a").join(other, "b").select("a", "b", "ta", "tb").mapInArrow(_confirm(percent), "a long, b long")
+
+    links = materialise(verified(members.where(F.col("rep") != F.col("pivot")).select("rep", "n", "pivot", "pivot_n")))
+    groups = components(links, "a", "b")
+
+    # the members of buckets that are in several components; one pivot has settled a bucket of two
+    labelled = members.where("size > 2").join(groups, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", "n", "size", F.coalesce("component", "rep").alias("c"))
+    shares = labelled.groupBy("key", "c").count().groupBy("key").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("count", "c")).alias("main")).where("parts > 1")
+    split = materialise(labelled.join(shares.select("key", "main"), "key"))
+    small = split.where(F.col("size") <= _SMALL).select("key", "rep", "n", "c")
+    other = small.select("key", F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("c").alias("pivot_c"))
+    pairs = small.join(other, "key").where((F.col("rep") > F.col("pivot")) & (F.col("c") != F.col("pivot_c")))
+    more = materialise(verified(pairs))
+
+    large = split.where(F.col("size") > _SMALL).withColumn("minor", F.col("c") != F.col("main"))
+    weights = large.groupBy("key", "minor").agg(F.ceil(F.sum("n") / _TILE).cast("int").alias("tiles"))
+    dealt = large.join(weights, ["key", "minor"]).select("key", "band", "minor", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int").alias("sub"), "rep", "c")
+    ids = dealt.select(F.col("rep").alias("id")).distinct()
+    signed = texts.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "text").mapInArrow(_signed(bands, rows), "rep long, signature binary, elements binary")
+    tiles = materialise(dealt.join(signed, "rep").groupBy("key", "band", "minor", "sub").agg(F.collect_list(F.struct("rep", "c", "signature", "elements")).alias("rows")))
+    keys = tiles.select("key", "minor", "sub")
+    met = keys.where("minor").select("key", F.col("sub").alias("sub_a")).join(keys, "key").where("NOT minor OR sub >= sub_a")
+    first = tiles.where("minor").select("key", F.col("sub").alias("sub_a"), F.col("rows").alias("a"))
+    blocks = met.join(first, ["key", "sub_a"]).join(tiles.withColumnRenamed("rows", "b"), ["key", "minor", "sub"])
+    tiled = materialise(blocks.select("band", (F.col("minor") & (F.col("sub") == F.col("sub_a"))).alias("own"), "a", "b").mapInArrow(_compare(rows, bands, percent), "a long, b long"))
+
+    groups = components(links.unionByName(more).unionByName(tiled), "a", "b")
     found = classes.select("k1", "k2", "n", "rep").join(groups, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("found"))
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("found")).otherwise(F.col("id"))
     joined = profiles.select("id", "n", "k1", "k2").join(found, ["k1", "k2", "n"], "left")
