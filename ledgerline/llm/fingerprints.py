@@ -82,19 +82,19 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _previous(keys: DataFrame, parts: int) -> DataFrame:
-    """Each different (id, kid, h, n) with the one before it in descending order of id; before the first comes
+    """Each different (id, h, n) with the one before it in descending order of id; before the first comes
     the last. Ids are dealt by range; only the last of each range, one row a partition, meet in one task."""
     order = [F.col("id").desc_nulls_last(), F.col("h")]
     ranged = keys.distinct().repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
     ranged = materialise(ranged)
     own = W.partitionBy("part").orderBy(*order)
-    row = F.struct("kid", "h", "n")
+    row = F.struct("id", "h", "n")
     rowed = ranged.withColumn("before", F.lag(row).over(own)).withColumn("last", F.lead(F.lit(1)).over(own).isNull())
     rowed = materialise(rowed)
     ends = rowed.where("last").select("part", row.alias("end"))
     around = W.orderBy("part")
     ends = ends.select("part", F.coalesce(F.lag("end").over(around), F.last("end").over(around.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("end"))
-    return rowed.join(ends, "part").withColumn("p", F.coalesce("before", "end")).select("kid", "h", F.col("p.kid").alias("pkid"), F.col("p.h").alias("ph"), F.col("p.n").alias("pn"))
+    return rowed.join(ends, "part").withColumn("p", F.coalesce("before", "end")).select(F.col("id").alias("of_id"), F.col("h").alias("of_h"), F.col("p.id").alias("to_id"), F.col("p.h").alias("to_h"), F.col("p.n").alias("to_n"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,12 +109,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("-")).alias("kid"), F.xxhash64(text).alias("h"), text.alias("text"))
-    before = materialise(_previous(keyed.select("id", "kid", "h", F.length("text").alias("n")), parts))
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    before = materialise(_previous(keyed.select("id", "h", F.length("text").alias("n")), parts))
+    # both joins below read the same columns by the same keys, so the texts are shuffled once
     coded = keyed.withColumn("codes", bin_codes(F.col("text")))
-    heads = coded.join(before, ["kid", "h"]).select(F.col("pkid").alias("kid"), F.col("ph").alias("h"), F.expr("substring(text, 1, int(pn div 3))").alias("head"), F.col("codes").alias("next_codes")).dropDuplicates(["kid", "h"])
+    heads = coded.join(before, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("h") == F.col("of_h")))
+    heads = heads.select("to_id", "to_h", F.expr("substring(text, 1, int(to_n div 3))").alias("head"), F.col("codes").alias("next_codes")).dropDuplicates(["to_id", "to_h"])
     edited = F.concat(F.expr("substring(text, 1, length(text) - int(length(text) div 3))"), F.col("head"))
-    both = coded.join(heads, ["kid", "h"]).withColumn("edited", edited).withColumn("edited_codes", bin_codes(F.col("edited")))
+    both = coded.join(heads, F.col("id").eqNullSafe(F.col("to_id")) & (F.col("h") == F.col("to_h"))).withColumn("edited", edited).withColumn("edited_codes", bin_codes(F.col("edited")))
     return both.select(
         F.col("id").alias(id_col),
         F.length("text").cast("long").alias("n_chars"),
