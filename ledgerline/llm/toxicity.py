@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,20 +42,20 @@ def _hash_words(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return (word_hashes(data, words) & np.uint64(_BUCKETS - 1)).astype(np.int32), words.bounds
 
 
-def _function_buckets() -> dict[str, np.ndarray]:
-    out = {}
-    for lang, words in FUNCTION_WORDS.items():
-        out[lang] = _hash_words(texts_of(pa.array([" ".join(words)])))[0]
-    return out
+@lru_cache(maxsize=1)
+def _function_table() -> np.ndarray:
+    """For each bucket, one bit for each language that has a function word in it."""
+    table = np.zeros(_BUCKETS, np.uint8)
+    for i, words in enumerate(FUNCTION_WORDS.values()):
+        table[_hash_words(texts_of(pa.array([" ".join(words)])))[0]] |= np.uint8(1 << i)
+    return table
 
 
 def languages(buckets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """For each text the number of the language with most function words; ``len(FUNCTION_WORDS)`` for none."""
-    hits = []
-    for own in _function_buckets().values():
-        table = np.zeros(_BUCKETS, np.int8)
-        table[own] = 1
-        total = np.concatenate([[0], np.cumsum(table[buckets], dtype=np.int64)])
+    bits, hits = _function_table()[buckets], []
+    for i in range(len(FUNCTION_WORDS)):
+        total = np.concatenate([[0], np.cumsum((bits >> i) & 1, dtype=np.int64)])
         hits.append(total[bounds[1:]] - total[bounds[:-1]])
     hits = np.stack(hits)
     return np.where(hits.max(axis=0) > 0, hits.argmax(axis=0), len(FUNCTION_WORDS))
@@ -131,14 +132,13 @@ def train(buckets: np.ndarray, bounds: np.ndarray, y: np.ndarray, epochs: int =
     order = rng.permutation(n)
     back, own = order[: n // 5], order[n // 5 :]
     least = max(2, round(8e-4 * len(own)))
-    owner = np.repeat(np.arange(n), np.diff(bounds))
-    seen = np.unique(np.stack([owner.astype(np.int64), buckets.astype(np.int64)]), axis=1)
-    seen = seen[:, np.isin(seen[0], own)]
-    found, inverse = np.unique(seen[1], return_inverse=True)
-    toxic = np.bincount(inverse, weights=y[seen[0]], minlength=len(found))
-    total = np.bincount(inverse, minlength=len(found))
-    common = total >= least
-    found, toxic, total = found[common], toxic[common], total[common]
+    toxic, total = np.zeros(_BUCKETS), np.zeros(_BUCKETS)
+    for i in own.tolist():
+        seen = np.unique(buckets[bounds[i] : bounds[i + 1]])
+        total[seen] += 1
+        toxic[seen] += y[i]
+    found = np.flatnonzero(total >= least)
+    toxic, total = toxic[found], total[found]
     rows = np.zeros(_BUCKETS, np.int32)
     rows[found] = 1 + np.arange(len(found))
     p = max(y[own].sum(), 1.0)
@@ -187,8 +187,9 @@ def train(buckets: np.ndarray, bounds: np.ndarray, y: np.ndarray, epochs: int =
             net.embedding[touched] -= rate * g_embedding / (np.sqrt(squares[touched]) + 1e-8)
             net.embedding[0] = 0
     if n:
-        words, at = _ragged(buckets, bounds, np.arange(n))
-        z, lang = net.logits(words, at), languages(words, at)
+        parts = [_ragged(buckets, bounds, pick) for pick in np.array_split(np.arange(n), -(-n // batch))]
+        z = np.concatenate([net.logits(*p) for p in parts])
+        lang = np.concatenate([languages(*p) for p in parts])
         kept_back = np.isin(np.arange(n), back)
         for i in range(len(FUNCTION_WORDS) + 1):
             for chosen in (kept_back & (lang == i), kept_back, np.ones(n, bool)):
