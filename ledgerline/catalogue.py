@@ -1,6 +1,250 @@
-"""The registered queries over execution logs and document memory."""
+"""The registered queries over execution logs and document memory, with DuckDB SQL of the same results.
+
+The driver's tables stand in for the engine's own: orders and lineitem for runs and their events,
+conversations for a run log with its own sequence, documents and embeddings for memories, events for calls.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text, values
+from .functions.vector import cosine
+from .operators import audit, checks, memory, quota, results, runs
+from .sources.tables import pending, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: Calls allowed in a window, and its width, of the quota queries.
+LIMIT, WINDOW_MS = 2, 3 * 24 * 3600 * 1000
+RUN, NEEDLE, RECENT = 7, "en", 5
+
+
+def _numbered_lines(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+    return runs.numbered(lines, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+
+
+def _item() -> Column:
+    return F.struct("seq", F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), values.iso_time(F.col("l_shipdate")).alias("at"))
+
+
+def run_get(spark: SparkSession, sf: str) -> DataFrame:
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus", values.iso_time(F.col("o_orderdate")).alias("created_at"))
+    return runs.run(orders, RUN)
+
+
+def run_events_json(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.events_json(table(spark, sf, "orders"), _numbered_lines(spark, sf), "o_orderkey", "l_orderkey", _item(), F.col("seq").isNotNull())
+
+
+def event_seq_assign(spark: SparkSession, sf: str) -> DataFrame:
+    return _numbered_lines(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "seq")
+
+
+def next_seq(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.next_sequence(table(spark, sf, "conversations"), "conv_id", "turn")
+
+
+def next_seq_of_unknown_run(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.next_sequence_of(table(spark, sf, "conversations"), -1, "conv_id", "turn")
+
+
+def _attempts(spark: SparkSession, sf: str) -> DataFrame:
+    calls = table(spark, sf, "events").where(F.col("event_type").isin("purchase", "error"))
+    return calls.select("user_id", F.when(F.col("event_type") == "purchase", "ok").otherwise("failed").alias("status"), "ts", "event_id")
+
+
+def run_current_state(spark: SparkSession, sf: str) -> DataFrame:
+    every = table(spark, sf, "events").select("user_id").distinct()
+    first = runs.first_attempts(_attempts(spark, sf), "user_id", "ts", "event_id")
+    return every.join(first, "user_id", "left").select("user_id", F.coalesce("status", F.lit("running")).alias("status"), "event_id")
+
+
+def completion_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    late = runs.later_attempts(_attempts(spark, sf), "user_id", "ts", "event_id")
+    return late.select("user_id", "event_id", "status", "attempt", F.lit("INVALID_OPERATION").alias("error"))
+
+
+def search_text(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return memory.search_text(docs, NEEDLE, RECENT, "text", "doc_id", "doc_id")
+
+
+def search_text_escaped(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return docs.where(text.like_ignoring_case(F.col("text"), F.lit("%"))).select("doc_id")
+
+
+def search_text_accents(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return docs.where(text.contains_ignoring_case(F.col("text"), "É")).select("doc_id")
+
+
+def search_vector(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    query = vectors.orderBy("vec_id").first()["embedding"]
+    return memory.search_vector(vectors, query, memory.MOST, "embedding", "vec_id").select("vec_id", F.round("score", 6).alias("score"))
+
+
+def score_against_row(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of each vector against a query that is itself a table row."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    query = F.broadcast(vectors.orderBy("vec_id").limit(1).select(F.col("embedding").alias("query")))
+    return vectors.join(query, F.lit(True)).select("vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score"))
+
+
+def quota_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    calls = table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id")
+    out = quota.decisions(calls, ["user_id", "event_type"], "ts", "event_id", LIMIT, WINDOW_MS)
+    return out.select("event_id", "used", "allowed")
+
+
+def _catalogue(spark: SparkSession) -> DataFrame:
+    return spark.sql("SELECT * FROM VALUES ('view', 'web'), ('click', 'web'), ('purchase', 'shop'), ('error', 'ops') AS t(tool, owner)")
+
+
+def tool_owner_route(spark: SparkSession, sf: str) -> DataFrame:
+    calls = table(spark, sf, "events").select("event_id", F.col("event_type").alias("tool"))
+    return audit.routed(calls, _catalogue(spark)).select("event_id", "tool", "owner", F.when(F.col("owner").isNull(), "UNKNOWN_TOOL").alias("error"))
+
+
+def distinct_owners(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.owners(_catalogue(spark))
+
+
+def _journal(spark: SparkSession, sf: str) -> DataFrame:
+    calls = table(spark, sf, "events").select("user_id", F.col("event_type").alias("tool"), "ts", "event_id")
+    judged = quota.decisions(calls, ["user_id", "tool"], "ts", "event_id", LIMIT, WINDOW_MS).select("event_id", "allowed")
+    named = audit.routed(calls.join(judged, "event_id"), _catalogue(spark)).withColumn("subject", F.col("user_id").cast("string")).withColumnRenamed("ts", "at").withColumn("ended", F.col("at"))
+    error = audit.call_error(F.col("owner"), F.col("subject"), F.col("allowed"))
+    return audit.journal(named, error, "at", "ended")
+
+
+def audit_journal(spark: SparkSession, sf: str) -> DataFrame:
+    return _journal(spark, sf).select("at", "subject", "tool", "owner", "outcome", "error_code")
+
+
+def audit_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.rollup(_journal(spark, sf), "tool").select("tool", "outcome", "error_code", "calls")
+
+
+def fk_violations(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id")
+    return checks.orphans(docs, table(spark, sf, "labels"), "doc_id", "doc_id")
+
+
+def pk_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.repeated_keys(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+def enum_violations(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.outside(table(spark, sf, "events"), "event_type", ["view", "click", "purchase"]).select("event_id", "event_type")
+
+
+def null_violations(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.missing(table(spark, sf, "orders"), "o_orderkey", "o_orderstatus").select("o_orderkey")
+
+
+def range_violations(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.out_of_range(table(spark, sf, "lineitem"), "l_quantity", 1, 40).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+def migration_pending(spark: SparkSession, sf: str) -> DataFrame:
+    files = spark.sql("SELECT * FROM VALUES ('0001_runs.sql'), ('0002_memory.sql'), ('0003_runs_immutable.sql'), ('notes.md') AS t(file)")
+    known = files.where(text.is_migration(F.col("file"))).select("file", text.version_of(F.col("file")).alias("version"))
+    return pending(known, spark.sql("SELECT '0001' AS version"))
+
+
+def evidence_explode(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").select("conv_id", F.when(F.col("role") == "user", F.concat_ws("-", "conv_id", "turn")).alias("id"), F.col("text").alias("content"))
+    answers = turns.groupBy("conv_id").agg(F.collect_list(F.struct("id", "content")).alias("items"))
+    return results.evidence(answers, "items", "memory", "conv_id")
+
+
+def iso_timestamps(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", values.iso_time(F.col("ts")).alias("at"))
+
+
+def duration_ms(spark: SparkSession, sf: str) -> DataFrame:
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    return table(spark, sf, "events").select("event_id", values.duration_ms(start, F.col("ts")).alias("ms"))
+
+
+def result_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    calls = table(spark, sf, "events")
+    status = F.when(F.col("event_type") == "error", "failed").otherwise("ok")
+    data = F.when(F.col("value") > 10, F.col("value"))
+    code = F.when(F.col("event_type") == "error", results.error_code(status, F.lit("no such code"))).when(F.col("value") > 90, "INTERNAL")
+    return calls.select("event_id", results.breach(status, data, code).alias("breach"), code.alias("code"))
+
+
+def run_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations")
+    kind = F.when(F.col("turn") == 0, "run.created").when(F.col("turn") == 3, "run.completed").when(F.col("role") == "assistant", "output.validated").otherwise("worker.started")
+    events = turns.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("seq"), kind.alias("type"), F.lit('{"status":"ok"}').alias("payload"))
+    return runs.lifecycle(events)
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        run_get, run_events_json, event_seq_assign, next_seq, next_seq_of_unknown_run, run_current_state, completion_rejects, run_lifecycle,
+        search_text, search_text_escaped, search_text_accents, search_vector, score_against_row,
+        quota_decisions, tool_owner_route, distinct_owners, audit_journal, audit_rollup,
+        fk_violations, pk_duplicates, enum_violations, null_violations, range_violations, migration_pending,
+        evidence_explode, iso_timestamps, duration_ms, result_invariants,
+    )
+}
+
+_LINES = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) - 1)::INT AS seq FROM lineitem"
+_ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
+_ATTEMPTS = "SELECT user_id, event_id, ts, CASE WHEN event_type = 'purchase' THEN 'ok' ELSE 'failed' END AS status, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id))::INT AS attempt FROM events WHERE event_type IN ('purchase', 'error')"
+_TOOLS = "(VALUES ('view', 'web'), ('click', 'web'), ('purchase', 'shop'), ('error', 'ops')) t(tool, owner)"
+_QUOTA = f"""o AS (SELECT user_id, event_type, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT user_id, event_type, event_id, us, n, us AS start FROM o WHERE n = 1
+  UNION ALL SELECT o.user_id, o.event_type, o.event_id, o.us, o.n, CASE WHEN o.us - f.start >= {WINDOW_MS * 1000} THEN o.us ELSE f.start END FROM f JOIN o ON o.user_id = f.user_id AND o.event_type = f.event_type AND o.n = f.n + 1),
+q AS (SELECT event_id, (row_number() OVER (PARTITION BY user_id, event_type, start ORDER BY us, event_id))::INT AS used FROM f)"""
+_JOURNAL = f"""j AS (SELECT {_ISO.format("ts")} AS at, user_id::VARCHAR AS subject, event_type AS tool, owner,
+  CASE WHEN owner IS NULL THEN 'UNKNOWN_TOOL' WHEN used > {LIMIT} THEN 'QUOTA_EXCEEDED' END AS error_code FROM events JOIN q USING (event_id) LEFT JOIN (SELECT * FROM {_TOOLS}) ON tool = event_type)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "run_get": f"SELECT o_orderkey AS id, o_orderstatus, {_ISO.format('o_orderdate')} AS created_at FROM orders WHERE o_orderkey = {RUN}",
+    "run_events_json": f"""WITH e AS ({_LINES})
+SELECT o_orderkey, coalesce(to_json(list({{'seq': seq, 'line': l_linenumber, 'part': l_partkey, 'at': {_ISO.format('l_shipdate')}}} ORDER BY seq) FILTER (WHERE seq IS NOT NULL))::VARCHAR, '[]') AS value
+FROM orders LEFT JOIN e ON o_orderkey = l_orderkey GROUP BY o_orderkey""",
+    "event_seq_assign": f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, seq FROM ({_LINES})",
+    "next_seq": "SELECT conv_id, max(turn) + 1 AS next_seq FROM conversations GROUP BY conv_id",
+    "next_seq_of_unknown_run": "SELECT coalesce(max(turn) + 1, 0) AS next_seq FROM conversations WHERE conv_id = -1",
+    "run_current_state": f"SELECT user_id, coalesce(status, 'running') AS status, event_id FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN (SELECT * FROM ({_ATTEMPTS}) WHERE attempt = 1) USING (user_id)",
+    "completion_rejects": f"SELECT user_id, event_id, status, attempt, 'INVALID_OPERATION' AS error FROM ({_ATTEMPTS}) WHERE attempt > 1",
+    "run_lifecycle": """WITH e AS (SELECT conv_id AS run_id, turn AS seq, CASE WHEN turn = 0 THEN 'run.created' WHEN turn = 3 THEN 'run.completed' WHEN role = 'assistant' THEN 'output.validated' ELSE 'worker.started' END AS type FROM conversations),
+g AS (SELECT run_id, count(*) AS n_events, max(seq) AS last_seq, bool_or(type = 'output.validated') AS validated, min(CASE WHEN type = 'run.completed' THEN seq END) AS done FROM e GROUP BY run_id)
+SELECT run_id, CASE WHEN done IS NULL THEN 'running' ELSE 'ok' END AS status, n_events, validated, coalesce(last_seq > done, false) AS late_events FROM g""",
+    "search_text": f"SELECT doc_id, text, 1.0::DOUBLE AS score FROM documents WHERE contains(lower(text), lower('{NEEDLE}')) ORDER BY doc_id DESC LIMIT {RECENT}",
+    "search_text_escaped": r"SELECT doc_id FROM documents WHERE text ILIKE '%\%%' ESCAPE '\'",
+    "search_text_accents": "SELECT doc_id FROM documents WHERE contains(lower(text), lower('É'))",
+    "search_vector": f"""WITH q AS (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1)
+SELECT vec_id, round(score, 6) AS score FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) AS score FROM embeddings, q) ORDER BY score DESC, vec_id LIMIT {memory.MOST}""",
+    "score_against_row": """WITH q AS (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1)
+SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 6) AS score FROM embeddings, q""",
+    "quota_decisions": f"WITH RECURSIVE {_QUOTA} SELECT event_id, used, used <= {LIMIT} AS allowed FROM q",
+    "tool_owner_route": f"SELECT event_id, event_type AS tool, owner, CASE WHEN owner IS NULL THEN 'UNKNOWN_TOOL' END AS error FROM events LEFT JOIN {_TOOLS} ON tool = event_type",
+    "distinct_owners": f"SELECT DISTINCT owner FROM {_TOOLS}",
+    "audit_journal": f"WITH RECURSIVE {_QUOTA}, {_JOURNAL} SELECT "at", subject, tool, owner, CASE WHEN error_code IS NULL THEN 'ok' ELSE 'error' END AS outcome, error_code FROM j",
+    "audit_rollup": f"WITH RECURSIVE {_QUOTA}, {_JOURNAL} SELECT tool, CASE WHEN error_code IS NULL THEN 'ok' ELSE 'error' END AS outcome, error_code, count(*) AS calls FROM j GROUP BY ALL",
+    "fk_violations": "SELECT doc_id FROM documents WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
+    "pk_duplicates": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+    "enum_violations": "SELECT event_id, event_type FROM events WHERE event_type IS NULL OR event_type NOT IN ('view', 'click', 'purchase')",
+    "null_violations": "SELECT o_orderkey FROM orders WHERE o_orderkey IS NULL OR o_orderstatus IS NULL",
+    "range_violations": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE NOT (l_quantity BETWEEN 1 AND 40)",
+    "migration_pending": "SELECT file, substr(file, 1, 4) AS version FROM (VALUES ('0001_runs.sql'), ('0002_memory.sql'), ('0003_runs_immutable.sql'), ('notes.md')) t(file) WHERE regexp_matches(file, '^\\d{4}_[a-z0-9_]+\\.sql$') AND substr(file, 1, 4) NOT IN ('0001')".replace("\\\\", "\\"),
+    "evidence_explode": "SELECT conv_id, 'memory' AS source, conv_id || '-' || turn AS ref, text AS excerpt FROM conversations WHERE role = 'user'",
+    "iso_timestamps": f"SELECT event_id, {_ISO.format('ts')} AS at FROM events",
+    "duration_ms": "SELECT event_id, epoch_us(ts) // 1000 - epoch_us(TIMESTAMP '2024-01-01') // 1000 AS ms FROM events",
+    "result_invariants": """SELECT event_id, CASE WHEN event_type = 'error' THEN NULL WHEN value <= 10 OR value IS NULL OR value > 90 THEN 'status ok requires data and no error' END AS breach,
+  CASE WHEN event_type = 'error' THEN 'WORKER_FAILED' WHEN value > 90 THEN 'INTERNAL' END AS code FROM events""",
+}
