@@ -234,7 +234,7 @@ SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 6
     "quota_decisions": f"WITH RECURSIVE {_QUOTA} SELECT event_id, used, used <= {LIMIT} AS allowed FROM q",
     "tool_owner_route": f"SELECT event_id, event_type AS tool, owner, CASE WHEN owner IS NULL THEN 'UNKNOWN_TOOL' END AS error FROM events LEFT JOIN {_TOOLS} ON tool = event_type",
     "distinct_owners": f"SELECT DISTINCT owner FROM {_TOOLS}",
-    "audit_journal": f"WITH RECURSIVE {_QUOTA}, {_JOURNAL} SELECT "at", subject, tool, owner, CASE WHEN error_code IS NULL THEN 'ok' ELSE 'error' END AS outcome, error_code FROM j",
+    "audit_journal": f"WITH RECURSIVE {_QUOTA}, {_JOURNAL} SELECT j.at, subject, tool, owner, CASE WHEN error_code IS NULL THEN 'ok' ELSE 'error' END AS outcome, error_code FROM j",
     "audit_rollup": f"WITH RECURSIVE {_QUOTA}, {_JOURNAL} SELECT tool, CASE WHEN error_code IS NULL THEN 'ok' ELSE 'error' END AS outcome, error_code, count(*) AS calls FROM j GROUP BY ALL",
     "fk_violations": "SELECT doc_id FROM documents WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
     "pk_duplicates": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
