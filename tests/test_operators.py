@@ -1,0 +1,229 @@
+"""Contracts of the log, memory, quota, journal and envelope operators on small literal tables."""
+
+from __future__ import annotations
+
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerline.functions import text, values
+from ledgerline.functions.vector import cosine, has_dimension, literal
+from ledgerline.operators import audit, checks, memory, quota, results, runs
+from ledgerline.plans.operations import READS, Operation, OperationError, Operations
+from ledgerline.schemas import AUDIT, MEMORY, RUN, RUN_EVENT, RUN_STATUSES, result
+from ledgerline.sources import tables
+
+T0 = dt.datetime(2026, 1, 1)
+
+
+def at(ms: int) -> dt.datetime:
+    return T0 + dt.timedelta(milliseconds=ms)
+
+
+@pytest.fixture
+def run_rows(spark):
+    rows = [("r1", "memory", "recall", "{}", "running", None, T0, None), ("r2", "memory", "remember", "null", "running", None, T0, None)]
+    return spark.createDataFrame(rows, RUN)
+
+
+def test_created_runs(spark, run_rows):
+    asked = spark.createDataFrame([("memory", "recall", None)], "service string, tool string, input string")
+    row = runs.created(asked, F.lit(T0)).first()
+    assert (row.status, row.input, row.result, row.completed_at) == ("running", "null", None, None) and len(row.id) == 36
+
+
+def test_sequence_numbers(spark):
+    new = spark.createDataFrame([("a", "run.created", None, at(1)), ("a", "worker.started", '{"image":"x"}', at(2)), ("b", "run.created", None, at(3))], "run_id string, type string, payload string, at timestamp")
+    log = runs.appended(spark.createDataFrame([], RUN_EVENT), new, "at").select(*RUN_EVENT.names)
+    assert sorted((r.run_id, r.seq, r.payload) for r in log.collect()) == [("a", 0, "{}"), ("a", 1, '{"image":"x"}'), ("b", 0, "{}")]
+    more = runs.appended(log, new.limit(1), "at")
+    assert [(r.run_id, r.seq) for r in more.collect()] == [("a", 2)]
+    assert runs.next_sequence_of(log, "none").first()[0] == 0
+    assert runs.next_sequence_of(log, "a").first()[0] == 2
+
+
+def test_first_completion_wins(spark, run_rows):
+    tries = [("r1", "ok", '{"x":1}', at(5)), ("r1", "failed", "{}", at(6)), ("r9", "ok", "{}", at(7)), ("r2", "running", "{}", at(8)), ("r2", None, "{}", at(9))]
+    state, refused = runs.settle(run_rows, spark.createDataFrame(tries, "run_id string, status string, result string, at timestamp"), "at")
+    assert {r.id: (r.status, r.completed_at) for r in state.collect()} == {"r1": ("ok", at(5)), "r2": ("running", None)}
+    assert sorted((r.run_id, r.error) for r in refused.collect()) == [("r1", "INVALID_OPERATION"), ("r2", "INVALID_INPUT"), ("r2", "INVALID_INPUT"), ("r9", "NOT_FOUND")]
+
+
+def test_events_json(spark, run_rows):
+    events = spark.createDataFrame([("r1", 1, "worker.started", "{}", at(1)), ("r1", 0, "run.created", "{}", at(0))], RUN_EVENT)
+    out = {r.id: r.value for r in runs.events_json(run_rows, events, "id", "run_id", runs.event_item(), F.col("seq").isNotNull()).collect()}
+    assert out["r2"] == "[]"
+    assert [(e["seq"], e["at"]) for e in json.loads(out["r1"])] == [(0, "2026-01-01T00:00:00.000Z"), (1, "2026-01-01T00:00:00.001Z")]
+
+
+def test_lifecycle_allows_late_events_and_open_runs(spark):
+    events = [("a", 0, "run.created", "{}", T0), ("a", 1, "run.completed", '{"status":"failed"}', T0), ("a", 2, "worker.exited", "{}", T0), ("b", 0, "run.created", "{}", T0)]
+    out = {r.run_id: r for r in runs.lifecycle(spark.createDataFrame(events, RUN_EVENT)).collect()}
+    assert (out["a"].status, out["a"].late_events, out["b"].status) == ("failed", True, "running")
+
+
+@pytest.fixture
+def memories(spark):
+    rows = [("m1", "Deploy KEY 100%_x", ["ops"], [1.0, 0.0], at(1)), ("m2", "straße deploy", [], [0.0, 1.0], at(2)), ("m3", "back\\slash", [], None, at(3)), ("m4", "zero", [], [0.0, 0.0], at(4)), ("m5", "wide", [], [1.0, 0.0, 0.0], at(5))]
+    return spark.createDataFrame(rows, MEMORY)
+
+
+@pytest.mark.parametrize(("query", "found"), [("deploy", ["m2", "m1"]), ("100%_X", ["m1"]), ("%", ["m1"]), ("_", ["m1"]), ("\\", ["m3"]), ("ß", ["m2"]), ("nothing", []), ("", ["m5", "m4", "m3", "m2", "m1"])])
+def test_text_search(memories, query, found):
+    assert [r.id for r in memory.search_text(memories, query).collect()] == found
+    like = memories.where(text.like_ignoring_case(F.col("content"), F.lit(query)))
+    assert {r.id for r in like.collect()} == set(found)
+
+
+def test_vector_search_skips_and_ties(memories):
+    out = memory.search_vector(memories, [1.0, 0.0]).collect()
+    assert [(r.id, r.score) for r in out] == [("m1", 1.0), ("m2", 0.0), ("m4", 0.0)]
+    assert memory.search(memories, "ignored", [0.0, 1.0], 1).first().id == "m2"
+
+
+@pytest.mark.parametrize("limit", [0, 51, -1, 2.0, True])
+def test_limits(memories, limit):
+    with pytest.raises(ValueError, match="INVALID_INPUT"):
+        memory.search_text(memories, "a", limit)
+
+
+def test_limit_bounds(memories):
+    assert memory.search_text(memories, "", 1).count() == 1 and memory.search_text(memories, "", 50).count() == 5
+    with pytest.raises(ValueError):
+        memory.recall(memories, "")
+    assert memory.tagged(memories, "ops").count() == 1
+
+
+def test_inserts_are_checked(spark):
+    rows = [("a", None, None), ("", None, None), (None, None, None), ("b", ["t"], [1.0, 2.0]), ("c", [None], None), ("d", [], [1.0])]
+    items = spark.createDataFrame(rows, "content string, tags array<string>, embedding array<float>")
+    out = memory.inserted(items, 2, F.lit(T0)).collect()
+    assert [(r.content, r.tags) for r in out] == [("a", []), ("b", ["t"])]
+
+
+def _reference_quota(calls, limit, width):
+    windows, out = {}, {}
+    for key, ms, ident in sorted(calls, key=lambda c: (c[1], c[2])):
+        start, used = windows.get(key, (None, 0))
+        if start is None or ms - start >= width:
+            start, used = ms, 0
+        out[ident] = used < limit
+        windows[key] = start, used + (used < limit)
+    return out
+
+
+@pytest.mark.parametrize(("limit", "width"), [(2, 60_000), (1, 1000), (3, 7)])
+def test_quota_is_anchored(spark, limit, width):
+    import random
+
+    rng = random.Random(width)
+    calls = [(k, m, i) for i, (k, m) in enumerate((rng.choice("ab"), rng.choice([0, 1, 999, 1000, 1001, 1999, 2001, 59_999, 60_000, 60_001, rng.randrange(200_000)])) for _ in range(300))]
+    table = spark.createDataFrame([(k, at(m), i) for k, m, i in calls] + [("a", None, 9999)], "who string, at timestamp, call_id long")
+    out = {r.call_id: r.allowed for r in quota.decisions(table, ["who"], "at", "call_id", limit, width).collect()}
+    assert out.pop(9999) is False
+    assert out == _reference_quota(calls, limit, width)
+    assert quota.decisions(table, ["who"], "at", "call_id", 0, width).where("allowed").count() == 0
+
+
+def test_journal_records_refusals(spark):
+    calls = spark.createDataFrame([("u", "recall", at(0), at(12), True), ("u", "recall", at(1), at(1), False), (None, "recall", at(2), at(2), True), ("u", "dig", at(3), at(3), True)], "subject string, tool string, at timestamp, ended timestamp, allowed boolean")
+    named = audit.routed(calls, spark.createDataFrame([("recall", "memory")], "tool string, owner string"))
+    out = audit.journal(named, audit.call_error(F.col("owner"), F.col("subject"), F.col("allowed")), "at", "ended")
+    assert out.columns == AUDIT.names
+    rows = {r["at"][-4:-1]: (r.subject, r.outcome, r.error_code, r.duration_ms) for r in out.collect()}
+    assert rows == {"000": ("u", "ok", None, 12), "001": ("u", "error", "QUOTA_EXCEEDED", 0), "002": ("anonymous", "error", "UNAUTHENTICATED", 0), "003": ("u", "error", "UNKNOWN_TOOL", 0)}
+    assert audit.rollup(out).count() == 4
+
+
+def test_constraints(spark):
+    rows = spark.createDataFrame([(1, "ok", 5), (1, "odd", 0), (2, None, None), (None, "ok", 51)], "id int, status string, n int")
+    parents = spark.createDataFrame([(1,)], "id int")
+    assert [r.id for r in checks.orphans(rows, parents, "id", "id").collect()] == [2]
+    assert [(r.id, r.n) for r in checks.repeated_keys(rows, "id").collect()] == [(1, 2)]
+    assert checks.outside(rows, "status", RUN_STATUSES).count() == 2
+    assert checks.missing(rows, "id", "status").count() == 2
+    assert sorted(r.n for r in checks.out_of_range(rows, "n", 1, 50).collect()) == [0, 51]
+
+
+def test_envelope_rules(spark):
+    rows = [("ok", 1, None), ("ok", None, None), ("ok", 1, "INTERNAL"), ("failed", None, None), ("failed", None, "INTERNAL"), ("lost", 1, "INTERNAL")]
+    table = spark.createDataFrame(rows, "status string, data int, code string")
+    found = [r[0] is None for r in table.select(results.breach(F.col("status"), F.col("data"), F.col("code"))).collect()]
+    assert found == [True, False, False, False, True, False]
+    codes = spark.createDataFrame([("failed", "WORKER_TIMEOUT"), ("failed", "ODD"), ("needs_clarification", None), ("ok", None)], "status string, code string")
+    assert [r[0] for r in codes.select(results.error_code(F.col("status"), F.col("code"))).collect()] == ["WORKER_TIMEOUT", "WORKER_FAILED", "NEEDS_CLARIFICATION", None]
+    one = F.lit(1)
+    made = spark.range(1).select(results.envelope(F.lit("ok"), F.lit("x"), F.array().cast("array<struct<source:string,ref:string,excerpt:string>>"), F.lit("r"), one, one, one, F.lit(None).cast("string"), F.lit(None).cast("string")).alias("v"))
+    assert made.schema["v"].dataType.names == result(made.schema["v"].dataType["data"].dataType).names
+    assert json.loads(made.select(F.to_json("v")).first()[0])["data"] == "x"
+    assert spark.range(1).select(results.cost_breach(F.struct(F.lit(-1).alias("input_tokens"), F.lit(0).alias("output_tokens"), F.lit(0.0).alias("usd")))).first()[0]
+
+
+def test_evidence_needs_an_id(spark):
+    answers = spark.createDataFrame([(1, [("m1", "text"), (None, "x"), ("m2", None)])], "call int, items array<struct<id:string,content:string>>")
+    assert [(r.source, r.ref, r.excerpt) for r in results.evidence(answers, "items", "memory", "call").collect()] == [("memory", "m1", "text"), ("memory", "m2", None)]
+
+
+def test_scalar_functions(spark):
+    one = spark.range(1)
+
+    def value(column):
+        return one.select(column).first()[0]
+
+    assert value(text.container_name(F.lit("run/42"))) == "run-42"
+    assert value(text.service_variable(F.lit("memory"))) == "MEMORY_URL"
+    assert value(text.operation_of(F.lit("/v1/ops/runs.get"))) == "runs.get"
+    assert value(text.operation_of(F.lit("/v1/other"))) is None
+    assert value(text.bearer_token(F.lit("Bearer abc"))) == "abc"
+    assert value(text.token_subjects(F.lit("t1=alice; t2=bob;"))) == {"t1": "alice", "t2": "bob"}
+    assert value(text.most_placeholders(F.lit("SELECT $1, $12, $3"))) == 12
+    assert value(text.most_placeholders(F.lit("SELECT 1"))) == 0
+    assert value(text.spoken(F.lit("NOT_FOUND_YET"))) == "not found_yet"
+    assert value(values.valid_json(F.lit("{bad"))) is False
+    assert value(values.json_or_null(F.lit("null"))) is None
+    assert value(values.duration_ms(F.lit(T0), F.lit(at(1234)))) == 1234
+    assert value(cosine(literal([1, 0]), literal([1, 1]))) == pytest.approx(0.5**0.5)
+    assert value(cosine(literal([0, 0]), literal([1, 1]))) == 0.0
+    assert value(cosine(literal([1]), literal([1, 1]))) is None
+    assert value(has_dimension(literal([1, 2]), 2))
+
+
+def test_operations(spark, memories, run_rows):
+    known = {"memories": memories, "runs": run_rows, "run_events": spark.createDataFrame([], RUN_EVENT)}
+    assert [r.id for r in READS.execute("memory.search", known, query="deploy").collect()] == ["m2", "m1"]
+    assert READS.one("memory.search", known, query="x", embedding=[0.0, 1.0]).id == "m2"
+    assert READS.one("runs.get", known, run_id="r1").tool == "recall"
+    assert READS.one("runs.events", known, run_id="r1").value == "[]"
+    for name, given, code in [("nothing", {}, "NOT_FOUND"), ("runs.get", {"run_id": 5}, "INVALID_INPUT"), ("runs.get", {"odd": "x"}, "INVALID_INPUT"), ("runs.get", {}, "INVALID_INPUT"), ("memory.search", {"query": "a", "limit": 51}, "INVALID_INPUT")]:
+        with pytest.raises(OperationError) as e:
+            READS.execute(name, known, **given)
+        assert e.value.code == code
+    with pytest.raises(OperationError, match="NOT_FOUND"):
+        READS.one("runs.get", known, run_id="none")
+    assert set(READS.only("runs.get").known) == {"runs.get"}
+    with pytest.raises(ValueError):
+        Operation("x", {"a": str}, [("a", lambda t: t)])
+    with pytest.raises(ValueError):
+        Operations(*READS.known.values(), READS.known["runs.get"])
+
+
+def test_logs_files_and_ledger(spark, tmp_path, memories):
+    path = str(tmp_path / "memories")
+    assert tables.log(spark, path, MEMORY).count() == 0
+    tables.append(memories, path, MEMORY)
+    tables.append(memories.limit(1), path, MEMORY)
+    assert tables.log(spark, path, MEMORY).count() == 6
+    for name in ("0002_b.sql", "0001_a.sql", "note.md", "1_bad.sql"):
+        (tmp_path / "m").mkdir(exist_ok=True)
+        (tmp_path / "m" / name).write_text(" SELECT 1 \n")
+    files = tables.migration_files(spark, str(tmp_path / "m"))
+    assert [r.file for r in files.collect()] == ["0001_a.sql", "0002_b.sql"]
+    assert [r.file for r in tables.pending(files, spark.createDataFrame([("0001",)], "version string")).collect()] == ["0002_b.sql"]
+    assert {r.statement.strip() for r in tables.statements(spark, str(tmp_path / "m")).collect()} == {"SELECT 1"}
+    tables.write_json_lines(memories.select("id", "embedding"), str(tmp_path / "lines"))
+    lines = [json.loads(x.value) for x in spark.read.text(str(tmp_path / "lines")).collect()]
+    assert "embedding" not in next(x for x in lines if x["id"] == "m3")
+    tables.register({"mem": memories})
+    assert spark.sql("SELECT * FROM mem WHERE id = :id", args={"id": "m1' OR 1=1"}).count() == 0
