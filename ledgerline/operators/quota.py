@@ -1,17 +1,31 @@
-"""Fixed-window quotas anchored at calls: a window begins at the first call that finds none open."""
+"""Fixed-window quotas anchored at calls: a window begins at the first call that finds none open.
+
+Where a window begins depends on all calls of its key before it, yet no task holds a key's calls together. Time is
+cut into slices of ``SLICE`` windows. A slice's effect is a small step function from the time at which the open
+window ends to the start of the window that is open afterwards; most entries meet in the same chain, so it
+has few steps. A key's steps are folded in order, one row a slice, and each slice then knows the window that
+it begins in.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+SLICE = 16
+
 
-def window_starts(times: np.ndarray, width: int) -> np.ndarray:
-    """Of ascending times, the start of the window that each falls in; one jump for each window."""
+def window_starts(times: np.ndarray, width: int, start: int | None = None) -> np.ndarray:
+    """Of ascending times, the start of the window that each falls in, after one that began at ``start``."""
     out, i = np.empty_like(times), 0
+    if start is not None:
+        i = int(np.searchsorted(times, start + width))
+        out[:i] = start
     while i < len(times):
         j = int(np.searchsorted(times, times[i] + width))
         out[i:j] = times[i]
@@ -19,30 +33,60 @@ def window_starts(times: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _steps(width: int) -> Callable:
+    def steps(table: pa.Table) -> pa.Table:
+        times = np.sort(table.column("_us").to_numpy())
+        n, first = len(times), int(table.column("_slice")[0].as_py()) * SLICE * width
+        after, last = np.searchsorted(times, times + width), np.arange(n)
+        for _ in range(SLICE):
+            hop = after[last]
+            last = np.where(hop < n, hop, last)
+        # the open window began before the slice, so the next begins within the first width or at the call after it
+        entries = min(n, int(np.searchsorted(times, first + width)) + 1)
+        leave = times[last[:entries]]
+        keep = np.append(leave[1:] != leave[:-1], True)
+        return pa.table({"_key": table.column("_key")[:1], "_slice": table.column("_slice")[:1], "until": pa.array([times[:entries][keep].tolist()], pa.list_(pa.int64())), "leave": pa.array([leave[keep].tolist()], pa.list_(pa.int64()))})
+
+    return steps
+
+
+def _chain(width: int) -> Callable:
+    def chain(table: pa.Table) -> pa.Table:
+        table, start, entered = table.sort_by("_slice"), None, []
+        for until, leave in zip(table.column("until").to_pylist(), table.column("leave").to_pylist(), strict=True):
+            entered.append(start)
+            at = 0 if start is None else int(np.searchsorted(until, start + width))
+            start = leave[at] if at < len(leave) else start
+        return pa.table({"_key": table.column("_key"), "_slice": table.column("_slice"), "_entered": pa.array(entered, pa.int64())})
+
+    return chain
+
+
+def _assign(width: int) -> Callable:
+    def assign(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_us")
+        starts = window_starts(table.column("_us").to_numpy(), width, table.column("_entered")[0].as_py())
+        return table.drop_columns(["_slice", "_entered"]).append_column("_start", pa.array(starts, pa.int64()))
+
+    return assign
+
+
 def decisions(calls: DataFrame, keys: list[str], at: str, ident: str, limit: int, window_ms: int) -> DataFrame:
     """Each call with ``window_start``, ``used`` (calls of its window so far, this one included) and ``allowed``.
 
     A window is half-open: a call exactly ``window_ms`` after its start begins the next. Denied calls neither use nor
-    move a window. Calls at one time go by ``ident``. A gap of a window's width always ends a window, so a key's
-    calls are cut at such gaps and each stretch is folded alone: a busy key is as many groups as it has pauses.
-    Calls without a time are denied; keys may be null and count as one key."""
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    move a window. Calls at one time go by ``ident``. Calls without a time are denied; keys may be null and count
+    as one key."""
     width = window_ms * 1000
-    ordered = W.partitionBy(*keys).orderBy("_us", ident)
-    timed = calls.withColumn("_us", micros)
-    begins = F.coalesce(F.col("_us") - F.lag("_us").over(ordered) >= width, F.lit(True))
-    stretched = timed.where("_us IS NOT NULL").withColumn("_begins", begins.cast("int")).withColumn("_stretch", F.sum("_begins").over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow)))
-
-    def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("_us", "ascending"), (ident, "ascending")])
-        starts = window_starts(table.column("_us").to_numpy(), width)
-        return table.append_column("_start", pa.array(starts, pa.int64()))
-
-    kept = stretched.select(*keys, ident, "_us", "_stretch")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    folded = kept.groupBy(*keys, "_stretch").applyInArrow(fold, f"{fields}, _start long")
-    used = F.row_number().over(W.partitionBy(*keys, "_start").orderBy("_us", ident))
-    judged = folded.select(*keys, ident, F.timestamp_micros("_start").alias("window_start"), used.alias("used"))
+    timed = calls.select(*keys, ident, F.unix_micros(F.col(at).cast("timestamp")).alias("_us"), F.to_json(F.struct(*keys)).alias("_key"))
+    sliced = timed.where("_us IS NOT NULL").withColumn("_slice", F.floor(F.col("_us") / F.lit(SLICE * width)))
+    effects = sliced.select("_key", "_slice", "_us").groupBy("_key", "_slice").applyInArrow(_steps(width), "_key string, _slice long, until array<long>, leave array<long>")
+    entered = effects.groupBy("_key").applyInArrow(_chain(width), "_key string, _slice long, _entered long")
+    met = sliced.join(entered, ["_key", "_slice"])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema if f.name not in ("_slice", "_entered"))
+    placed = met.groupBy("_key", "_slice").applyInArrow(_assign(width), f"{fields}, _start long")
+    used = F.row_number().over(W.partitionBy("_key", "_start").orderBy("_us", ident))
+    judged = placed.select(*keys, ident, F.timestamp_micros("_start").alias("window_start"), used.alias("used"))
     judged = judged.withColumn("allowed", F.col("used") <= limit)
     late = timed.where("_us IS NULL").select(*keys, ident, F.lit(None).cast("timestamp").alias("window_start"), F.lit(None).cast("int").alias("used"), F.lit(False).alias("allowed"))
     return judged.unionByName(late)
