@@ -182,6 +182,32 @@ def result_invariants(spark: SparkSession, sf: str) -> DataFrame:
     return calls.select("event_id", results.breach(status, data, code).alias("breach"), code.alias("code"))
 
 
+def container_names(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", text.container_name(F.col("url")).alias("name"))
+
+
+def service_variables(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("source").distinct().select("source", text.service_variable(F.col("source")).alias("variable"))
+
+
+def call_properties(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the properties of a call are JSON; a brace too many spoils some."""
+    props = F.concat_ws("", F.col("props"), F.when(F.col("event_id") % 7 == 0, "}"))
+    return table(spark, sf, "events").select("event_id", values.valid_json(props).alias("valid"))
+
+
+def recall_envelopes(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of the recall tool, one a language, as JSON envelopes: found memories are data and evidence."""
+    docs = table(spark, sf, "documents").where(text.contains_ignoring_case(F.col("text"), "%"))
+    item = F.struct(F.col("doc_id").alias("id"), F.length("text").alias("size"))
+    found = docs.groupBy("lang").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    seen = F.transform("items", lambda i: F.struct(F.lit("memory").alias("source"), i["id"].cast("string").alias("ref"), F.lit(None).cast("string").alias("excerpt")))
+    none = F.lit(None).cast("string")
+    zero = F.lit(0)
+    value = results.envelope(F.lit("ok"), F.col("items"), seen, F.col("lang"), zero, zero, zero, none, none)
+    return found.select("lang", F.to_json(value).alias("answer"))
+
+
 def run_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations")
     kind = F.when(F.col("turn") == 0, "run.created").when(F.col("turn") == 3, "run.completed").when(F.col("role") == "assistant", "output.validated").otherwise("worker.started")
@@ -196,6 +222,7 @@ QUERIES: dict[str, Query] = {
         search_text, search_text_escaped, search_text_accents, search_vector, score_against_row,
         quota_decisions, tool_owner_route, distinct_owners, audit_journal, audit_rollup,
         fk_violations, pk_duplicates, enum_violations, null_violations, range_violations, migration_pending,
+        container_names, service_variables, call_properties, recall_envelopes,
         evidence_explode, iso_timestamps, duration_ms, result_invariants,
     )
 }
@@ -243,6 +270,11 @@ SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 6
     "range_violations": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE NOT (l_quantity BETWEEN 1 AND 40)",
     "migration_pending": "SELECT file, substr(file, 1, 4) AS version FROM (VALUES ('0001_runs.sql'), ('0002_memory.sql'), ('0003_runs_immutable.sql'), ('notes.md')) t(file) WHERE regexp_matches(file, '^\\d{4}_[a-z0-9_]+\\.sql$') AND substr(file, 1, 4) NOT IN ('0001')".replace("\\\\", "\\"),
     "evidence_explode": "SELECT conv_id, 'memory' AS source, conv_id || '-' || turn AS ref, text AS excerpt FROM conversations WHERE role = 'user'",
+    "container_names": "SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_.-]', '-', 'g') AS name FROM pages",
+    "service_variables": "SELECT DISTINCT source, upper(source) || '_URL' AS variable FROM documents",
+    "call_properties": "SELECT event_id, json_valid(props || CASE WHEN event_id % 7 = 0 THEN '}' ELSE '' END) AS valid FROM events",
+    "recall_envelopes": """WITH m AS (SELECT lang, doc_id, length(text) AS size FROM documents WHERE contains(lower(text), '%'))
+SELECT lang, to_json({'status': 'ok', 'data': list({'id': doc_id, 'size': size} ORDER BY doc_id), 'evidence': list({'source': 'memory', 'ref': doc_id::VARCHAR} ORDER BY doc_id), 'run_id': lang, 'cost': {'input_tokens': 0, 'output_tokens': 0, 'usd': 0.0}})::VARCHAR AS answer FROM m GROUP BY lang""",
     "iso_timestamps": f"SELECT event_id, {_ISO.format('ts')} AS at FROM events",
     "duration_ms": "SELECT event_id, epoch_us(ts) // 1000 - epoch_us(TIMESTAMP '2024-01-01') // 1000 AS ms FROM events",
     "result_invariants": """SELECT event_id, CASE WHEN event_type = 'error' THEN NULL WHEN value <= 10 OR value IS NULL OR value > 90 THEN 'status ok requires data and no error' END AS breach,

@@ -22,7 +22,12 @@ def json_or_null(text: Column) -> Column:
 
 
 def valid_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+    """Whether the whole text is one JSON value. The parser stops after the first value, so the text is also
+    parsed inside an array and inside an object: what follows a value breaks one of the two."""
+    listed = F.concat(F.lit("["), text, F.lit("]"))
+    named = F.concat(F.lit('{"v":'), text, F.lit("}"))
+    whole = F.try_parse_json(listed).isNotNull() & F.try_parse_json(named).isNotNull()
+    return F.when(text.isNotNull(), whole & F.coalesce(F.json_array_length(listed) == 1, F.lit(False)))
 
 
 def ordered_json(items: Column) -> Column:

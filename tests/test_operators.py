@@ -181,7 +181,11 @@ def test_scalar_functions(spark):
     assert value(text.most_placeholders(F.lit("SELECT $1, $12, $3"))) == 12
     assert value(text.most_placeholders(F.lit("SELECT 1"))) == 0
     assert value(text.spoken(F.lit("NOT_FOUND_YET"))) == "not found_yet"
-    assert value(values.valid_json(F.lit("{bad"))) is False
+    for bad in ("{bad", '{"a":1}}', "1,2", "1] [2", '1} {"a":2', '1,"b":2', ""):
+        assert value(values.valid_json(F.lit(bad))) is False
+    for good in ('{"a":[1,null]}', " 1 ", "null", '"x"', "[]"):
+        assert value(values.valid_json(F.lit(good))) is True
+    assert value(values.valid_json(F.lit(None).cast("string"))) is None
     assert value(values.json_or_null(F.lit("null"))) is None
     assert value(values.duration_ms(F.lit(T0), F.lit(at(1234)))) == 1234
     assert value(cosine(literal([1, 0]), literal([1, 1]))) == pytest.approx(0.5**0.5)
