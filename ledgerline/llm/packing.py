@@ -8,17 +8,18 @@ by their rank in that length, a sequence and an offset; documents take these slo
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .storage import bound_arrow, materialise
+from .token_counts import counter
 from .vocabulary import Memory, read
 
 _SLOTS_AT_ONCE, _RANK_GROUP = 100_000, 50_000
@@ -86,41 +87,51 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return lines
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(text: str):
-    from tokenizers import Tokenizer
+class _Words:
+    """The ids of words as little-endian bytes, remembered in bounded memory; new ones are merged many at once."""
+
+    def __init__(self, text: str):
+        self.merging = counter(text)
+        self.known = Memory(lambda w: self.merging.ids([w])[0], most=300_000)
 
-    found = Tokenizer.from_str(text)
-    found.no_truncation()
-    found.no_padding()
+    def learn(self, words: list[str], at_once: int = 20_000) -> None:
+        for i in range(0, len(words), at_once):
+            some = [w for w in words[i : i + at_once] if len(w) <= self.known.longest]
+            for w, ids in zip(some, self.merging.ids(some), strict=True):
+                self.known.keep(w, ids)
 
-    def ids(chunk: str) -> bytes:
-        return np.array(found.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    return Memory(ids, most=300_000)
+@lru_cache(maxsize=2)
+def _words(text: str) -> _Words:
+    return _Words(text)
 
 
 def _cut(tokenizer: str, capacity: int, end: int, with_ids: bool):
     names = ["id", "piece", "start", "length", "crc", *["ids"] * with_ids]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, last, step = _tokenizer(tokenizer), end.to_bytes(4, "little"), 4 * capacity
+        words, last, step = _words(tokenizer), end.to_bytes(4, "little"), 4 * capacity
+        find = words.known.__getitem__
         for batch in batches:
-            rows, piece, start, length, crc, kept = [], [], [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
+            for i in range(0, batch.num_rows, 256):
+                some = batch.slice(i, 256)
                 # the vocabulary drops white space, so no token crosses a space or line end
-                ids = b"".join(map(known.__getitem__, (text or "").replace("\n", " ").split(" "))) + last
-                for i, at in enumerate(range(0, len(ids), step)):
-                    own = ids[at : at + step]
-                    rows.append(row)
-                    piece.append(i)
-                    start.append(at // 4)
-                    length.append(len(own) // 4)
-                    crc.append(zlib.crc32(own))
-                    if with_ids:
-                        kept.append(own)
-            ids_ = [pa.array(kept, pa.binary())] if with_ids else []
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *ids_], names)
+                cut_texts = [(t or "").replace("\n", " ").split(" ") for t in some.column(1).to_pylist()]
+                words.learn(words.known.unknown(itertools.chain.from_iterable(cut_texts)))
+                rows, piece, start, length, crc, kept = [], [], [], [], [], []
+                for row, own in enumerate(cut_texts):
+                    ids = b"".join(map(find, own)) + last
+                    for k, at in enumerate(range(0, len(ids), step)):
+                        part = ids[at : at + step]
+                        rows.append(row)
+                        piece.append(k)
+                        start.append(at // 4)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                        if with_ids:
+                            kept.append(part)
+                ids_ = [pa.array(kept, pa.binary())] if with_ids else []
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *ids_], names)
 
     return cut
 

@@ -22,6 +22,7 @@ from .vocabulary import Memory, Vocabulary, read, vocabulary
 
 # Fixed value: the pattern of word pre-tokens, white space as in Unicode's property.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+_STOPS = set(".,;:!?")
 _NONE = np.int32(2**31 - 1)
 
 
@@ -47,18 +48,19 @@ class Counter:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.order[at], _NONE)
 
-    def pre_tokens(self, chunk: str) -> tuple[list[bytes], int]:
-        """The pre-tokens of a chunk of text, and the number of its special tokens."""
-        out, special = [], 0
-        for piece, known in self.vocab.segments(chunk):
-            if known is not None:
-                special += 1
-            elif piece:
-                out += map(str.encode, PRE_TOKEN.findall(lower(unicodedata.normalize("NFC", piece) if not piece.isascii() else piece)))
-        return out, special
-
-    def merged_sizes(self, words: list[bytes]) -> np.ndarray:
-        """The number of symbols that each pre-token ends with."""
+    def pre_tokens(self, piece: str) -> list[bytes]:
+        """The pre-tokens of text without special tokens."""
+        if piece.isascii():
+            if piece.isalpha():
+                return [piece.lower().encode()]
+            if piece[-1:] in _STOPS and piece[:-1].isalpha():
+                return [piece[:-1].lower().encode(), piece[-1:].encode()]
+        else:
+            piece = unicodedata.normalize("NFC", piece)
+        return [w.encode() for w in PRE_TOKEN.findall(lower(piece))]
+
+    def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols that pre-tokens end with, one after the other, and how many each has."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         raw = np.frombuffer(b"".join(words), np.uint8)
         symbols, ends = self.inner[raw], np.cumsum(sizes) - 1
@@ -67,15 +69,16 @@ class Counter:
         rank = np.full(len(symbols), _NONE)
         inside = np.flatnonzero(owner[1:] == owner[:-1])
         rank[inside] = self.ranks(symbols[inside], symbols[inside + 1])
-        done = sizes.copy()
+        done_symbols, done_owner = [], []
         while len(symbols):
             starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             length = np.diff(np.append(starts, len(owner)))
             least = np.minimum.reduceat(rank, starts)
-            done[owner[starts]] = length
             going = least != _NONE
             if not going.all():
                 stay = np.repeat(going, length)
+                done_symbols.append(symbols[~stay])
+                done_owner.append(owner[~stay])
                 symbols, owner, rank = symbols[stay], owner[stay], rank[stay]
                 least, length = least[going], length[going]
                 if not len(symbols):
@@ -90,40 +93,58 @@ class Counter:
             keep[hit + 1] = False
             place = np.cumsum(keep)[hit] - 1
             symbols, owner, rank = symbols[keep], owner[keep], rank[keep]
-            again = np.unique(np.concatenate([place, place - 1]))
-            again = again[again >= 0]
+            near = np.zeros(len(symbols) + 1, bool)
+            near[place] = True
+            near[place - 1] = True  # of place 0 the last, which is past the end
+            again = np.flatnonzero(near[:-1])
             rank[again] = _NONE
             again = again[again < len(symbols) - 1]
             again = again[owner[again] == owner[again + 1]]
             rank[again] = self.ranks(symbols[again], symbols[again + 1])
-        return done
+        if not done_owner:
+            return symbols, sizes
+        owner = np.concatenate(done_owner)
+        return np.concatenate(done_symbols)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
+
+    def ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each piece of text, as little-endian unsigned 32-bit integers."""
+        pieces: list[list[tuple[str, int | None]] | None] = []
+        words, per, joined = [], np.zeros(len(chunks), np.int64), " ".join(chunks)
+        special = [s for s in self.vocab.special if s in joined]
+        for i, chunk in enumerate(chunks):
+            if special and any(map(chunk.__contains__, special)):
+                pieces.append(self.vocab.segments(chunk))
+                continue
+            pieces.append(None)
+            own = self.pre_tokens(chunk)
+            words += own
+            per[i] = len(own)
+        symbols, sizes = self.merged(words)
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        cuts = (4 * total[np.concatenate([[0], np.cumsum(per)])]).tolist()
+        raw = symbols.astype("<u4").tobytes()
+        out = []
+        for i, found in enumerate(pieces):
+            if found is None:
+                out.append(raw[cuts[i] : cuts[i + 1]])
+            else:
+                out.append(b"".join(self.ids([p])[0] if known is None else known.to_bytes(4, "little") for p, known in found))
+        return out
 
     def count(self, chunks: list[str]) -> list[int]:
-        words, own, totals = [], [], np.zeros(len(chunks), np.int64)
-        for i, chunk in enumerate(chunks):
-            found, special = self.pre_tokens(chunk)
-            totals[i] = special
-            words += found
-            own += [i] * len(found)
-        if words:
-            np.add.at(totals, own, self.merged_sizes(words))
-        return totals.tolist()
+        return [len(x) // 4 for x in self.ids(chunks)]
 
     def totals(self, texts: list[str], at_once: int = 20_000) -> list[int]:
         """Tokens of each text. Texts are cut at spaces and line ends, which no pre-token crosses."""
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         new = self.chunks.unknown(w for words in cut for w in words)
-        fresh: dict[str, int] = {}
+        out, known = [], self.chunks
         for i in range(0, len(new), at_once):
-            some = new[i : i + at_once]
-            fresh.update(zip(some, self.count(some), strict=True))
-        out = []
-        known = self.chunks
-        for words in cut:
-            out.append(sum(known[w] if w in known or w not in fresh else fresh[w] for w in words) if fresh else sum(map(known.__getitem__, words)))
-        for w, n in fresh.items():
-            if len(w) <= known.longest:
+            some = [w for w in new[i : i + at_once] if len(w) <= known.longest]
+            for w, n in zip(some, self.count(some), strict=True):
                 known.keep(w, n)
+        for words in cut:
+            out.append(sum(map(known.__getitem__, words)))
         return out
 
 
