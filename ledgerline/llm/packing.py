@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .storage import bound_arrow, materialise
+from .textkit import slices, texts_of
 from .token_counts import counter
 from .vocabulary import Memory, read
 
@@ -92,7 +93,7 @@ class _Words:
 
     def __init__(self, text: str):
         self.merging = counter(text)
-        self.known = Memory(lambda w: self.merging.ids([w])[0], most=300_000)
+        self.known = Memory(lambda w: self.merging.ids([w])[0], most=150_000)
 
     def learn(self, words: list[str], at_once: int = 20_000) -> None:
         for i in range(0, len(words), at_once):
@@ -113,8 +114,8 @@ def _cut(tokenizer: str, capacity: int, end: int, with_ids: bool):
         words, last, step = _words(tokenizer), end.to_bytes(4, "little"), 4 * capacity
         find = words.known.__getitem__
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                some = batch.slice(i, 256)
+            for i, j in slices(texts_of(batch.column(1))):
+                some = batch.slice(i, j - i)
                 # the vocabulary drops white space, so no token crosses a space or line end
                 cut_texts = [(t or "").replace("\n", " ").split(" ") for t in some.column(1).to_pylist()]
                 words.learn(words.known.unknown(itertools.chain.from_iterable(cut_texts)))

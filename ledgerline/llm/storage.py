@@ -61,6 +61,6 @@ def _clean() -> None:
                 raise
 
 
-def bound_arrow(spark: SparkSession, max_bytes: int = 8 << 20) -> None:
+def bound_arrow(spark: SparkSession, max_bytes: int = 4 << 20) -> None:
     """Limit Arrow batches by bytes, so that a run of very long texts cannot fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))

@@ -76,7 +76,7 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> Texts:
     return Texts(data[offsets[0] : offsets[-1]], offsets - offsets[0])
 
 
-def slices(texts: Texts, max_bytes: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: Texts, max_bytes: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most ``max_bytes``, or of one row."""
     i = 0
     while i < texts.n:

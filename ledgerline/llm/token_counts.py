@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import bound_arrow
+from .textkit import slices, texts_of
 from .vocabulary import Memory, Vocabulary, read, vocabulary
 
 # Fixed value: the pattern of word pre-tokens, white space as in Unicode's property.
@@ -41,7 +42,7 @@ class Counter:
         self.order = np.argsort(key, kind="stable").astype(np.int32)
         self.keys = key[self.order]
         self.whole = np.array([w for _, _, w in vocab.merges], np.int64)
-        self.chunks = Memory(lambda w: self.count([w])[0], most=400_000)
+        self.chunks = Memory(lambda w: self.count([w])[0], most=150_000)
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
@@ -165,11 +166,11 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = counter(vocab)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = texts_of(batch.column(1))
             n = []
-            for i in range(0, len(texts), 512):
-                n += found.totals(texts[i : i + 512])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
+            for i, j in slices(texts):
+                n += found.totals([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(texts.offsets)), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     counted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
