@@ -4,6 +4,9 @@ Words are looked up by hash in an embedding table; filters of one, two and three
 largest value of each filter is kept, and a logistic unit weighs them. Only the word position that gave a
 filter its largest value has a gradient. Scores are shifted so that the threshold that fits best in each
 language, as recognised by the function words of a text, stands at one common score.
+
+Training reads a sample with its own share of each class; its loss weighs each class back to its true number of
+rows. Thresholds are chosen on all labelled rows that training has not read, by a histogram of logits.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import held_out
-from .storage import bound_arrow
+from .storage import bound_arrow, materialise
 from .textkit import LOWER, Texts, part, slices, texts_of, word_hashes, words_of
 
 # Frequent function words of each language.
@@ -33,6 +36,8 @@ FUNCTION_WORDS = {
 _BETWEEN = np.array([not (chr(b).isalnum() if b < 128 else True) for b in range(256)])
 _BUCKETS, _WIDTHS, _FILTERS, _DIM = 1 << 20, (1, 2, 3), 8, 8
 _GAP = max(_WIDTHS) - 1
+#: Width of the bins in which logits are counted.
+_STEP = 1 / 256
 
 
 def _hash_words(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +76,6 @@ class Network:
     bias: np.ndarray
     weights: np.ndarray
     intercept: float
-    #: The logit at which each language (and, last, text of none) is best parted.
-    thresholds: np.ndarray
 
     def spread(self, buckets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Embedding rows of texts with gaps between them, and where each text begins."""
@@ -103,10 +106,6 @@ class Network:
         top = np.maximum.reduceat(self.activations(table, rows), starts, axis=0)
         return np.maximum(top + self.bias, 0) @ self.weights + self.intercept
 
-    def scores(self, buckets: np.ndarray, bounds: np.ndarray, table: np.ndarray | None = None, common: float = 0.3) -> np.ndarray:
-        z = self.logits(buckets, bounds, table) - self.thresholds[languages(buckets, bounds)] + np.log(common / (1 - common))
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-
 
 def _ragged(buckets: np.ndarray, bounds: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.diff(bounds)[pick]
@@ -122,15 +121,18 @@ def _adam(state: dict, name: str, value: np.ndarray, gradient: np.ndarray, rate:
     return value - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
 
 
-def train(buckets: np.ndarray, bounds: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 5) -> Network:
-    """Fit on texts as bucket numbers with labels 0 and 1; a fifth of them is kept back for the thresholds.
+def train(buckets: np.ndarray, bounds: np.ndarray, y: np.ndarray, counts: tuple[int, int], epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 5) -> tuple[Network, np.ndarray]:
+    """Fit on texts as bucket numbers with labels 0 and 1, which stand for ``counts`` rows of each label. A fifth
+    of them is kept back for the thresholds; returns also the numbers of those that are not.
 
     Words in few texts share the zero row. The first coordinate of an embedding starts at the shrunk log odds
     of its word between the classes and the rest at random; training moves all of them."""
     rng = np.random.default_rng(seed)
     n = len(y)
     order = rng.permutation(n)
-    back, own = order[: n // 5], order[n // 5 :]
+    own = order[n // 5 :]
+    weight = np.array([counts[c] / max((y == c).sum(), 1) for c in (0, 1)])[y.astype(np.int64)]
+    weight /= weight.mean() if n else 1
     least = max(2, round(8e-4 * len(own)))
     toxic, total = np.zeros(_BUCKETS), np.zeros(_BUCKETS)
     for i in own.tolist():
@@ -152,7 +154,7 @@ def train(buckets: np.ndarray, bounds: np.ndarray, y: np.ndarray, epochs: int =
     k = len(_WIDTHS) * _FILTERS
     weights = rng.normal(0, 0.1, k)
     weights[: _FILTERS // 2] += 0.5
-    net = Network(rows, embedding, filters, np.zeros(k, np.float32), weights, -2.0, np.zeros(len(FUNCTION_WORDS) + 1))
+    net = Network(rows, embedding, filters, np.zeros(k, np.float32), weights, -2.0)
     state: dict = {}
     squares, t = np.zeros(embedding.shape), 0
     for _ in range(epochs if len(own) else 0):
@@ -165,7 +167,7 @@ def train(buckets: np.ndarray, bounds: np.ndarray, y: np.ndarray, epochs: int =
             best = np.stack([a + values[a:b].argmax(axis=0) for a, b in zip(starts, stops, strict=True)])
             top = values[best, np.arange(k)] + net.bias
             active = np.maximum(top, 0)
-            error = (1 / (1 + np.exp(-np.clip(active @ net.weights + net.intercept, -40, 40))) - y[pick]) / len(pick)
+            error = (1 / (1 + np.exp(-np.clip(active @ net.weights + net.intercept, -40, 40))) - y[pick]) * weight[pick] / len(pick)
             through = (error[:, None] * net.weights) * (top > 0)
             g_filters, column, moved = np.zeros_like(net.filters), 0, []
             for i, w in enumerate(_WIDTHS):
@@ -186,29 +188,33 @@ def train(buckets: np.ndarray, bounds: np.ndarray, y: np.ndarray, epochs: int =
             squares[touched] += g_embedding**2
             net.embedding[touched] -= rate * g_embedding / (np.sqrt(squares[touched]) + 1e-8)
             net.embedding[0] = 0
-    if n:
-        parts = [_ragged(buckets, bounds, pick) for pick in np.array_split(np.arange(n), -(-n // batch))]
-        z = np.concatenate([net.logits(*p) for p in parts])
-        lang = np.concatenate([languages(*p) for p in parts])
-        kept_back = np.isin(np.arange(n), back)
-        for i in range(len(FUNCTION_WORDS) + 1):
-            for chosen in (kept_back & (lang == i), kept_back, np.ones(n, bool)):
-                if y[chosen].sum() >= 5:
-                    break
-            net.thresholds[i] = best_threshold(z[chosen], y[chosen])
-    return net
-
-
-def best_threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """The logit with the best F1, in the middle of the gap between the two values that it parts."""
-    if not y.sum():
+    return net, own
+
+
+def best_threshold(z: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The logit with the best F1, between two of the bins ``z`` with their weights of label 1 and 0."""
+    if not toxic.sum():
         return 0.0
-    order = np.argsort(-z)
-    z, hits = z[order], np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(z) + 1) + y.sum())
-    f1[:-1][z[:-1] == z[1:]] = -1
-    best = int(f1.argmax())
-    return float((z[best] + z[min(best + 1, len(z) - 1)]) / 2)
+    z, where = np.unique(z, return_inverse=True)
+    hits, misses = (np.cumsum(np.bincount(where, weights=w)[::-1]) for w in (toxic, clean))
+    best = int((2 * hits / (hits + misses + toxic.sum())).argmax())
+    z = np.append(z[::-1], z[0] - _STEP)
+    return float((z[best] + z[best + 1]) / 2)
+
+
+def thresholds(lang: np.ndarray, label: np.ndarray, seen: np.ndarray, z: np.ndarray, n: np.ndarray) -> list[float]:
+    """The logit at which each language (and, last, text of none) is best parted, from numbers of rows in bins.
+
+    Rows seen in training are left out, and the rest of each class is weighed up to all of it."""
+    toxic, clean = np.where(label == 1, n, 0), np.where(label == 0, n, 0)
+    scale = [w.sum() / max(w[~seen].sum(), 1) for w in (toxic, clean)]
+    out = []
+    for i in range(len(FUNCTION_WORDS) + 1):
+        for chosen, (up, down) in ((~seen & (lang == i), scale), (~seen, scale), (np.ones(len(z), bool), (1.0, 1.0))):
+            if toxic[chosen].sum() >= 5:
+                break
+        out.append(best_threshold(z[chosen], up * toxic[chosen], down * clean[chosen]))
+    return out
 
 
 def _with_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,17 +223,17 @@ def _with_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in slices(texts):
             words, bounds = _hash_words(part(texts, i, j))
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.string()), batch.column(1).slice(i, j - i), lists], ["id", "label", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), lists], ["id", "label", "words"])
 
 
-def _judge(net: Network, common: float) -> Callable:
+def _judge(net: Network) -> Callable:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = net.embedding @ net.filters
         for batch in batches:
             texts = texts_of(batch.column(1))
             for i, j in slices(texts):
                 words, bounds = _hash_words(part(texts, i, j))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(net.scores(words, bounds, table, common).astype(np.float64))], ["id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(languages(words, bounds).astype(np.int32)), pa.array(net.logits(words, bounds, table).astype(np.float64))], ["id", "lang", "logit"])
 
     return judge
 
@@ -236,22 +242,33 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """Score each whole text by a network trained on labelled rows that are not held out.
 
     Training takes at most ``sample`` texts of label 1 and twice as many of label 0, those with the least
-    hashes of their ids; this is the only bound, and scoring reads all rows. Returns for each input row
+    hashes of their ids, and weighs each class by its true number of rows; this is the only bound. Thresholds
+    come from all labelled rows that are neither held out nor trained on, and scoring reads all rows, once.
+    Returns for each input row
     ``id_col``, ``held_out``, ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (1 where the score is at
     least ``threshold``). Labels other than 0 and 1 are left out; of several labels of one id the least
     counts. A null text counts as empty and is scored like any other.
     """
-    bound_arrow(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_arrow(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label")).where(~held_out("id", folds, fold) & F.col("id").isNotNull())
+    known = materialise(labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label")).where(~held_out("id", folds, fold) & F.col("id").isNotNull()))
     first = [known.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(n) for c, n in ((1, sample), (0, 2 * sample))]
     chosen = texts.join(first[0].unionByName(first[1]), "id")
-    found = chosen.select("id", "label", "text").mapInArrow(_with_id, "id string, label int, words array<int>").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
+    found = chosen.select(F.col("id").cast("string"), "label", "text").mapInArrow(_with_id, "id string, label int, words array<int>").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
     lists = found.column("words").combine_chunks()
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
     sizes = np.asarray(lists.value_lengths()) if len(lists) else np.zeros(0, np.int64)
     words = lists.flatten().to_numpy(zero_copy_only=False) if len(lists) else np.zeros(0, np.int32)
-    net = train(words.astype(np.int32), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), found.column("label").to_numpy().astype(np.float64))
-    scored = texts.mapInArrow(_judge(net, threshold), f"id {kind}, score double")
+    counts = dict(known.join(texts.select("id"), "id").groupBy("label").count().collect())
+    net, own = train(words.astype(np.int32), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), found.column("label").to_numpy().astype(np.float64), (counts.get(0, 0), counts.get(1, 0)))
+    judged = materialise(texts.mapInArrow(_judge(net), f"id {kind}, lang int, logit double"))
+    trained = spark.createDataFrame([(i,) for i in sorted(set(found.column("id").take(pa.array(own)).to_pylist()))], "own string")
+    bins = judged.join(known, "id").join(F.broadcast(trained), F.col("id").cast("string") == F.col("own"), "left")
+    bins = bins.groupBy("lang", "label", F.col("own").isNotNull().alias("seen"), F.round(F.col("logit") / _STEP).alias("bin")).count().toArrow()
+    lang, label, seen, z, n = (bins.column(i).to_numpy() for i in range(5))
+    at = thresholds(lang, label, seen.astype(bool), z * _STEP, n)
+    shifted = F.col("logit") - F.element_at(F.array(*map(F.lit, at)), F.col("lang") + 1) + F.lit(float(np.log(threshold / (1 - threshold))))
+    scored = judged.select("id", (1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), shifted))))).alias("score"))
     return scored.select(F.col("id").alias(id_col), held_out("id", folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

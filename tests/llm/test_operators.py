@@ -170,6 +170,23 @@ def test_toxicity(spark, docs, none):
     assert toxicity_scores(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_toxicity_of_a_small_sample(spark):
+    """A strong word in half of the toxic texts and a weak one in most of them, but in many clean ones too: at the
+    true rate the best threshold takes the strong word alone, at one to two both."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(6000):
+        w, toxic = ["the", *prose(rng, 20, 40).split()], int(rng.random() < 0.08)
+        for word, rates in (("vile", (0.005, 0.45)), ("rude", (0.15, 0.8))):
+            if rng.random() < rates[toxic]:
+                w.insert(rng.randrange(len(w)), word)
+        rows.append((i, " ".join(w), toxic))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    small, whole = ({r.doc_id: r.predicted for r in toxicity_scores(table.select("doc_id", "text"), table.select("doc_id", "toxic"), sample=n).collect()} for n in (150, 10**6))
+    assert sum(small[i] == whole[i] for i in whole) >= 0.97 * len(rows)
+    assert 0.02 * len(rows) < sum(whole.values()) < 0.08 * len(rows)
+
+
 def test_urls(spark):
     rules = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("x.com", "", "block"), ("x.com", "", "allow"), (None, "/", "block")]
     urls = ["https://a.example.com/en/77?x#y", "HTTP://COM/en/", "http://Example.COM/en/8", "http://notcom/en/", "https://b.net/DE/", "https://b.net/de/1", "x.com/", None, "", "http://x.com?q", "http://x.com#en/", "s://com/en/\n", "a://b://com/en/", "http://" + "a." * 200 + "com/en/" + "z" * 5000]
