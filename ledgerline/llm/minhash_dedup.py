@@ -115,9 +115,9 @@ def _signed(bands: int, rows: int):
             texts = texts_of(batch.column(1))
             for i, j in slices(texts):
                 h, bounds = shingle_sets(part(texts, i, j))
-                short = (signatures(h, bounds, bands * rows) & np.uint64(0xFFFF)).astype(np.uint16)
+                registers = signatures(h, bounds, bands * rows)
                 sets = [h[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in short], pa.binary()), pa.array(sets, pa.binary())], ["rep", "signature", "elements"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in registers], pa.binary()), pa.array(sets, pa.binary())], ["rep", "signature", "elements"])
 
     return signed
 
@@ -126,7 +126,7 @@ class _Tile:
     def __init__(self, rows: pa.StructArray, width: int):
         self.ids = rows.field("rep").to_numpy(zero_copy_only=False)
         self.group = rows.field("c").to_numpy(zero_copy_only=False)
-        self.signature = np.frombuffer(b"".join(rows.field("signature").to_pylist()), np.uint16).reshape(len(self.ids), width)
+        self.signature = np.frombuffer(b"".join(rows.field("signature").to_pylist()), np.uint64).reshape(len(self.ids), width)
         self.sets = [np.frombuffer(x, np.uint64) for x in rows.field("elements").to_pylist()]
         self.sizes = np.fromiter(map(len, self.sets), np.int64, len(self.sets))
 
@@ -135,7 +135,8 @@ def tile_links(a: _Tile, b: _Tile, own: bool, band: int, rows: int, percent: int
     """Links between different components across two tiles, at most one for each two components that they join.
 
     ``least`` is the share of equal registers below which a pair is not confirmed: for a pair at similarity 0.75
-    it is six standard deviations away. A pair that agrees in a band before ``band`` is left to that band's bucket."""
+    it is six standard deviations away. A pair that agrees in a band before ``band`` is left to that band's bucket:
+    whole registers are compared, so that such a pair has one band key there."""
     parent = {g: g for g in {*a.group.tolist(), *b.group.tolist()}}
 
     def root(g: int) -> int:

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import functions as F
@@ -17,10 +18,11 @@ from tokenizers import Tokenizer
 from ledgerline.llm.bpe_codec import codec, decode, encode
 from ledgerline.llm.embedding_dedup import linked, near_vectors
 from ledgerline.llm.fingerprints import fingerprints
-from ledgerline.llm.minhash_dedup import _Tile, drop_near_duplicates, near_duplicates, tile_links
+from ledgerline.llm.minhash_dedup import _signed, _Tile, drop_near_duplicates, near_duplicates, signatures, tile_links
 from ledgerline.llm.packing import pack, plan
 from ledgerline.llm.quality import quality_scores
 from ledgerline.llm.substring_dedup import remove_repeats
+from ledgerline.llm.textkit import shingle_sets, texts_of
 from ledgerline.llm.token_counts import counter, token_counts
 from ledgerline.llm.toxicity import toxicity_scores
 from ledgerline.llm.url_filter import url_verdicts
@@ -133,6 +135,18 @@ def test_tile_links_skip_what_an_earlier_band_shares():
     assert tile_links(a, a, True, 1, 2, 75) == []
 
 
+def test_tile_links_keep_what_an_earlier_band_only_seems_to_share():
+    """Two texts that meet in band 3, and whose registers in an earlier one differ but in their low 16 bits."""
+    own = [f"w7x{i}" for i in range(300)]
+    rows = pa.RecordBatch.from_pydict({"id": [1, 2], "text": [" ".join(own), " ".join([*own[:200], *(f"e{i}" for i in range(100))])]})
+    h, bounds = shingle_sets(texts_of(rows.column(1)))
+    a, b = signatures(h, bounds, 112)
+    assert (a == b)[:4].tolist() == [False] * 3 + [True] and (a.astype(np.uint16) == b.astype(np.uint16))[:3].any()
+    signed = next(_signed(112, 1)(iter([rows])))
+    tile = _Tile(pa.StructArray.from_arrays([signed.column(0), signed.column(0), signed.column(1), signed.column(2)], ["rep", "c", "signature", "elements"]), 112)
+    assert tile_links(tile, tile, True, 3, 1, 45, 0.3) == [(1, 2)]
+
+
 def test_quality(spark, docs, none):
     rng = random.Random(2)
     good = [(i, prose(rng, 60, 400).capitalize() + ".", 1) for i in range(0, 400, 2)]
