@@ -241,7 +241,7 @@ def _judge(net: Network) -> Callable:
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, fold: int = 2, threshold: float = 0.3, sample: int = 3000) -> DataFrame:
     """Score each whole text by a network trained on labelled rows that are not held out.
 
-    Training takes at most ``sample`` texts of label 1 and twice as many of label 0, those with the least
+    Labels of ids without a row are left out first. Training takes at most ``sample`` texts of label 1 and twice as many of label 0, those with the least
     hashes of their ids, and weighs each class by its true number of rows; this is the only bound. Thresholds
     come from all labelled rows that are neither held out nor trained on, and scoring reads all rows, once.
     Returns for each input row
@@ -253,7 +253,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     bound_arrow(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = materialise(labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label")).where(~held_out("id", folds, fold) & F.col("id").isNotNull()))
+    known = materialise(labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label")).where(~held_out("id", folds, fold) & F.col("id").isNotNull()).join(texts.select("id"), "id", "left_semi"))
     first = [known.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(n) for c, n in ((1, sample), (0, 2 * sample))]
     chosen = texts.join(first[0].unionByName(first[1]), "id")
     found = chosen.select(F.col("id").cast("string"), "label", "text").mapInArrow(_with_id, "id string, label int, words array<int>").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])

@@ -201,6 +201,18 @@ def test_toxicity_of_a_small_sample(spark):
     assert 0.02 * len(rows) < sum(whole.values()) < 0.08 * len(rows)
 
 
+def test_toxicity_with_labels_of_a_larger_corpus(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(600):
+        w, toxic = prose(rng, 20, 40).split(), int(rng.random() < 0.3)
+        rows.append((i, " ".join(w + ["vile"] * toxic), toxic))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = table.select("doc_id", "toxic").unionByName(spark.range(1000, 200_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic")))
+    got = {r.doc_id: r.predicted for r in toxicity_scores(table.select("doc_id", "text"), labels, sample=100).collect()}
+    assert sum(got[i] == y for i, _, y in rows) >= 0.97 * len(rows)
+
+
 def test_urls(spark):
     rules = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("x.com", "", "block"), ("x.com", "", "allow"), (None, "/", "block")]
     urls = ["https://a.example.com/en/77?x#y", "HTTP://COM/en/", "http://Example.COM/en/8", "http://notcom/en/", "https://b.net/DE/", "https://b.net/de/1", "x.com/", None, "", "http://x.com?q", "http://x.com#en/", "s://com/en/\n", "a://b://com/en/", "http://" + "a." * 200 + "com/en/" + "z" * 5000]
