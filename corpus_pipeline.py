@@ -18,27 +18,31 @@ from ledgerline.llm.toxicity import toxicity_scores
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_hash", F.xxhash64("text"))
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """All columns of the documents whose id is not in ``rejected``; documents without an id stay."""
-    gone = rejected.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """All columns of the documents whose id, null or not, and text are not in ``rejected``."""
+    gone = rejected.select(F.col("doc_id").alias("_gone"), F.col("_hash").alias("_gone_hash")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_gone_hash"]), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject (score under 0.5)."""
-    scores = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scores = quality_scores(_hashed(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("_hash",))
     return _without(docs, scores.where("predicted = 0"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject (score of 0.3 or more)."""
-    scores = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, materialise(scores.where("predicted = 1").select("doc_id")))
+    scores = toxicity_scores(_hashed(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("_hash",))
+    return _without(docs, materialise(scores.where("predicted = 1").select("doc_id", "_hash")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near-duplicates."""
-    return drop_near_duplicates(docs)
+    """One document, that of the least id, of each group of near-duplicates, and one of those that repeat id and text."""
+    return drop_near_duplicates(docs, repeats=False)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

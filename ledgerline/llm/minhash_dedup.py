@@ -240,7 +240,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text is the least-numbered of its near-duplicate group, with all columns."""
-    gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeats: bool = True) -> DataFrame:
+    """The rows of ``docs`` whose text is the least-numbered of its near-duplicate group, with all columns.
+
+    Each row is judged by its own text: where rows share an id, each different text of it has a number of its own,
+    in the order of ids. Rows without an id stay. Rows that repeat id and text are judged alike; unless
+    ``repeats``, one of them stays.
+    """
+    ids = docs.select(F.col(id_col).cast("long").alias("_id"))
+    if ids.groupBy("_id").count().where("count > 1").isEmpty():
+        gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
+        return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    columns = docs.columns
+    rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(text_col)})
+    numbers = rows.where("_id IS NOT NULL").select("_id", "_hash").distinct().orderBy("_id", "_hash")
+    numbers = materialise(numbers.withColumn("_row", F.monotonically_increasing_id()))
+    rows = materialise(rows.join(numbers, ["_id", "_hash"], "left"))
+    gone = near_duplicates(rows, "_row", text_col).where(~F.col("kept")).select(F.col("_row").alias("_gone")).distinct()
+    kept = rows.join(gone, rows["_row"] == gone["_gone"], "left_anti")
+    return (kept if repeats else kept.dropDuplicates(["_id", "_hash"])).select(*columns)

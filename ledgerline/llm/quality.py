@@ -142,7 +142,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in slices(texts):
             x = statistics(part(texts, i, j))
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), flat], ["id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), flat, *(c.slice(i, j - i) for c in batch.columns[2:])], ["id", "x", *batch.schema.names[2:]])
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,22 +162,24 @@ def _judge(model: Discriminant) -> Callable:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(1).flatten().to_numpy().reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x)), *batch.columns[2:]], ["id", "score", *batch.schema.names[2:]])
 
     return judge
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, fold: int = 1) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, fold: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
     """Score each whole text by a discriminant learnt from the labelled rows that are not held out.
 
     Returns for each input row ``id_col``, ``held_out``, ``score`` (0 to 1, higher: label 1 likelier) and ``predicted``
-    (1 where the score is at least 0.5). Labels other than 0 and 1 are left out, and of several labels of one
+    (1 where the score is at least 0.5), then the columns ``carry`` of the row. Labels other than 0 and 1 are left out, and of several labels of one
     id the least counts. A null text counts as empty and is scored like any other. All labelled rows are learnt
     from; what comes to the driver is one matrix a class.
     """
     bound_arrow(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    measured = materialise(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_measure, f"id {kind}, x array<double>"))
+    extra = "".join(f", c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    carried = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
+    measured = materialise(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *carried).mapInArrow(_measure, f"id {kind}, x array<double>{extra}"))
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     learnt = measured.where(~held_out("id", folds, fold)).join(known, "id").select("label", "x")
     cells = learnt.mapInArrow(_moments, "label int, m array<double>").select("label", F.posexplode("m").alias("at", "v")).groupBy("label", "at").agg(F.sum("v").alias("v")).collect()
@@ -187,5 +189,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         moments[r.label, r["at"]] = r.v
     moments = moments.reshape(2, d, d)
     model = fit(moments[:, 0, 0], moments[:, 0, 1:], moments[:, 1:, 1:])
-    scored = measured.mapInArrow(_judge(model), f"id {kind}, score double")
-    return scored.select(F.col("id").alias(id_col), held_out("id", folds, fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = measured.mapInArrow(_judge(model), f"id {kind}, score double{extra}")
+    return scored.select(F.col("id").alias(id_col), held_out("id", folds, fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)))

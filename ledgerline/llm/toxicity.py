@@ -233,12 +233,12 @@ def _judge(net: Network) -> Callable:
             texts = texts_of(batch.column(1))
             for i, j in slices(texts):
                 words, bounds = _hash_words(part(texts, i, j))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(languages(words, bounds).astype(np.int32)), pa.array(net.logits(words, bounds, table).astype(np.float64))], ["id", "lang", "logit"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(languages(words, bounds).astype(np.int32)), pa.array(net.logits(words, bounds, table).astype(np.float64)), *(c.slice(i, j - i) for c in batch.columns[2:])], ["id", "lang", "logit", *batch.schema.names[2:]])
 
     return judge
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, fold: int = 2, threshold: float = 0.3, sample: int = 3000) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, fold: int = 2, threshold: float = 0.3, sample: int = 3000, carry: tuple[str, ...] = ()) -> DataFrame:
     """Score each whole text by a network trained on labelled rows that are not held out.
 
     Labels of ids without a row are left out first. Training takes at most ``sample`` texts of label 1 and twice as many of label 0, those with the least
@@ -246,13 +246,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     come from all labelled rows that are neither held out nor trained on, and scoring reads all rows, once.
     Returns for each input row
     ``id_col``, ``held_out``, ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (1 where the score is at
-    least ``threshold``). Labels other than 0 and 1 are left out; of several labels of one id the least
+    least ``threshold``), then the columns ``carry`` of the row. Labels other than 0 and 1 are left out; of several labels of one id the least
     counts. A null text counts as empty and is scored like any other.
     """
     spark = docs.sparkSession
     bound_arrow(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    extra = "".join(f", c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)))
     known = materialise(labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label")).where(~held_out("id", folds, fold) & F.col("id").isNotNull()).join(texts.select("id"), "id", "left_semi"))
     first = [known.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(n) for c, n in ((1, sample), (0, 2 * sample))]
     chosen = texts.join(first[0].unionByName(first[1]), "id")
@@ -263,12 +264,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     words = lists.flatten().to_numpy(zero_copy_only=False) if len(lists) else np.zeros(0, np.int32)
     counts = dict(known.join(texts.select("id"), "id").groupBy("label").count().collect())
     net, own = train(words.astype(np.int32), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), found.column("label").to_numpy().astype(np.float64), (counts.get(0, 0), counts.get(1, 0)))
-    judged = materialise(texts.mapInArrow(_judge(net), f"id {kind}, lang int, logit double"))
+    judged = materialise(texts.mapInArrow(_judge(net), f"id {kind}, lang int, logit double{extra}"))
     trained = spark.createDataFrame([(i,) for i in sorted(set(found.column("id").take(pa.array(own)).to_pylist()))], "own string")
     bins = judged.join(known, "id").join(F.broadcast(trained), F.col("id").cast("string") == F.col("own"), "left")
     bins = bins.groupBy("lang", "label", F.col("own").isNotNull().alias("seen"), F.round(F.col("logit") / _STEP).alias("bin")).count().toArrow()
     lang, label, seen, z, n = (bins.column(i).to_numpy() for i in range(5))
     at = thresholds(lang, label, seen.astype(bool), z * _STEP, n)
     shifted = F.col("logit") - F.element_at(F.array(*map(F.lit, at)), F.col("lang") + 1) + F.lit(float(np.log(threshold / (1 - threshold))))
-    scored = judged.select("id", (1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), shifted))))).alias("score"))
-    return scored.select(F.col("id").alias(id_col), held_out("id", folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = judged.withColumn("score", (1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), shifted))))))
+    return scored.select(F.col("id").alias(id_col), held_out("id", folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)))

@@ -62,6 +62,23 @@ def test_stages_do_what_they_say(spark, tmp_path):
     assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in docs.collect()) == expected
 
 
+def test_rows_that_share_an_id_are_judged_each_by_its_text(spark):
+    words = [f"w{i}" for i in range(400)]
+    a, b, c, d = (" ".join(words[i : i + 90]) for i in range(0, 400, 100))
+    rows = [(1, a), (2, f"{a} x"), (2, b), (3, c), (3, c), (4, f"{d} y"), (4, d), (None, "one two"), (None, "one two")]
+    out = [tuple(r) for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()]
+    assert Counter((i, t.removesuffix(" y")) for i, t in out) == Counter([(1, a), (2, b), (3, c), (4, d), (None, "one two")])
+
+
+def test_a_rejected_text_takes_no_other_of_its_id(spark, tmp_path):
+    good = " ".join(f"Plain words make sentence {i} here." for i in range(20))
+    bad = "!!!! $$$$ #### " * 40
+    rows = [(i, good if i % 2 else bad) for i in range(200)] + [(7, bad), (8, good), (None, bad), (None, good)]
+    spark.createDataFrame([(i, i % 2, 0) for i in range(200) if i not in (7, 8)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.quality(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(r for r in rows if r[1] == good)
+
+
 def test_run_applies_all_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns[:3] == ["doc_id", "piece", "start"] and out.count() > 100
