@@ -1,7 +1,7 @@
 """Fixed-window quotas anchored at calls: a window begins at the first call that finds none open.
 
-Where a window begins depends on all calls of its key before it, yet no task holds a key's calls together. Time is
-cut into slices of ``SLICE`` windows. A slice's effect is a small step function from the time at which the open
+Where a window begins depends on all calls of its key before it. Time is cut into slices of ``SLICE`` windows, and a
+task holds a key's calls of one slice together, however many they are. A slice's effect is a small step function from the time at which the open
 window ends to the start of the window that is open afterwards; most entries meet in the same chain, so it
 has few steps. A key's steps are folded in order, one row a slice, and each slice then knows the window that
 it begins in.
