@@ -8,11 +8,10 @@ by their rank in that length, a sequence and an offset; documents take these slo
 
 from __future__ import annotations
 
-import itertools
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -20,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .storage import bound_arrow, materialise
 from .textkit import slices, texts_of
-from .token_counts import counter
-from .vocabulary import Memory, read
+from .token_counts import counter, ragged
+from .vocabulary import read
 
 _SLOTS_AT_ONCE, _RANK_GROUP = 100_000, 50_000
 
@@ -88,51 +87,31 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return lines
 
 
-class _Words:
-    """The ids of words as little-endian bytes, remembered in bounded memory; new ones are merged many at once."""
-
-    def __init__(self, text: str):
-        self.merging = counter(text)
-        self.known = Memory(lambda w: self.merging.ids([w])[0], most=300_000)
-
-    def learn(self, words: list[str], at_once: int = 20_000) -> None:
-        for i in range(0, len(words), at_once):
-            some = [w for w in words[i : i + at_once] if len(w) <= self.known.longest]
-            for w, ids in zip(some, self.merging.ids(some), strict=True):
-                self.known.keep(w, ids)
-
-
-@lru_cache(maxsize=2)
-def _words(text: str) -> _Words:
-    return _Words(text)
-
-
 def _cut(tokenizer: str, capacity: int, end: int, with_ids: bool):
     names = ["id", "piece", "start", "length", "crc", *["ids"] * with_ids]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last, step = _words(tokenizer), end.to_bytes(4, "little"), 4 * capacity
-        find = words.known.__getitem__
+        words = counter(tokenizer)
         for batch in batches:
             for i, j in slices(texts_of(batch.column(1))):
                 some = batch.slice(i, j - i)
-                # the vocabulary drops white space, so no token crosses a space or line end
-                cut_texts = [(t or "").replace("\n", " ").split(" ") for t in some.column(1).to_pylist()]
-                words.learn(words.known.unknown(itertools.chain.from_iterable(cut_texts)))
-                rows, piece, start, length, crc, kept = [], [], [], [], [], []
-                for row, own in enumerate(cut_texts):
-                    ids = b"".join(map(find, own)) + last
-                    for k, at in enumerate(range(0, len(ids), step)):
-                        part = ids[at : at + step]
-                        rows.append(row)
-                        piece.append(k)
-                        start.append(at // 4)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                        if with_ids:
-                            kept.append(part)
-                ids_ = [pa.array(kept, pa.binary())] if with_ids else []
-                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *ids_], names)
+                ids, first = words.ids([t or "" for t in some.column(1).to_pylist()])
+                # each text ends with one more id
+                tokens = np.full(len(ids) + len(some), end, "<u4")
+                tokens[np.arange(len(ids)) + np.repeat(np.arange(len(some)), np.diff(first))] = ids
+                bounds = first + np.arange(len(first))
+                sizes = np.diff(bounds)
+                pieces = -(-sizes // capacity)
+                piece = ragged(np.zeros(len(pieces), np.int64), pieces)
+                row = np.repeat(np.arange(len(some)), pieces)
+                start = piece * capacity
+                length = np.minimum(sizes[row] - start, capacity)
+                at = 4 * (bounds[row] + start)
+                raw = tokens.tobytes()
+                parts = [raw[x : x + 4 * n] for x, n in zip(at.tolist(), length.tolist(), strict=True)]
+                crc = pa.array(map(zlib.crc32, parts), pa.int64())
+                ids_ = [pa.array(parts, pa.binary())] if with_ids else []
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), crc, *ids_], names)
 
     return cut
 

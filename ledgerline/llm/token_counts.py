@@ -1,8 +1,10 @@
 """Token counts by rank-synchronous merging of many pre-tokens at once.
 
-The pre-tokens of a batch lie end to end in one numpy array of symbols. In each step every sequence finds its
-lowest-rank pair and merges it wherever it stands, all sequences together; sequences without a known pair are
-done, and the symbols that survive are counted.
+Pre-tokens are found in numpy, by the kind of each character, over a slice of texts at once. Those that are new
+lie end to end in one array of symbols: in each step every sequence finds its lowest-rank pair and merges
+it wherever it stands, all sequences together; sequences without a known pair are done, and the symbols that
+survive are counted. Their ids are kept in flat arrays of bounded size, found again by the bytes of the
+pre-token themselves, so that no hash decides what is equal.
 """
 
 from __future__ import annotations
@@ -19,12 +21,16 @@ from pyspark.sql import functions as F
 
 from .storage import bound_arrow
 from .textkit import slices, texts_of
-from .vocabulary import Memory, Vocabulary, read, vocabulary
+from .vocabulary import Vocabulary, read, vocabulary
 
-# Fixed value: the pattern of word pre-tokens, white space as in Unicode's property.
+# The pattern of word pre-tokens, white space as in Unicode's property, and its endings after "'".
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
-_STOPS = set(".,;:!?")
+ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
 _NONE = np.int32(2**31 - 1)
+_SPACE, _LETTER, _DIGIT, _OTHER, _HARD = range(5)
+#: Bytes of a pre-token that its key holds, and what is left of eight bytes by how many of them count.
+_KEY = 16
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def lower(text: str) -> str:
@@ -32,45 +38,171 @@ def lower(text: str) -> str:
     return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
 
+@lru_cache(maxsize=1)
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Of each character up to U+FFFF its kind, and its lower case.
+
+    Hard are those whose normal form or lower case is another number of characters or may depend on their
+    neighbours, and the null character."""
+    kind, small = np.full(0x10001, _HARD, np.uint8), np.zeros(0x10001, np.uint32)
+    tails: set[str] = set()
+    whole = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    for c in whole:
+        tails.update(unicodedata.normalize("NFD", c)[1:])
+    plain = [c for c in whole if len(c.lower()) == 1 and c not in tails and not unicodedata.combining(c) and unicodedata.is_normalized("NFC", c)]
+    text = "".join(c.lower() for c in plain)
+    at, to = (np.frombuffer("".join(x).encode("utf-32-le"), np.uint32) for x in (plain, text))
+    small[at], kind[at] = to, _OTHER
+    for name, pattern in ((_SPACE, r"\p{White_Space}"), (_LETTER, r"\p{L}"), (_DIGIT, r"\p{N}")):
+        kind[at[[m.start() for m in regex.finditer(pattern, text)]]] = name
+    return kind, small
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers ``starts[i] .. starts[i] + sizes[i] - 1`` of each i, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Ranks:
+    """Rank of a pair of symbols, by open addressing; ``_NONE`` for a pair that does not merge."""
+
+    def __init__(self, merges: list[tuple[int, int, int]]):
+        bits = max(4, (4 * len(merges)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.key, self.rank = np.full(1 << bits, -1), np.full(1 << bits, _NONE)
+        key = np.array([a << 32 | b for a, b, _ in merges], np.int64)
+        todo, at = np.arange(len(key)), self._at(key)
+        while len(todo):
+            free = self.key[at] < 0
+            self.key[at[free]] = key[todo[free]]
+            own = self.key[at] == key[todo]
+            self.rank[at[own]] = todo[own]
+            todo, at = todo[~own], (at[~own] + 1) & self.last
+
+    def _at(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 32 | b
+        at = self._at(key)
+        held = self.key[at]
+        out = np.where(held == key, self.rank[at], _NONE)
+        todo = np.flatnonzero((held != key) & (held >= 0))
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & self.last
+            held = self.key[at]
+            own = held == key[todo]
+            out[todo[own]] = self.rank[at[own]]
+            on = ~own & (held >= 0)
+            todo, at = todo[on], at[on]
+        return out
+
+
+class Known:
+    """Ids of pre-tokens by their bytes. What is new is numbered; when ``most`` are held, those stay that were
+    asked for again, unless they are more than half."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.most = most
+        self._clear(most)
+
+    def _clear(self, places: int) -> None:
+        self.last = 2 * places - 1
+        self.slot = np.full(self.last + 1, -1, np.int32)
+        self.key = np.zeros((1024, 2), np.uint64)
+        self.start, self.size, self.again = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1024, bool)
+        self.ids, self.n, self.n_ids = np.zeros(4096, np.uint32), 0, 0
+
+    def room(self, entries: int, ids: int) -> None:
+        def grown(x: np.ndarray, n: int) -> np.ndarray:
+            return x if len(x) >= n else np.concatenate([x, np.zeros((max(n, len(x) * 3 // 2) - len(x), *x.shape[1:]), x.dtype)])
+
+        self.key, self.start, self.size, self.again = (grown(x, self.n + entries) for x in (self.key, self.start, self.size, self.again))
+        self.ids = grown(self.ids, self.n_ids + ids)
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entry of each key, and the first keys of entries that are new, in the order of their entries."""
+        if self.n + len(key) > (self.last + 1) // 2:
+            self.forget(len(key))
+        self.room(len(key), 0)
+        h = (key[:, 0] ^ (key[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0x9E3779B97F4A7C15)
+        at = ((h ^ (h >> np.uint64(32))) & np.uint64(self.last)).astype(np.int64)
+        out, todo, new = np.empty(len(key), np.int64), np.arange(len(key)), []
+        while len(todo):
+            held = self.slot[at]
+            empty = np.flatnonzero(held < 0)
+            if len(empty):
+                place, claim = at[empty], np.arange(len(empty), dtype=np.int32)
+                self.slot[place] = claim  # of several that want a place, one gets it
+                first = empty[self.slot[place] == claim]
+                ids = np.arange(self.n, self.n + len(first), dtype=np.int32)
+                self.slot[at[first]] = ids
+                self.key[ids] = key[todo[first]]
+                self.again[ids] = False
+                new.append(todo[first])
+                self.n += len(first)
+                held = self.slot[at]
+            own = self.key[held]
+            same = (own[:, 0] == key[todo, 0]) & (own[:, 1] == key[todo, 1])
+            out[todo[same]] = held[same]
+            todo, at = todo[~same], (at[~same] + 1) & self.last
+        return out, np.concatenate(new) if new else np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray, first: int) -> None:
+        """Ids of the entries from ``first`` on."""
+        self.room(0, len(ids))
+        n = first + len(sizes)
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.start[first:n] = self.n_ids + np.cumsum(sizes) - sizes
+        self.size[first:n] = sizes
+        self.n_ids += len(ids)
+
+    def forget(self, coming: int) -> None:
+        keep = np.flatnonzero(self.again[: self.n])
+        if len(keep) > self.most // 2:
+            keep = keep[:0]
+        key, sizes = self.key[keep], self.size[keep]
+        ids = self.ids[ragged(self.start[keep], sizes.astype(np.int64))]
+        places = self.most
+        while places < len(keep) + coming:  # a very long text
+            places *= 2
+        self._clear(places)
+        if len(keep):
+            entry, first = self.find(key)
+            order = np.argsort(entry)  # entries are numbered anew
+            where = np.cumsum(sizes) - sizes
+            self.add(ids[ragged(where[order].astype(np.int64), sizes[order].astype(np.int64))], sizes[order], 0)
+
+
 class Counter:
+    """Ids and counts of whole texts by one vocabulary with word-end marks."""
+
     def __init__(self, vocab: Vocabulary):
+        if any(map(regex.compile(r"\s").search, vocab.special)):
+            raise ValueError("special tokens with white space are not supported")
         self.vocab = vocab
         letter = {b: c for c, b in vocab.letters.items()}
         self.inner = np.array([vocab.ids[letter[b]] for b in range(256)], np.int64)
         self.final = np.array([vocab.ids[letter[b] + vocab.suffix] for b in range(256)], np.int64)
-        key = np.array([a << 32 | b for a, b, _ in vocab.merges], np.int64)
-        self.order = np.argsort(key, kind="stable").astype(np.int32)
-        self.keys = key[self.order]
+        self.ranks = Ranks(vocab.merges)
         self.whole = np.array([w for _, _, w in vocab.merges], np.int64)
-        self.chunks = Memory(lambda w: self.count([w])[0], most=400_000)
+        self.known = Known()
+        self.kind, self.small = _characters()
+        self.endings = [np.frombuffer(e.encode(), np.uint8) for e in ENDINGS]
 
-    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a << 32 | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.order[at], _NONE)
-
-    def pre_tokens(self, piece: str) -> list[bytes]:
-        """The pre-tokens of text without special tokens."""
-        if piece.isascii():
-            if piece.isalpha():
-                return [piece.lower().encode()]
-            if piece[-1:] in _STOPS and piece[:-1].isalpha():
-                return [piece[:-1].lower().encode(), piece[-1:].encode()]
-        else:
-            piece = unicodedata.normalize("NFC", piece)
-        return [w.encode() for w in PRE_TOKEN.findall(lower(piece))]
-
-    def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The symbols that pre-tokens end with, one after the other, and how many each has."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        raw = np.frombuffer(b"".join(words), np.uint8)
-        symbols, ends = self.inner[raw], np.cumsum(sizes) - 1
+    def merged(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols that pre-tokens end with, one after the other, and how many each has; ``raw`` holds their
+        bytes and ``sizes`` how many each has, one at least."""
+        count, ends = len(sizes), np.cumsum(sizes) - 1
+        symbols = self.inner[raw]
         symbols[ends] = self.final[raw[ends]]
-        owner = np.repeat(np.arange(len(words)), sizes)
+        owner = np.repeat(np.arange(count), sizes)
         rank = np.full(len(symbols), _NONE)
         inside = np.flatnonzero(owner[1:] == owner[:-1])
-        rank[inside] = self.ranks(symbols[inside], symbols[inside + 1])
-        done_symbols, done_owner = [], []
+        rank[inside] = self.ranks.of(symbols[inside], symbols[inside + 1])
+        done_symbols, done_owner = [symbols[:0]], [owner[:0]]
         while len(symbols):
             starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             length = np.diff(np.append(starts, len(owner)))
@@ -101,52 +233,138 @@ class Counter:
             rank[again] = _NONE
             again = again[again < len(symbols) - 1]
             again = again[owner[again] == owner[again + 1]]
-            rank[again] = self.ranks(symbols[again], symbols[again + 1])
-        if not done_owner:
-            return symbols, sizes
+            rank[again] = self.ranks.of(symbols[again], symbols[again + 1])
         owner = np.concatenate(done_owner)
-        return np.concatenate(done_symbols)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
-
-    def ids(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each piece of text, as little-endian unsigned 32-bit integers."""
-        pieces: list[list[tuple[str, int | None]] | None] = []
-        words, per, joined = [], np.zeros(len(chunks), np.int64), " ".join(chunks)
-        special = [s for s in self.vocab.special if s in joined]
-        for i, chunk in enumerate(chunks):
-            if special and any(map(chunk.__contains__, special)):
-                pieces.append(self.vocab.segments(chunk))
-                continue
-            pieces.append(None)
-            own = self.pre_tokens(chunk)
-            words += own
-            per[i] = len(own)
-        symbols, sizes = self.merged(words)
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        cuts = (4 * total[np.concatenate([[0], np.cumsum(per)])]).tolist()
-        raw = symbols.astype("<u4").tobytes()
-        out = []
-        for i, found in enumerate(pieces):
-            if found is None:
-                out.append(raw[cuts[i] : cuts[i + 1]])
+        return np.concatenate(done_symbols)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=count)
+
+    def _hard(self, chunk: str) -> list[bytes | int]:
+        """Pre-tokens, and ids of special tokens, of what stands between two white spaces."""
+        out: list[bytes | int] = []
+        for piece, special in self.vocab.segments(chunk):
+            if special is not None:
+                out.append(special)
             else:
-                out.append(b"".join(self.ids([p])[0] if known is None else known.to_bytes(4, "little") for p, known in found))
+                out += [w.encode() for w in PRE_TOKEN.findall(lower(unicodedata.normalize("NFC", piece)))]
         return out
 
-    def count(self, chunks: list[str]) -> list[int]:
-        return [len(x) // 4 for x in self.ids(chunks)]
-
-    def totals(self, texts: list[str], at_once: int = 20_000) -> list[int]:
-        """Tokens of each text. Texts are cut at spaces and line ends, which no pre-token crosses."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = self.chunks.unknown(w for words in cut for w in words)
-        out, known = [], self.chunks
-        for i in range(0, len(new), at_once):
-            some = [w for w in new[i : i + at_once] if len(w) <= known.longest]
-            for w, n in zip(some, self.count(some), strict=True):
-                known.keep(w, n)
-        for words in cut:
-            out.append(sum(map(known.__getitem__, words)))
-        return out
+    def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pre-tokens of texts: a byte array, where each begins and ends in it (a special token begins at minus its
+        id), and how many pre-tokens stand before each text."""
+        joined = "\n".join([*texts, ""])
+        cps = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        kind, small = self.kind[np.minimum(cps, 0x10000)], self.small[np.minimum(cps, 0x10000)]
+        n = len(cps)
+        space = kind == _SPACE
+        edge = np.ones(n + 1, bool)
+        np.not_equal(kind[1:], kind[:-1], out=edge[1:n])
+        edge[:n] |= kind == _DIGIT
+        quotes = np.flatnonzero((small == 39) & edge[:n])
+        for e in self.endings:
+            own = quotes[quotes + len(e) < n]
+            for i, c in enumerate(e.tolist()):
+                own = own[small[own + 1 + i] == c]
+            edge[own + 1] = False
+            edge[own + 1 + len(e)] = True
+        bounds = np.flatnonzero(edge)
+        token = ~space[bounds[:-1]]
+        starts, ends = bounds[:-1][token], bounds[1:][token]
+        width = np.ones(n, np.int64) if joined.isascii() else 1 + (small >= 0x80) + (small >= 0x800).astype(np.int64)
+        data = np.frombuffer(small.tobytes().decode("utf-32-le").encode(), np.uint8)
+        place = np.concatenate([[0], np.cumsum(width)])
+        hard = np.flatnonzero(kind == _HARD)
+        for s in self.vocab.special:
+            at = joined.find(s)
+            while at >= 0:
+                hard = np.append(hard, at)
+                at = joined.find(s, at + 1)
+        first = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        if not len(hard):
+            return data, place[starts], place[ends], np.searchsorted(starts, first)
+        # what stands between white spaces around a hard character is cut on its own
+        gaps = np.flatnonzero(space)
+        after = np.unique(np.searchsorted(gaps, hard))
+        a, b = np.where(after > 0, gaps[after - 1] + 1, 0), gaps[after]
+        inside = np.cumsum(np.bincount(a, minlength=n + 1) - np.bincount(b, minlength=n + 1)) > 0
+        easy = ~inside[starts]
+        more: list[bytes] = []
+        at, where, size = [], [], []
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            for item in self._hard(joined[x:y]):
+                at.append(x)
+                where.append(-1 if isinstance(item, bytes) else item)
+                size.append(len(item) if isinstance(item, bytes) else 0)
+                more.append(item if isinstance(item, bytes) else b"")
+        sizes, where_ = np.array(size, np.int64), np.array(where, np.int64)
+        begin = len(data) + np.cumsum(sizes) - sizes
+        stop = begin + sizes
+        begin = np.where(where_ >= 0, -where_, begin)
+        spot = np.concatenate([starts[easy], np.array(at, np.int64)])
+        order = np.argsort(spot, kind="stable")
+        data = np.concatenate([data, np.frombuffer(b"".join(more), np.uint8)])
+        return data, np.concatenate([place[starts[easy]], begin])[order], np.concatenate([place[ends[easy]], stop])[order], np.searchsorted(spot[order], first)
+
+    def entries(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The entry in ``known`` of each pre-token, and how many stand before each text. They hold until the next call."""
+        data, starts, ends, first = self._cut(texts)
+        known = self.known
+        if not len(starts):
+            return np.zeros(0, np.int64), first
+        size = ends - starts
+        short = (size <= _KEY) & (starts >= 0)
+        if not data.all():  # a key does not tell how many null characters it ends with
+            zeros = np.concatenate([[0], np.cumsum(data == 0)])
+            short[short] = zeros[ends[short]] == zeros[starts[short]]
+        tail = np.append(data, np.zeros(_KEY, np.uint8))
+        words = np.ndarray((len(tail) - 7,), "<u8", tail, strides=(1,))
+        if not short.all():
+            rest = np.flatnonzero(~short)
+            at, n = starts[short], size[short]
+        else:
+            rest, at, n = np.zeros(0, np.int64), starts, size
+        key = np.empty((len(at), 2), np.uint64)
+        key[:, 0] = words[at] & _MASK[np.minimum(n, 8)]
+        key[:, 1] = words[at + 8] & _MASK[np.maximum(n - 8, 0)]
+        found, new = known.find(key)
+        known.again[found] = True
+        if len(new):
+            before = known.n - len(new)
+            known.again[before : known.n] = False
+            ids, sizes = self.merged(data[ragged(at[new], n[new])], n[new])
+            known.add(ids, sizes, before)
+        if not len(rest):
+            return found, first
+        out = np.empty(len(starts), np.int64)
+        out[short] = found
+        # long pre-tokens and special ones are entries of this call alone
+        place: dict[bytes | int, int] = {}
+        for i, a, b in zip(rest.tolist(), starts[rest].tolist(), ends[rest].tolist(), strict=True):
+            out[i] = known.n + place.setdefault(data[a:b].tobytes() if a >= 0 else -a, len(place))
+        items = [(k.to_bytes(4, "little") if isinstance(k, int) else k) for k in place]
+        special = np.fromiter((isinstance(k, int) for k in place), bool, len(place))
+        plain = [x for x, s in zip(items, special.tolist(), strict=True) if not s]
+        ids, sizes = self.merged(np.frombuffer(b"".join(plain), np.uint8), np.fromiter(map(len, plain), np.int64, len(plain)))
+        every = np.ones(len(items), np.int64)
+        every[~special] = sizes
+        flat, begin = np.zeros(int(every.sum()), np.int64), np.cumsum(every) - every
+        flat[ragged(begin[~special], sizes)] = ids
+        flat[begin[special]] = [k for k in place if isinstance(k, int)]
+        known.room(len(items), 0)
+        held = known.n_ids
+        known.add(flat, every, known.n)
+        known.n_ids = held  # the next call writes over them
+        return out, first
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, one after the other, and how many stand before each."""
+        entry, first = self.entries(texts)
+        sizes = self.known.size[entry].astype(np.int64)
+        flat = self.known.ids[ragged(self.known.start[entry], sizes)]
+        return flat, np.concatenate([[0], np.cumsum(sizes)])[first]
+
+    def totals(self, texts: list[str]) -> list[int]:
+        """Tokens of each text."""
+        entry, first = self.entries(texts)
+        return np.diff(np.concatenate([[0], np.cumsum(self.known.size[entry], dtype=np.int64)])[first]).tolist()
 
 
 @lru_cache(maxsize=2)
@@ -159,7 +377,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     Returns for each input row ``id_col``, ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens).
     Special strings inside a text count one token each, and none are added. A null text counts as empty: 0
-    and 0. Ids are passed on as they are, null or repeated."""
+    and 0. Ids are passed on as they are, null or repeated, and each row is counted for itself; an empty table gives
+    an empty one; other columns are not read, whatever their names. A text is read whole in one task, whose memory
+    grows with the longest text alone."""
     bound_arrow(docs.sparkSession)
     vocab = read(tokenizer_path)
 
