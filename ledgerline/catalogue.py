@@ -118,8 +118,8 @@ def distinct_owners(spark: SparkSession, sf: str) -> DataFrame:
 
 def _journal(spark: SparkSession, sf: str) -> DataFrame:
     calls = table(spark, sf, "events").select("user_id", F.col("event_type").alias("tool"), "ts", "event_id")
-    judged = quota.decisions(calls, ["user_id", "tool"], "ts", "event_id", LIMIT, WINDOW_MS).select("event_id", "allowed")
-    named = audit.routed(calls.join(judged, "event_id"), _catalogue(spark)).withColumn("subject", F.col("user_id").cast("string")).withColumnRenamed("ts", "at").withColumn("ended", F.col("at"))
+    judged = quota.decisions(calls, ["user_id", "tool"], "ts", "event_id", LIMIT, WINDOW_MS)
+    named = audit.routed(judged, _catalogue(spark)).withColumn("subject", F.col("user_id").cast("string")).withColumnRenamed("ts", "at").withColumn("ended", F.col("at"))
     error = audit.call_error(F.col("owner"), F.col("subject"), F.col("allowed"))
     return audit.journal(named, error, "at", "ended")
 

@@ -1,94 +1,197 @@
 """Fixed-window quotas anchored at calls: a window begins at the first call that finds none open.
 
-Where a window begins depends on all calls of its key before it. Time is cut into slices of ``SLICE`` windows, and a
-task holds a key's calls of one slice together, however many they are. A slice's effect is a small step function from the time at which the open
-window ends to the start of the window that is open afterwards; most entries meet in the same chain, so it
-has few steps. A key's steps are folded in order, one row a slice, and each slice then knows the window that
-it begins in.
+Where a window begins depends on all calls of its key before it. Time is cut into slices of ``SLICE`` windows. Calls
+are shuffled once, by key and slice, and sorted in their partitions; a task then walks its sorted calls in arrays,
+many keys at once. A slice's effect is a small step function from the time at which the open window ends to the
+window that is open afterwards and the calls it has had; most entries meet in the same chain, so it has few steps.
+A key's steps are folded in order, one row a slice, and each slice then knows the window that it begins in.
+
+A task reads its calls as a stream. For the steps it holds the times of one key in one slice; where windows are placed
+it holds one Arrow batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE = 16
 
 
-def window_starts(times: np.ndarray, width: int, start: int | None = None) -> np.ndarray:
-    """Of ascending times, the start of the window that each falls in, after one that began at ``start``."""
-    out, i = np.empty_like(times), 0
-    if start is not None:
-        i = int(np.searchsorted(times, start + width))
-        out[:i] = start
-    while i < len(times):
-        j = int(np.searchsorted(times, times[i] + width))
-        out[i:j] = times[i]
-        i = j
-    return out
+def _bounds(batch: pa.RecordBatch) -> np.ndarray:
+    """Where each key and slice begins in a sorted batch (columns key, slice), and its end."""
+    n = batch.num_rows
+    new = np.ones(n, bool)
+    if n > 1:
+        key, part = batch.column(0), batch.column(1).to_numpy()
+        new[1:] = pc.not_equal(key.slice(1), key.slice(0, n - 1)).to_numpy(zero_copy_only=False) | (part[1:] != part[:-1])
+    return np.append(np.flatnonzero(new), n)
+
+
+def _lines(us: np.ndarray, part: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The times of all groups on one ascending line, with room of two windows between groups, and where each begins."""
+    base = np.arange(len(bounds) - 1) * ((SLICE + 2) * width)
+    group = np.repeat(np.arange(len(base)), np.diff(bounds))
+    return us - part * (SLICE * width) + base[group], base
+
+
+def _pieces(bounds: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """The groups in runs whose line fits into 64 bits."""
+    step = max(1, (1 << 62) // ((SLICE + 2) * width))
+    for i in range(0, len(bounds) - 1, step):
+        yield bounds[i : i + step + 1]
+
+
+def step_functions(us: np.ndarray, part: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each group of ascending times: how many steps it has, and of each step the last end of a window that enters by
+    it, the start of the window that is open after the slice, and its calls so far."""
+    line, base = _lines(us, part, bounds, width)
+    group = np.repeat(np.arange(len(base)), np.diff(bounds))
+    end = bounds[1:]
+    after, last = np.searchsorted(line, line + width), np.arange(len(line))
+    for _ in range(SLICE):
+        hop = after[last]
+        last = np.where(hop < end[group], np.minimum(hop, len(line) - 1), last)
+    # the open window began before the slice, so the next begins within the first width or at the call after it
+    stop = np.minimum(end, np.searchsorted(line, base + width) + 1)
+    entry = np.zeros(len(line) + 1, np.int64)
+    np.add.at(entry, bounds[:-1], 1)
+    np.add.at(entry, stop, -1)
+    at = np.flatnonzero(np.cumsum(entry[:-1]) > 0)
+    lead = last[at]
+    keep = np.append(lead[1:] != lead[:-1], True)
+    at, lead = at[keep], lead[keep]
+    return np.bincount(group[at], minlength=len(base)), us[at], us[lead], end[group[at]] - lead
 
 
 def _steps(width: int) -> Callable:
-    def steps(table: pa.Table) -> pa.Table:
-        times = np.sort(table.column("_us").to_numpy())
-        n, first = len(times), int(table.column("_slice")[0].as_py()) * SLICE * width
-        after, last = np.searchsorted(times, times + width), np.arange(n)
-        for _ in range(SLICE):
-            hop = after[last]
-            last = np.where(hop < n, hop, last)
-        # the open window began before the slice, so the next begins within the first width or at the call after it
-        entries = min(n, int(np.searchsorted(times, first + width)) + 1)
-        leave = times[last[:entries]]
-        keep = np.append(leave[1:] != leave[:-1], True)
-        return pa.table({"_key": table.column("_key")[:1], "_slice": table.column("_slice")[:1], "until": pa.array([times[:entries][keep].tolist()], pa.list_(pa.int64())), "leave": pa.array([leave[keep].tolist()], pa.list_(pa.int64()))})
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def worked(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            for batch in table.combine_chunks().to_batches():
+                whole, us, part = _bounds(batch), batch.column(2).to_numpy(), batch.column(1).to_numpy()
+                for bounds in _pieces(whole, width):
+                    own = slice(bounds[0], bounds[-1])
+                    n, until, leave, used = step_functions(us[own], part[own], bounds - bounds[0], width)
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                    rows = pa.array(bounds[:-1])
+                    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (until, leave, used)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.diff(bounds)), *lists], ["key", "slice", "n", "until", "leave", "used"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held and (batch.column(0)[0] != held[0].column(0)[0] or batch.column(1)[0] != held[0].column(1)[0]):
+                yield from worked(pa.Table.from_batches(held))
+                held = []
+            # the last group may go on in the next batch
+            cut = int(_bounds(batch)[-2])
+            if cut:
+                yield from worked(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from worked(pa.Table.from_batches(held))
 
     return steps
 
 
 def _chain(width: int) -> Callable:
-    def chain(table: pa.Table) -> pa.Table:
-        table, start, entered = table.sort_by("_slice"), None, []
-        for until, leave in zip(table.column("until").to_pylist(), table.column("leave").to_pylist(), strict=True):
-            entered.append(start)
-            at = 0 if start is None else int(np.searchsorted(until, start + width))
-            start = leave[at] if at < len(leave) else start
-        return pa.table({"_key": table.column("_key"), "_slice": table.column("_slice"), "_entered": pa.array(entered, pa.int64())})
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, start, used = None, None, 0
+        for batch in batches:
+            starts, counts = [], []
+            for key, n, until, leave, had in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
+                if key != now:
+                    now, start, used = key, None, 0
+                starts.append(start)
+                counts.append(used)
+                at = 0 if start is None else bisect_left(until, start + width)
+                start, used = (leave[at], had[at]) if at < len(leave) else (start, used + n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], ["key", "slice", "start", "used"])
 
     return chain
 
 
+def window_starts(us: np.ndarray, part: np.ndarray, bounds: np.ndarray, width: int, start: np.ndarray, known: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each call in groups of ascending times, the start of its window and its number there, from 1. Where ``known``, a
+    group begins in a window that began at ``start`` and has had ``used`` calls."""
+    line, _ = _lines(us, part, bounds, width)
+    shift = line - us
+    first, end = bounds[:-1], bounds[1:]
+    after = np.minimum(np.searchsorted(line, line + width), np.repeat(end, end - first))
+    cur = np.where(known, np.minimum(np.maximum(np.searchsorted(line, start + shift[first] + width), first), end), first)
+    begins = np.zeros(len(us), bool)
+    while True:
+        cur = cur[cur < end]
+        if not len(cur):
+            break
+        begins[cur] = True
+        group = np.searchsorted(end, cur, "right")
+        cur, end = after[cur], end[group]
+    at = np.maximum.accumulate(np.where(begins, np.arange(len(us)), -1))
+    group = np.repeat(np.arange(len(first)), np.diff(bounds))
+    old = at < first[group]
+    return np.where(old, start[group], us[np.maximum(at, 0)]), np.where(old, used[group] + np.arange(len(us)) - first[group], np.arange(len(us)) - at) + 1
+
+
 def _assign(width: int) -> Callable:
-    def assign(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_us")
-        starts = window_starts(table.column("_us").to_numpy(), width, table.column("_entered")[0].as_py())
-        return table.drop_columns(["_slice", "_entered"]).append_column("_start", pa.array(starts, pa.int64()))
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, open_slice, open_start, open_used = None, None, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole, us, part = _bounds(batch), batch.column(2).to_numpy(), batch.column(1).to_numpy()
+            heads = pa.array(whole[:-1])
+            start = batch.column(4).take(heads)
+            known = start.is_valid().to_numpy(zero_copy_only=False).copy()
+            start, used = start.fill_null(0).to_numpy().copy(), batch.column(5).take(heads).to_numpy().copy()
+            if (open_key, open_slice) == (batch.column(0)[0].as_py(), int(part[0])):  # the group goes on
+                known[0], start[0], used[0] = True, open_start, open_used
+            starts, numbers = np.empty(len(us), np.int64), np.empty(len(us), np.int64)
+            done = 0
+            for bounds in _pieces(whole, width):
+                own, g = slice(bounds[0], bounds[-1]), slice(done, done + len(bounds) - 1)
+                starts[own], numbers[own] = window_starts(us[own], part[own], bounds - bounds[0], width, start[g], known[g], used[g])
+                done += len(bounds) - 1
+            open_key, open_slice, open_start, open_used = batch.column(0)[-1].as_py(), int(part[-1]), int(starts[-1]), int(numbers[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(starts), pa.array(numbers)], ["row", "start", "used"])
 
     return assign
 
 
+def json_key(keys: list[str]) -> Column:
+    """One string for the values of some columns: different values, nulls included, have different strings."""
+    return F.to_json(F.struct(*keys))
+
+
 def decisions(calls: DataFrame, keys: list[str], at: str, ident: str, limit: int, window_ms: int) -> DataFrame:
-    """Each call with ``window_start``, ``used`` (calls of its window so far, this one included) and ``allowed``.
+    """Each call, with all its columns, and ``window_start``, ``used`` (calls of its window so far, this one included)
+    and ``allowed``. Input columns of these three names give way.
 
     A window is half-open: a call exactly ``window_ms`` after its start begins the next. Denied calls neither use nor
     move a window. Calls at one time go by ``ident``. Calls without a time are denied; keys may be null and count
     as one key."""
     width = window_ms * 1000
-    timed = calls.select(*keys, ident, F.unix_micros(F.col(at).cast("timestamp")).alias("_us"), F.to_json(F.struct(*keys)).alias("_key"))
-    sliced = timed.where("_us IS NOT NULL").withColumn("_slice", F.floor(F.col("_us") / F.lit(SLICE * width)))
-    effects = sliced.select("_key", "_slice", "_us").groupBy("_key", "_slice").applyInArrow(_steps(width), "_key string, _slice long, until array<long>, leave array<long>")
-    entered = effects.groupBy("_key").applyInArrow(_chain(width), "_key string, _slice long, _entered long")
-    met = sliced.join(entered, ["_key", "_slice"])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema if f.name not in ("_slice", "_entered"))
-    placed = met.groupBy("_key", "_slice").applyInArrow(_assign(width), f"{fields}, _start long")
-    used = F.row_number().over(W.partitionBy("_key", "_start").orderBy("_us", ident))
-    judged = placed.select(*keys, ident, F.timestamp_micros("_start").alias("window_start"), used.alias("used"))
-    judged = judged.withColumn("allowed", F.col("used") <= limit)
-    late = timed.where("_us IS NULL").select(*keys, ident, F.lit(None).cast("timestamp").alias("window_start"), F.lit(None).cast("int").alias("used"), F.lit(False).alias("allowed"))
+    kept = [F.col(f"`{c}`") for c in calls.columns if c not in ("window_start", "used", "allowed")]
+    parts = [json_key(keys).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), F.struct(*kept).alias("row"), F.col(ident).alias("ident")]
+    timed = calls.select(*parts)
+    sliced = timed.where("us IS NOT NULL").withColumn("slice", F.floor(F.col("us") / F.lit(SLICE * width)))
+    dealt = sliced.repartition("key", "slice")
+    effects = dealt.select("key", "slice", "us").sortWithinPartitions("key", "slice", "us").mapInArrow(_steps(width), "key string, slice long, n long, until array<long>, leave array<long>, used array<long>")
+    entered = effects.repartition("key").sortWithinPartitions("key", "slice").mapInArrow(_chain(width), "key string, slice long, start long, used long")
+    met = dealt.join(entered, ["key", "slice"]).sortWithinPartitions("key", "slice", "us", "ident").select("key", "slice", "us", "row", "start", "used")
+    placed = met.mapInArrow(_assign(width), T.StructType([met.schema["row"], T.StructField("start", T.LongType()), T.StructField("used", T.LongType())]))
+    judged = placed.select("row.*", F.timestamp_micros("start").alias("window_start"), F.col("used").cast("int").alias("used"), (F.col("used") <= limit).alias("allowed"))
+    late = timed.where("us IS NULL").select("row.*", F.lit(None).cast("timestamp").alias("window_start"), F.lit(None).cast("int").alias("used"), F.lit(False).alias("allowed"))
     return judged.unionByName(late)
 
 

@@ -127,6 +127,23 @@ def test_quota_is_anchored(spark, limit, width):
     assert quota.decisions(table, ["who"], "at", "call_id", 0, width).where("allowed").count() == 0
 
 
+def test_quota_over_many_batches_and_long_chains(spark):
+    """Groups that run over several Arrow batches, windows that span slices, and columns that pass through."""
+    import random
+
+    rng = random.Random(5)
+    calls = [(rng.choice("aaab"), rng.randrange(40_000), i) for i in range(4000)] + [("c", 7 * i, 10_000 + i) for i in range(300)] + [("d", 0, 20_000), ("d", 10**9, 20_001)]
+    table = spark.createDataFrame([(k, at(m), i, m, "x") for k, m, i in calls], "who string, at timestamp, call_id long, ms long, used string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for rows in ("37", before):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        out = quota.decisions(table, ["who"], "at", "call_id", 3, 50)
+        assert out.columns == ["who", "at", "call_id", "ms", "window_start", "used", "allowed"]
+        found = {r.call_id: r for r in out.collect()}
+        assert {i: r.allowed for i, r in found.items()} == _reference_quota(calls, 3, 50)
+        assert all(0 <= (r["at"] - r.window_start).total_seconds() * 1000 < 50 for r in found.values())
+
+
 def test_journal_records_refusals(spark):
     calls = spark.createDataFrame([("u", "recall", at(0), at(12), True), ("u", "recall", at(1), at(1), False), (None, "recall", at(2), at(2), True), ("u", "dig", at(3), at(3), True)], "subject string, tool string, at timestamp, ended timestamp, allowed boolean")
     named = audit.routed(calls, spark.createDataFrame([("recall", "memory")], "tool string, owner string"))

@@ -32,6 +32,17 @@ def test_quota_stream_equals_batch_over_restarts(spark, tmp_path):
     assert found == batch
 
 
+def test_quota_stream_tells_keys_apart_as_the_batch_form_does(spark, tmp_path):
+    rows = [("a:b", "c", "k1", 0), ("a", "b:c", "k2", 1), ("x", None, "k3", 2), (None, "x", "k4", 3), ("x", None, "k5", 4), ("x", None, "k6", None)]
+    calls = spark.createDataFrame(rows, "one string, two string, ident string, s int").withColumn("at", F.timestamp_seconds("s"))
+    batch = {r.ident: r.allowed for r in quota.decisions(calls, ["one", "two"], "at", "ident", 1, 60_000).collect()}
+    assert batch == {"k1": True, "k2": True, "k3": True, "k4": True, "k5": False, "k6": False}
+    calls.write.parquet(str(tmp_path / "in"))
+    stream = decide(spark.readStream.schema(calls.schema).parquet(str(tmp_path / "in")), ["one", "two"], "at", "ident", 1, 60_000)
+    stream.writeStream.format("memory").queryName("quota_keys").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert {r.call_id: r.allowed for r in spark.table("quota_keys").collect()} == batch
+
+
 def test_journal_stream_writes_json_lines(spark, tmp_path):
     calls = spark.createDataFrame([("u", "recall", "memory", True), (None, "recall", "memory", False)], "subject string, tool string, owner string, allowed boolean").withColumn("at", F.lit("2026-01-01").cast("timestamp"))
     calls.write.parquet(str(tmp_path / "in"))
