@@ -3,12 +3,13 @@
 Unit vectors are turned into the basis of their second-moment matrix, so that the first coordinates hold
 most of each product. A tile pair adds up the leading coordinates first; what the rest can add is at most
 the product of the two suffix norms, and a pair whose bound is below the threshold is not carried on. Pairs
-that reach the end are confirmed on the original components in double precision.
+that reach the end are confirmed on the unit vectors, scaled from the original components, in double precision.
 
 Two unit vectors with cosine t are at distance sqrt(2 - 2t), so their first coordinates are no farther
 apart: vectors are dealt to slabs of that width, and a slab only meets itself and the next one. Slabs are cut
-by a hash of the id into tiles of bounded size. A tile pair returns one row for each vector (links, and a root
-of its component in the pair), never the pairs themselves. Equal vectors are one vector with a weight.
+by a hash of the id into blocks of bounded size, which travel to where they meet; a task compares two blocks
+tile by tile. A tile pair returns one row for each vector that has a link (links, and a root of its component in the
+pair), never the pairs themselves. Equal vectors are one vector with a weight.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import bound_arrow, materialise
+from .storage import bound_arrow, discard, materialise
 
 _KEY = ["label", "dim", "slab", "sub"]
 
@@ -99,7 +100,7 @@ def _roots(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.nda
         a, b = low_a, low_b
 
 
-def _compare(bases: dict[int, np.ndarray], threshold: float) -> Callable:
+def _compare(bases: dict[int, np.ndarray], threshold: float, tile: int) -> Callable:
     def unpack(tile: pa.StructScalar):
         ids = tile.values.field("rep").to_numpy(zero_copy_only=False)
         weights = tile.values.field("weight").to_numpy(zero_copy_only=False)
@@ -109,39 +110,48 @@ def _compare(bases: dict[int, np.ndarray], threshold: float) -> Callable:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own, first, second in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                ids, weights, a = unpack(first)
-                ids2, weights2, b = (ids, weights, a) if own else unpack(second)
-                hit = linked(a, b, bases[a.shape[1]], threshold)
-                if own:
-                    np.fill_diagonal(hit, False)
-                    hit |= hit.T
-                rows, cols = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
-                if not len(rows):
-                    continue
-                hit = hit[np.ix_(rows, cols)]
-                ra, rb = _roots(hit, ids[rows], ids2[cols])
-                out = [(ids[rows], ra, hit @ weights2[cols])]
-                if not own:
-                    out.append((ids2[cols], rb, hit.T @ weights[rows]))
-                for node, root, n in out:
-                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), pa.array(n.astype(np.int64))], ["a", "b", "n"])
+                left = unpack(first)
+                right = left if own else unpack(second)
+                for i in range(0, len(left[0]), tile):
+                    for j in range(i if own else 0, len(right[0]), tile):
+                        yield from met(*(x[i : i + tile] for x in left), *(x[j : j + tile] for x in right), own and i == j)
+
+    def met(ids: np.ndarray, weights: np.ndarray, a: np.ndarray, ids2: np.ndarray, weights2: np.ndarray, b: np.ndarray, own: bool) -> Iterator[pa.RecordBatch]:
+        hit = linked(a, b, bases[a.shape[1]], threshold)
+        if own:
+            np.fill_diagonal(hit, False)
+            hit |= hit.T
+        rows, cols = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+        if not len(rows):
+            return
+        hit = hit[np.ix_(rows, cols)]
+        ra, rb = _roots(hit, ids[rows], ids2[cols])
+        out = [(ids[rows], ra, hit @ weights2[cols])]
+        if not own:
+            out.append((ids2[cols], rb, hit.T @ weights[rows]))
+        for node, root, n in out:
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), pa.array(n.astype(np.int64))], ["a", "b", "n"])
 
     return compare
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, tile: int = 1024) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, tile: int = 1024, block: int = 8192) -> DataFrame:
     """Link vectors of equal, non-null labels whose cosine is at least ``threshold``.
 
     Returns one row for each input row: ``id_col``, ``n_links`` (other rows linked directly),
     ``component_id`` (the least id reachable by links, itself included) and ``kept`` (its id is that). A
     vector that is null, empty or zero, or holds null or non-finite components, links with nothing, nor does
-    one with a null id or label; vectors of different lengths do not link. Equal vectors link with each other.
+    one with a null id or label; vectors of different lengths do not link. Equal vectors link with each other, and so do
+    rows that repeat an id, each of which counts as a link. An empty table gives an empty one. Columns other than the
+    three are not read, whatever their names. There is one basis for each length of vectors, on the driver: a square
+    matrix of that length.
     """
     spark = vectors.sparkSession
     bound_arrow(spark)
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     usable = source.where("id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL")
-    classes = materialise(usable.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")))
+    grouped = usable.groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("weight"))
+    classes = materialise(grouped.withColumn("rep", F.monotonically_increasing_id()))
 
     sums = classes.select("v").mapInArrow(_moments, "dim int, m array<double>").select("dim", F.posexplode("m").alias("at", "x")).groupBy("dim", "at").agg(F.sum("x").alias("x"))
     bases: dict[int, np.ndarray] = {}
@@ -152,9 +162,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     width = float(np.sqrt(max(2 - 2 * threshold, 1e-6))) + 1e-9
     kind = vectors.schema[label_col].dataType.simpleString()
     placed = classes.select("rep", "label", "v", "weight").mapInArrow(_place(bases, width), f"rep long, label {kind}, weight long, dim int, slab int, unit binary")
-    slabs = placed.groupBy("label", "dim", "slab").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    dealt = placed.join(slabs, ["label", "dim", "slab"]).withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    tiles = materialise(dealt.groupBy(*_KEY).agg(F.collect_list(F.struct("rep", "weight", "unit")).alias("rows")))
+    slabs = placed.groupBy("label", "dim", "slab").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = placed.join(slabs, ["label", "dim", "slab"]).withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    tiles = materialise(dealt.repartition(*_KEY).groupBy(*_KEY).agg(F.collect_list(F.struct("rep", "weight", "unit")).alias("rows")))
 
     keys = tiles.select(*_KEY)
     step = keys.select("label", "dim", F.explode(F.array("slab", F.col("slab") + 1)).alias("slab"), F.col("slab").alias("slab_a"), F.col("sub").alias("sub_a"))
@@ -162,17 +172,17 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     first = tiles.select("label", "dim", F.col("slab").alias("slab_a"), F.col("sub").alias("sub_a"), F.col("rows").alias("a"))
     met = pairs.join(first, ["label", "dim", "slab_a", "sub_a"]).join(tiles.withColumnRenamed("rows", "b"), _KEY)
     own = (F.col("slab") == F.col("slab_a")) & (F.col("sub") == F.col("sub_a"))
-    found = materialise(met.select(own.alias("own"), "a", "b").mapInArrow(_compare(bases, threshold), "a long, b long, n long"))
+    found = materialise(met.select(own.alias("own"), "a", "b").mapInArrow(_compare(bases, threshold, tile), "a long, b long, n long"))
 
     groups = components(found, "a", "b")
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    good = placed.select(F.col("rep").alias("good")).distinct()
-    known = (
-        classes.join(good, F.col("rep") == F.col("good"), "left")
-        .join(links, "rep", "left")
-        .join(groups, F.col("rep") == F.col("node"), "left")
-        .select("label", "v", F.when(F.col("good").isNotNull(), F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links"), F.when(F.col("good").isNotNull(), F.coalesce("component", "rep")).alias("found"))
-    )
+    good = placed.select(F.col("rep").alias("good"))
+    rows = classes.join(good, F.col("rep") == F.col("good"), "left").join(links, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left")
+    rows = rows.withColumn("component", F.coalesce("component", "rep")).drop("node")
+    least = rows.groupBy("component").agg(F.min("least").alias("found"))
+    linked_to = F.when(F.col("good").isNotNull(), F.coalesce("n", F.lit(0)) + F.col("weight") - 1)
+    known = rows.join(least, "component").select("label", "v", linked_to.alias("links"), F.when(F.col("good").isNotNull(), F.col("found")).alias("found"))
+    discard(tiles)
     joined = source.join(known, ["label", "v"], "left")
     usable_id = F.col("id").isNotNull()
     component = F.when(usable_id, F.coalesce("found", "id"))
