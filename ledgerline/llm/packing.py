@@ -22,7 +22,7 @@ from .textkit import slices, texts_of
 from .token_counts import counter, ragged
 from .vocabulary import read
 
-_SLOTS_AT_ONCE, _RANK_GROUP = 100_000, 50_000
+_SLOTS_AT_ONCE, _RANK_GROUP = 100_000, 1000
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -122,22 +122,24 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     Only a text of more than ``capacity`` tokens is cut, into pieces of that many and a rest. Returns for each
     piece ``id_col``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id`` and ``offset``, and with ``with_ids`` the ids
     as little-endian unsigned 32-bit integers. The pieces of a sequence stand end to end from offset 0. A null
-    or empty text is the end id alone. Ids may be null or repeat: each row is packed for itself. The vocabulary
-    must drop white space before it splits text into words.
+    or empty text is the end id alone. Ids may be null or repeat: each row is packed for itself. An
+    empty table gives an empty one; columns other than the two are not read, whatever their names. A very long text is
+    read whole in one task. The vocabulary must drop white space before it splits text into words.
     """
     spark = docs.sparkSession
     bound_arrow(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     binary = ", ids binary" * with_ids
-    pieces = materialise(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_cut(read(tokenizer_path), capacity, end, with_ids), f"id {kind}, piece int, start long, length long, crc long{binary}"))
+    pieces = materialise(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_cut(read(tokenizer_path), capacity, end, with_ids), f"id {kind}, piece int, start long, length long, crc long{binary}").withColumn("row", F.monotonically_increasing_id()))
     counts = pieces.groupBy("length").count()
     lines = plan({r["length"]: r["count"] for r in counts.collect()}, capacity)
 
-    # ranks within a length: rows are numbered in salted groups of bounded size, and groups by the rows before them
-    salted = pieces.join(counts, "length").withColumn("salt", F.pmod(F.xxhash64("id", "piece", "crc"), F.ceil(F.col("count") / _RANK_GROUP)).cast("int")).drop("count")
+    # ranks within a length: rows are numbered in salted groups of bounded size, and groups by the rows before them;
+    # there are at most ``capacity`` lengths
+    salted = pieces.join(F.broadcast(counts), "length").withColumn("salt", F.pmod(F.xxhash64("row"), F.ceil(F.col("count") / _RANK_GROUP)).cast("int")).drop("count")
     salts = salted.groupBy("length", "salt").count()
     before = salts.select("length", "salt", (F.sum("count").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("count")).alias("before"))
-    number = F.row_number().over(W.partitionBy("length", "salt").orderBy("id", "piece", "crc")) - 1
+    number = F.row_number().over(W.partitionBy("length", "salt").orderBy("row")) - 1
     ranked = salted.withColumn("number", number).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("number"))
 
     table = spark.createDataFrame(lines or [], "length long, first long, n long, each long, sequence long, offset long")
