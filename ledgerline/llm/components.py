@@ -31,6 +31,10 @@ def union_find(a: list, b: list) -> dict:
     return {x: root(x) for x in parent}
 
 
+#: Up to so many edges are a matter for one task.
+LOCAL = 100_000
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of each batch become one edge from each node to its root in that batch."""
     for batch in batches:
@@ -40,6 +44,13 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u[u < v]), pa.array(v[u < v])], ["u", "v"])
 
 
+def _contract_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same for all edges of a partition together."""
+    held = list(batches)
+    if held:
+        yield from _contract(iter(pa.Table.from_batches(held).combine_chunks().to_batches()))
+
+
 def _is_star_forest(edges: DataFrame) -> bool:
     """Whether each node is either a centre or in one edge as its larger end."""
     ends = edges.select(F.col("v").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(edges.select(F.col("u").alias("x"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
@@ -51,10 +62,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``(node, component)`` for each node that an edge joins to another, component being its least node.
 
     Edges with a null end or two equal ends join nothing. Rounds of large-star and small-star halve the
-    depth of the graph; each is a join and an aggregation on nodes, whose table never leaves the cluster.
-    """
+    depth of the graph; each is a join and an aggregation on nodes, whose table never leaves the cluster. A graph of no
+    more than ``LOCAL`` edges ends in one task by union-find, with the same result. The
+    answer reads one table in the shared folder, which ``discard`` deletes."""
     flat = edges.select(F.least(a, b).cast("long").alias("u"), F.greatest(a, b).cast("long").alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") < F.col("v")))
     now = materialise(flat.mapInArrow(_contract, "u long, v long").distinct())
+    if now.count() <= LOCAL:
+        before, now = now, materialise(now.coalesce(1).mapInArrow(_contract_all, "u long, v long"))
+        discard(before)
     while not _is_star_forest(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -63,4 +78,6 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         small = large.join(low, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where(F.col("u") < F.col("v")).distinct()
         before, now = now, materialise(small)
         discard(before)
-    return now.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+    out = now.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+    out._scratch = now._scratch
+    return out

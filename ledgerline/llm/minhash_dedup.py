@@ -6,7 +6,8 @@ at least j, so once a text's registers are all filled, no later round can change
 a round or two. Here all shingles of a slice of texts take a round together.
 
 With the defaults (28 bands of 4 registers) a pair at similarity 0.75 shares no band with probability 2e-5.
-Texts with equal shingle sets are one class, and only classes are banded. A group of n near copies must not cost
+Texts with equal shingle sets are one class, a node of the graph with a number of its own, and only classes are
+banded. A group of n near copies must not cost
 n squared pairs, and yet no link may be lost that decides a component:
 
 1. Each member of a band's bucket is compared with one pivot of the bucket, which joins most of a group.
@@ -15,6 +16,10 @@ n squared pairs, and yet no link may be lost that decides a component:
    main component against all. A tile pair works on signatures in memory, looks at each pair in the first band that
    it shares, confirms on full sets what the signatures leave possible, and returns at most one link for
    each component that it joins.
+
+The pairs of a pivot are dealt to salts by the size of their bucket and its text goes to each, so a large group is
+confirmed by many tasks. What else meets by the key of a bucket or class are rows of a few numbers, in joins that
+nothing follows which needs their partitioning: there adaptive execution splits a key with very many rows.
 """
 
 from __future__ import annotations
@@ -23,11 +28,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import bound_arrow, materialise
+from .storage import bound_arrow, discard, free_name, materialise
 from .textkit import mix, part, shingle_sets, slices, texts_of
 
 _EMPTY = np.uint64(2**64 - 1)
@@ -63,11 +68,11 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray, m: int) -> np.ndarray:
 
 
 def _profile(bands: int, rows: int) -> Callable:
-    names = ["id", "n", "k1", "k2", "bands"]
+    names = ["id", "h", "n", "k1", "k2", "bands"]
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch.column(1))
+            texts = texts_of(batch.column(2))
             for i, j in slices(texts):
                 h, bounds = shingle_sets(part(texts, i, j))
                 sizes = np.diff(bounds)
@@ -82,7 +87,7 @@ def _profile(bands: int, rows: int) -> Callable:
                     for k in (0, 1):
                         names_[k, some] = np.add.reduceat(mix(h ^ np.uint64((k + 7) * _GOLDEN % 2**64)), bounds[:-1][some])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(some, bands, 0))]).astype(np.int32)), pa.array(keys[some].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes), pa.array(names_[0].view(np.int64)), pa.array(names_[1].view(np.int64)), lists], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(sizes), pa.array(names_[0].view(np.int64)), pa.array(names_[1].view(np.int64)), lists], names)
 
     return profile
 
@@ -117,17 +122,18 @@ def _signed(bands: int, rows: int):
                 h, bounds = shingle_sets(part(texts, i, j))
                 registers = signatures(h, bounds, bands * rows)
                 sets = [h[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in registers], pa.binary()), pa.array(sets, pa.binary())], ["rep", "signature", "elements"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in registers], pa.binary()), pa.array(sets, pa.binary())], ["node", "signature", "elements"])
 
     return signed
 
 
 class _Tile:
     def __init__(self, rows: pa.StructArray, width: int):
-        self.ids = rows.field("rep").to_numpy(zero_copy_only=False)
-        self.group = rows.field("c").to_numpy(zero_copy_only=False)
-        self.signature = np.frombuffer(b"".join(rows.field("signature").to_pylist()), np.uint64).reshape(len(self.ids), width)
-        self.sets = [np.frombuffer(x, np.uint64) for x in rows.field("elements").to_pylist()]
+        ids, group, signatures_, elements = (rows.field(i) for i in range(4))
+        self.ids = ids.to_numpy(zero_copy_only=False)
+        self.group = group.to_numpy(zero_copy_only=False)
+        self.signature = np.frombuffer(b"".join(signatures_.to_pylist()), np.uint64).reshape(len(self.ids), width)
+        self.sets = [np.frombuffer(x, np.uint64) for x in elements.to_pylist()]
         self.sizes = np.fromiter(map(len, self.sets), np.int64, len(self.sets))
 
 
@@ -181,81 +187,114 @@ def _compare(rows: int, bands: int, percent: int):
 
 
 _SMALL, _TILE = 8, 120_000
+#: Pairs of one pivot and salt, about.
+SALTED = 1000
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bands: int = 28, rows: int = 4) -> DataFrame:
-    """Group texts whose sets of lower-cased five-word shingles have ``100 * intersection >= percent * union``.
+def _salt(node: str, size: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.ceil(F.col(size) / SALTED)).cast("int")
 
-    Returns one row for each input row: ``id_col``, ``n_shingles``, ``component_id`` (the least id
-    reachable by links, itself included) and ``kept`` (its id is that). A text of fewer than five words has
-    its word sequence as its one shingle. A null, empty or blank text has no shingles and links with nothing.
-    A null id gives a null component and stays kept. Rows that share an id are judged each by its own text.
-    """
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bands: int = 28, rows: int = 4) -> DataFrame:
+    """One row (id, h, n, component, first) for each row of ``docs``, ``h`` being ``xxhash64`` of its text: see
+    :func:`near_duplicates`. ``first`` marks the rows whose id and, where ids are equal, ``h`` are the least of a component."""
     spark = docs.sparkSession
     bound_arrow(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    profiles = materialise(source.mapInArrow(_profile(bands, rows), "id long, n long, k1 long, k2 long, bands array<long>"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    profiles = materialise(source.mapInArrow(_profile(bands, rows), "id long, h long, n long, k1 long, k2 long, bands array<long>"))
     named = profiles.where("n > 0 AND id IS NOT NULL")
-    classes = materialise(named.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
-    banded = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot"), F.min_by("n", "rep").alias("pivot_n")).where("size > 1")
+    grouped = named.groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "h")).alias("rep"), F.count("*").alias("size"), F.first("bands").alias("bands"))
+    stored = materialise(grouped)
+    # a class is the node of its least id, unless ids repeat: then several classes may share one
+    repeated = not named.groupBy("id").count().where("count > 1").isEmpty()
+    if repeated:
+        before, stored = stored, materialise(stored.withColumn("node", F.monotonically_increasing_id()))
+        discard(before)
+    classes = stored if repeated else stored.withColumn("node", F.col("rep.id"))
+    banded = classes.select("node", "n", F.posexplode("bands").alias("band", "key"))
+    buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("pivot"), F.min_by("n", "node").alias("pivot_n")).where("size > 1")
     members = materialise(banded.join(buckets, "key"))
-    texts = materialise(source.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
+    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("rep.id").alias("id"), F.col("rep.h").alias("h"))
+    texts = source.join(wanted, ["id", "h"])
+    texts = materialise((texts.dropDuplicates(["id", "h"]) if repeated else texts).select("node", "text"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, salted: bool) -> DataFrame:
+        """Pairs (node, n, pivot, pivot_n, size) that link. Where ``salted``, a pivot's pairs are dealt to salts by the size of
+        their bucket, and its text goes to each."""
         sized = pairs.where(100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n"))
-        asked = sized.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-        own = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-        other = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-        return asked.join(own, "a").join(other, "b").select("a", "b", "ta", "tb").mapInArrow(_confirm(percent), "a long, b long")
-
-    links = materialise(verified(members.where(F.col("rep") != F.col("pivot")).select("rep", "n", "pivot", "pivot_n")))
+        asked = sized.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.max("size").alias("size"))
+        own = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+        other = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+        keys = ["b"]
+        if salted:
+            asked, keys = asked.select("a", "b", _salt("a", "size").alias("salt")), ["b", "salt"]
+            other = asked.select("b", "salt").distinct().join(other, "b")
+        return asked.join(own, "a").join(other, keys).select("a", "b", "ta", "tb").mapInArrow(_confirm(percent), "a long, b long")
+
+    links = materialise(verified(members.where("node != pivot").select("node", "n", "pivot", "pivot_n", "size"), True))
     groups = components(links, "a", "b")
 
     # the members of buckets that are in several components; one pivot has settled a bucket of two
-    labelled = members.where("size > 2").join(groups, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", "n", "size", F.coalesce("component", "rep").alias("c"))
-    shares = labelled.groupBy("key", "c").count().groupBy("key").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("count", "c")).alias("main")).where("parts > 1")
-    split = materialise(labelled.join(shares.select("key", "main"), "key"))
-    small = split.where(F.col("size") <= _SMALL).select("key", "rep", "n", "c")
-    other = small.select("key", F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("c").alias("pivot_c"))
-    pairs = small.join(other, "key").where((F.col("rep") > F.col("pivot")) & (F.col("c") != F.col("pivot_c")))
-    more = materialise(verified(pairs))
-
-    large = split.where(F.col("size") > _SMALL).withColumn("minor", F.col("c") != F.col("main"))
-    weights = large.groupBy("key", "minor").agg(F.ceil(F.sum("n") / _TILE).cast("int").alias("tiles"))
-    dealt = large.join(weights, ["key", "minor"]).select("key", "band", "minor", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int").alias("sub"), "rep", "c")
-    ids = dealt.select(F.col("rep").alias("id")).distinct()
-    signed = texts.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "text").mapInArrow(_signed(bands, rows), "rep long, signature binary, elements binary")
-    tiles = materialise(dealt.join(signed, "rep").groupBy("key", "band", "minor", "sub").agg(F.collect_list(F.struct("rep", "c", "signature", "elements")).alias("rows")))
+    labelled = members.where("size > 2").select("key", "band", "node", "n", "size").join(groups.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    counts = labelled.groupBy("key", "c").agg(F.count("*").alias("count"), F.sum("n").alias("sum"))
+    shares = counts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("count", "c", "sum")).alias("main"), F.sum("sum").alias("sum")).where("parts > 1")
+    shares = shares.select("key", F.col("main.c").alias("main"), F.col("main.sum").alias("main_sum"), (F.col("sum") - F.col("main.sum")).alias("minor_sum"))
+    split = materialise(labelled.join(shares, "key"))
+    small = split.where(F.col("size") <= _SMALL).select("key", "node", "n", "c", "size")
+    other = small.select("key", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("c").alias("pivot_c"))
+    pairs = small.join(other, "key").where((F.col("node") > F.col("pivot")) & (F.col("c") != F.col("pivot_c")))
+    more = materialise(verified(pairs, False))
+
+    minor = F.col("c") != F.col("main")
+    tiles_of = F.ceil(F.when(minor, F.col("minor_sum")).otherwise(F.col("main_sum")) / _TILE)
+    dealt = split.where(F.col("size") > _SMALL).select("key", "band", minor.alias("minor"), F.pmod(F.xxhash64("node"), tiles_of).cast("int").alias("sub"), "node", "c")
+    signed = texts.join(dealt.select("node").distinct(), "node", "left_semi").mapInArrow(_signed(bands, rows), "node long, signature binary, elements binary")
+    tiles = materialise(dealt.join(signed, "node").groupBy("key", "band", "minor", "sub").agg(F.collect_list(F.struct("node", "c", "signature", "elements")).alias("rows")))
     keys = tiles.select("key", "minor", "sub")
     met = keys.where("minor").select("key", F.col("sub").alias("sub_a")).join(keys, "key").where("NOT minor OR sub >= sub_a")
     first = tiles.where("minor").select("key", F.col("sub").alias("sub_a"), F.col("rows").alias("a"))
     blocks = met.join(first, ["key", "sub_a"]).join(tiles.withColumnRenamed("rows", "b"), ["key", "minor", "sub"])
     tiled = materialise(blocks.select("band", (F.col("minor") & (F.col("sub") == F.col("sub_a"))).alias("own"), "a", "b").mapInArrow(_compare(rows, bands, percent), "a long, b long"))
 
-    groups = components(links.unionByName(more).unionByName(tiled), "a", "b")
-    found = classes.select("k1", "k2", "n", "rep").join(groups, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("found"))
-    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("found")).otherwise(F.col("id"))
-    joined = profiles.select("id", "n", "k1", "k2").join(found, ["k1", "k2", "n"], "left")
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    joined = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    every = components(joined.unionByName(more).unionByName(tiled), "a", "b")
+    discard(members, texts, links, groups, split, more, tiles, tiled)
+    found = classes.select("node", "k1", "k2", "n", "rep", "size").join(every, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if repeated:  # the least (id, h) of each component
+        found = found.join(found.groupBy("component").agg(F.min("rep").alias("least")), "component").withColumn("component", F.col("least.id")).withColumn("rep", F.col("least"))
+    found = found.select("k1", "k2", "n", "component", F.col("rep.id").alias("first_id"), F.col("rep.h").alias("first_h"))
+    out = profiles.select("id", "h", "n", "k1", "k2").join(found, ["k1", "k2", "n"], "left")
+    alone = (F.col("n") == 0) | F.col("id").isNull()
+    first = (F.col("id") == F.col("component")) & (F.col("id") == F.col("first_id")) & (F.col("h") == F.col("first_h"))
+    return out.select("id", "h", "n", F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component"), (alone | first).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bands: int = 28, rows: int = 4) -> DataFrame:
+    """Group texts whose sets of lower-cased five-word shingles have ``100 * intersection >= percent * union``.
+
+    Returns one row for each input row: ``id_col`` as a long, ``n_shingles``, ``component_id`` (the least id
+    reachable by links, itself included) and ``kept`` (its id is that). A text of fewer than five words has
+    its word sequence as its one shingle. A null, empty or blank text has no shingles and links with nothing.
+    A null id gives a null component and stays kept. Rows that share an id are judged each by its own text;
+    rows that repeat id and text are judged alike. An empty table gives an empty one. Columns other than the two
+    are not read, whatever their names; an id that is not a number fails on the cast to long.
+    """
+    out = judged(docs, id_col, text_col, percent, bands, rows)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeats: bool = True) -> DataFrame:
     """The rows of ``docs`` whose text is the least-numbered of its near-duplicate group, with all columns.
 
-    Each row is judged by its own text: where rows share an id, each different text of it has a number of its own,
-    in the order of ids. Rows without an id stay. Rows that repeat id and text are judged alike; unless
-    ``repeats``, one of them stays.
+    Each row is judged by its own text. Where near-duplicate texts share the least id, the one with the least
+    ``xxhash64`` stays. Rows without an id stay. Rows that repeat id and text are judged alike; unless ``repeats``, one of them stays. An empty table gives
+    an empty one, and columns keep their names.
     """
-    ids = docs.select(F.col(id_col).cast("long").alias("_id"))
-    if ids.groupBy("_id").count().where("count > 1").isEmpty():
-        gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-        return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
-    columns = docs.columns
-    rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(text_col)})
-    numbers = rows.where("_id IS NOT NULL").select("_id", "_hash").distinct().orderBy("_id", "_hash")
-    numbers = materialise(numbers.withColumn("_row", F.monotonically_increasing_id()))
-    rows = materialise(rows.join(numbers, ["_id", "_hash"], "left"))
-    gone = near_duplicates(rows, "_row", text_col).where(~F.col("kept")).select(F.col("_row").alias("_gone")).distinct()
-    kept = rows.join(gone, rows["_row"] == gone["_gone"], "left_anti")
-    return (kept if repeats else kept.dropDuplicates(["_id", "_hash"])).select(*columns)
+    rows = judged(docs, id_col, text_col)
+    gone = rows.where("NOT first").select(F.col("id").alias("gone_id"), F.col("h").alias("gone_hash")).distinct()
+    ident, text = docs[id_col].cast("long"), F.xxhash64(docs[text_col])
+    kept = docs.join(gone, (ident == gone["gone_id"]) & (text == gone["gone_hash"]), "left_anti")
+    if repeats or rows.groupBy("id", "h").count().where("count > 1").isEmpty():
+        return kept
+    own, hashed = free_name(docs, "_id"), free_name(docs, "_hash")
+    return kept.withColumns({own: ident, hashed: text}).dropDuplicates([own, hashed]).drop(own, hashed)

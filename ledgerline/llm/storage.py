@@ -2,65 +2,68 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder of ``spark.checkpoint.dir``. Only a local session, whose tasks share the driver's disk, gets one of our
+    own where it is unset; on a cluster that is an error."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="ledgerline-")
-        spark.sparkContext.setCheckpointDir(found)
+        context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: this cuts the lineage, and the
-    copy outlives any executor. The files go when the application ends, or earlier by :func:`discard`."""
+    copy outlives any executor. :func:`discard` deletes it; what a result still reads goes when the driver's
+    JVM ends, whether or not the session was stopped before."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/ledgerline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    where, files = _place(spark, path)
+    files.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that :func:`materialise` wrote and that nothing reads any more."""
-    path = getattr(df, "_scratch", None)
-    if path:
-        _delete(df.sparkSession, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialise` wrote and that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path:
+            where, files = _place(df.sparkSession, path)
+            files.delete(where, True)
+            files.cancelDeleteOnExit(where)
 
 
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        if spark.sparkContext._jsc is None:  # the session was stopped
-            continue
-        try:
-            _delete(spark, path)
-        except OSError:
-            pass
-        except Exception as e:  # the gateway may be gone at exit
-            if type(e).__module__.split(".")[0] != "py4j":
-                raise
+def _place(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def bound_arrow(spark: SparkSession, max_bytes: int = 4 << 20) -> None:
-    """Limit Arrow batches by bytes, so that a run of very long texts cannot fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))
+    """Limit Arrow batches by bytes, so that a run of very long texts cannot fill a Python worker.
+
+    Spark reads the setting when a query runs, which is after an operator has returned its DataFrame. So it stays
+    set in the caller's session; a limit of the caller's own that is lower is left alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (spark.conf.get(key) or "").rstrip("bB")
+    if not now.isdigit() or int(now) > max_bytes:
+        spark.conf.set(key, str(max_bytes))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or as many more underscores before it as no column of ``df`` has, case ignored."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
