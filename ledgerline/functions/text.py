@@ -46,13 +46,22 @@ def operation_of(route: Column) -> Column:
     return F.nullif(F.regexp_extract(route, r"^/v1/ops/([A-Za-z.]+)$", 1), F.lit(""))
 
 
+def internal_tool_of(route: Column) -> Column:
+    """The tool in a route ``/internal/<tool>``, else null."""
+    return F.nullif(F.regexp_extract(route, r"^/internal/([a-z_]+)$", 1), F.lit(""))
+
+
+def is_uuid(text: Column) -> Column:
+    return text.rlike(r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
+
+
 def bearer_token(header: Column) -> Column:
     return F.nullif(F.regexp_extract(header, r"^Bearer (.+)$", 1), F.lit(""))
 
 
-def token_subjects(setting: Column) -> Column:
+def token_subjects(setting: Column, between: str = ";") -> Column:
     """``token=subject;token=subject`` as a map; empty parts are left out."""
-    parts = F.filter(F.transform(F.split(setting, ";"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(setting, between), F.trim), lambda p: p != "")
     return F.map_from_entries(F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)), F.trim(F.regexp_extract(p, r"^[^=]*=(.*)$", 1)))))
 
 

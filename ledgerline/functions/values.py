@@ -33,3 +33,18 @@ def valid_json(text: Column) -> Column:
 def ordered_json(items: Column) -> Column:
     """An array of structs as JSON, in the order of the structs' fields; null fields are left out."""
     return F.coalesce(F.to_json(F.array_sort(items)), F.lit("[]"))
+
+
+def vector_of_json(text: Column) -> Column:
+    """A JSON array of numbers as a vector; null for anything else."""
+    return F.from_json(text, "array<float>")
+
+
+def has_key(values: Column, key: Column | str) -> Column:
+    """Whether a map has a key of its own, be its value null."""
+    return F.coalesce(F.map_contains_key(values, key), F.lit(False))
+
+
+def without_nulls(values: Column) -> Column:
+    """A map without the keys whose value is null."""
+    return F.map_filter(values, lambda _, v: v.isNotNull())

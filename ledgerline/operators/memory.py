@@ -48,16 +48,16 @@ def search_vector(memories: DataFrame, query: Sequence[float], limit: int | None
     return scored.orderBy(F.col("score").desc(), F.col(key)).limit(limit_of(limit))
 
 
-def search(memories: DataFrame, query: str, embedding: Sequence[float] | None = None, limit: int | None = None, **names: str) -> DataFrame:
+def search(memories: DataFrame, query: str, embedding: Sequence[float] | None = None, limit: int | None = None, content: str = "content", newest: str = "created_at", key: str = "id", vector: str = "embedding") -> DataFrame:
     """``memory.search``: by vector where an embedding is given (the text is then ignored), else by text."""
-    return search_text(memories, query, limit, **names) if embedding is None else search_vector(memories, embedding, limit, **names)
+    return search_text(memories, query, limit, content, newest, key) if embedding is None else search_vector(memories, embedding, limit, vector, key)
 
 
-def recall(memories: DataFrame, query: str, limit: int | None = None, **names: str) -> DataFrame:
+def recall(memories: DataFrame, query: str, limit: int | None = None, content: str = "content", newest: str = "created_at", key: str = "id") -> DataFrame:
     """The public tool over :func:`search_text`: an empty query is refused here."""
     if not query:
         raise ValueError("INVALID_INPUT: query must not be empty")
-    return search_text(memories, query, limit, **names)
+    return search_text(memories, query, limit, content, newest, key)
 
 
 def tagged(memories: DataFrame, tag: str, tags: str = "tags") -> DataFrame:

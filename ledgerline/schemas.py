@@ -23,12 +23,18 @@ RUN = _row(("id", _S), ("service", _S), ("tool", _S), ("input", _S, True), ("sta
 RUN_EVENT = _row(("run_id", _S), ("seq", _I), ("type", _S), ("payload", _S), ("at", _TS))
 MEMORY = _row(("id", _S), ("content", _S), ("tags", T.ArrayType(_S, False)), ("embedding", T.ArrayType(T.FloatType(), False), True), ("created_at", _TS))
 MEMORY_ITEM = _row(("id", _S), ("content", _S), ("tags", T.ArrayType(_S, False)), ("score", _D))
+COMPLETION = _row(("run_id", _S), ("status", _S), ("result", _S, True), ("at", _TS))
+MEMORY_ID = _row(("id", _S))
+VALUE = _row(("value", _S))
 EVIDENCE = _row(("source", _S), ("ref", _S), ("excerpt", _S, True))
 COST = _row(("input_tokens", _L), ("output_tokens", _L), ("usd", _D))
 ERROR = _row(("code", _S), ("message", _S))
 AUDIT = _row(("at", _S), ("subject", _S), ("tool", _S), ("owner", _S, True), ("outcome", _S), ("error_code", _S, True), ("duration_ms", _L))
 SCHEMA_VERSION = _row(("version", _S), ("applied_at", _TS))
 
+#: The logs of a store.
+LOGS = {"runs": RUN, "run_events": RUN_EVENT, "completions": COMPLETION, "memories": MEMORY}
+
 #: Versions of the tables, in order; a version is added and never changed.
 VERSIONS = {"0001_runs": ["runs", "run_events"], "0002_memory": ["memories"], "0003_runs_immutable": []}
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import is_migration, version_of
+from ..schemas import LOGS, SCHEMA_VERSION
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,10 +20,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def append(rows: DataFrame, path: str, schema: T.StructType, partition_by: Iterable[str] = ()) -> DataFrame:
-    """Append rows in the columns of ``schema`` and return what was written."""
-    out = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema])
-    out.write.mode("append").partitionBy(*partition_by).parquet(path)
-    return out
+    """Append rows in the columns of ``schema`` and return them as they were written: ids and times that rows make when
+    they are computed are read back, not made again. Each append is a folder of its own, ``batch=<id>``."""
+    out = rows.select(*[F.col(f.name).cast(f.dataType.simpleString()) for f in schema])
+    folder = f"{path}/batch={uuid.uuid4().hex}"
+    out.write.partitionBy(*partition_by).parquet(folder)
+    return rows.sparkSession.read.schema(schema).parquet(folder).select(*schema.names)
 
 
 def log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -27,7 +33,21 @@ def log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).option("basePath", path).parquet(path).select(*schema.names)
+
+
+@dataclass(frozen=True)
+class Store:
+    """The logs of :data:`~ledgerline.schemas.LOGS` in one folder that the cluster shares. Each log has one writer at a time."""
+
+    spark: SparkSession
+    folder: str
+
+    def table(self, name: str) -> DataFrame:
+        return log(self.spark, f"{self.folder}/{name}", LOGS[name])
+
+    def append(self, name: str, rows: DataFrame) -> DataFrame:
+        return append(rows, f"{self.folder}/{name}", LOGS[name])
 
 
 def register(views: Mapping[str, DataFrame]) -> None:
@@ -46,6 +66,20 @@ def pending(files: DataFrame, applied: DataFrame) -> DataFrame:
     return files.join(applied.select("version"), "version", "left_anti").select("file", "version")
 
 
+def migrate(spark: SparkSession, folder: str, ledger: str) -> list[str]:
+    """Run the pending migration files of a folder in order and record each in the ledger, a log; returns their names.
+
+    A file holds statements of Spark SQL, each ended by a semicolon at the end of a line. A file that fails is
+    not recorded, and runs again from its beginning the next time: there are no transactions over tables."""
+    waiting = pending(migration_files(spark, folder), log(spark, ledger, SCHEMA_VERSION)).orderBy("file").collect()
+    for row in waiting:
+        for statement in re.split(r";[ \t]*(?:\n|$)", spark.read.text(f"{folder}/{row['file']}", wholetext=True).first()[0]):
+            if statement.strip():
+                spark.sql(statement)
+        append(spark.createDataFrame([(row["version"],)], "version string").withColumn("applied_at", F.current_timestamp()), ledger, SCHEMA_VERSION)
+    return [r["file"] for r in waiting]
+
+
 def statements(spark: SparkSession, folder: str) -> DataFrame:
     """SQL texts of a folder, one statement a file."""
     read = spark.read.text(folder, wholetext=True).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))

@@ -6,14 +6,17 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text, values
 from ledgerline.functions.vector import cosine, has_dimension, literal
 from ledgerline.operators import audit, checks, memory, quota, results, runs
-from ledgerline.plans.operations import READS, Operation, OperationError, Operations
-from ledgerline.schemas import AUDIT, MEMORY, RUN, RUN_EVENT, RUN_STATUSES, result
-from ledgerline.sources import tables
+from ledgerline.plans.operations import DATA, Operation, OperationError, Operations, tools_of
+from ledgerline.plans.operations import text as text_check
+from ledgerline.schemas import AUDIT, MEMORY, RUN, RUN_EVENT, RUN_STATUSES, SCHEMA_VERSION, VALUE, result
+from ledgerline.sources import statements, tables
+from ledgerline.sources.tables import Store
 
 T0 = dt.datetime(2026, 1, 1)
 
@@ -81,6 +84,9 @@ def test_vector_search_skips_and_ties(memories):
     out = memory.search_vector(memories, [1.0, 0.0]).collect()
     assert [(r.id, r.score) for r in out] == [("m1", 1.0), ("m2", 0.0), ("m4", 0.0)]
     assert memory.search(memories, "ignored", [0.0, 1.0], 1).first().id == "m2"
+    own = memories.withColumnsRenamed({"content": "said", "created_at": "told", "id": "no", "embedding": "v"})
+    for v, found in (([0.0, 1.0], "m2"), (None, "m1")):
+        assert memory.search(own, "key", v, 1, content="said", newest="told", key="no", vector="v").first().no == found
 
 
 @pytest.mark.parametrize("limit", [0, 51, -1, 2.0, True])
@@ -211,23 +217,144 @@ def test_scalar_functions(spark):
     assert value(has_dimension(literal([1, 2]), 2))
 
 
-def test_operations(spark, memories, run_rows):
-    known = {"memories": memories, "runs": run_rows, "run_events": spark.createDataFrame([], RUN_EVENT)}
-    assert [r.id for r in READS.execute("memory.search", known, query="deploy").collect()] == ["m2", "m1"]
-    assert READS.one("memory.search", known, query="x", embedding=[0.0, 1.0]).id == "m2"
-    assert READS.one("runs.get", known, run_id="r1").tool == "recall"
-    assert READS.one("runs.events", known, run_id="r1").value == "[]"
-    for name, given, code in [("nothing", {}, "NOT_FOUND"), ("runs.get", {"run_id": 5}, "INVALID_INPUT"), ("runs.get", {"odd": "x"}, "INVALID_INPUT"), ("runs.get", {}, "INVALID_INPUT"), ("memory.search", {"query": "a", "limit": 51}, "INVALID_INPUT")]:
-        with pytest.raises(OperationError) as e:
-            READS.execute(name, known, **given)
-        assert e.value.code == code
-    with pytest.raises(OperationError, match="NOT_FOUND"):
-        READS.one("runs.get", known, run_id="none")
-    assert set(READS.only("runs.get").known) == {"runs.get"}
-    with pytest.raises(ValueError):
-        Operation("x", {"a": str}, [("a", lambda t: t)])
-    with pytest.raises(ValueError):
-        Operations(*READS.known.values(), READS.known["runs.get"])
+def _fails(code, call):
+    with pytest.raises(OperationError) as e:
+        call()
+    assert e.value.code == code
+
+
+AXIS = [[float(i == j) for j in range(384)] for i in (0, 1)]
+UNKNOWN = "00000000-0000-4000-8000-000000000000"
+
+
+def test_a_run_from_its_creation_to_its_end(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    made = DATA.one("runs.create", store, service="memory", tool="recall", input={"query": "q"})
+    assert (made.status, json.loads(made.input), made.result) == ("running", {"query": "q"}, None)
+    assert DATA.one("runs.get", store, run_id=made.id) == made
+    assert DATA.one("runs.events", store, run_id=made.id).value == "[]"
+    DATA.execute("runs.appendEvent", store, run_id=made.id, type="run.created")
+    event = DATA.one("runs.appendEvent", store, run_id=made.id, type="worker.started", payload={"image": "x"})
+    assert (event.seq, json.loads(event.payload)) == (1, {"image": "x"})
+    told = json.loads(DATA.one("runs.events", store, run_id=made.id).value)
+    assert [(e["seq"], e["type"], json.loads(e["payload"])) for e in told] == [(0, "run.created", {}), (1, "worker.started", {"image": "x"})]
+    done = DATA.one("runs.complete", store, run_id=made.id, status="ok", result={"memory_id": "m"})
+    assert (done.status, json.loads(done.result), done.created_at) == ("ok", {"memory_id": "m"}, made.created_at) and done.completed_at
+    _fails("INVALID_OPERATION", lambda: DATA.execute("runs.complete", store, run_id=made.id, status="failed", result=None))
+    assert DATA.one("runs.get", store, run_id=made.id) == done
+    DATA.execute("runs.appendEvent", store, run_id=made.id, type="worker.exited")  # late events are allowed
+    for name, given in [("runs.get", {}), ("runs.events", {}), ("runs.appendEvent", {"type": "run.created"}), ("runs.complete", {"status": "ok", "result": None})]:
+        _fails("NOT_FOUND", lambda name=name, given=given: DATA.execute(name, store, run_id=UNKNOWN, **given))
+
+
+def test_memories_are_stored_and_found(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    assert DATA.execute("memory.search", store, query="x").collect() == []
+    ident = DATA.one("memory.insert", store, content="The deploy KEY rotates", tags=["ops"]).id
+    assert store.table("memories").first()["id"] == ident
+    found = DATA.one("memory.search", store, query="key")
+    assert (found.id, found.tags, found.score) == (ident, ["ops"], 1.0)
+    for content, v in (("far", AXIS[1]), ("near", AXIS[0])):
+        DATA.execute("memory.insert", store, content=content, embedding=v)
+    assert [(r.content, r.score) for r in DATA.execute("memory.search", store, query="", embedding=AXIS[0], limit=2).collect()] == [("near", 1.0), ("far", 0.0)]
+    public, internal = tools_of("memory", False), tools_of("memory", True)
+    assert (set(public.known), set(internal.known)) == ({"recall", "remember"}, {"memory_search", "memory_insert"})
+    assert public.one("recall", store, query="key").id == ident
+    assert len(internal.execute("memory_search", store, query="").collect()) == 3
+    public.execute("remember", store, content="alpha")
+    internal.execute("memory_insert", store, content="alpha two", tags=["a"])
+    assert len(internal.execute("memory_search", store, query="ALPHA", limit=1).collect()) == 1
+    _fails("INVALID_INPUT", lambda: public.execute("recall", store, query=""))
+    _fails("INVALID_INPUT", lambda: internal.execute("memory_search", store, query="", embedding=AXIS[0]))
+    _fails("INVALID_INPUT", lambda: internal.execute("memory_insert", store, content="x", embedding=AXIS[0]))
+    _fails("NOT_FOUND", lambda: public.execute("memory_search", store, query=""))
+    _fails("NOT_FOUND", lambda: tools_of("other", False).execute("recall", store, query="x"))
+
+
+@pytest.mark.parametrize(
+    ("name", "given"),
+    [
+        ("runs.get", {}), ("runs.get", {"run_id": 5}), ("runs.get", {"run_id": "r1"}), ("runs.get", {"run_id": UNKNOWN, "odd": 1}),
+        ("runs.create", {"service": "s", "tool": None, "input": {}}), ("runs.create", {"service": "s", "tool": "t"}), ("runs.create", {"service": "s", "tool": "t", "input": float("nan")}),
+        ("runs.appendEvent", {"run_id": UNKNOWN, "type": "odd"}), ("runs.appendEvent", {"run_id": UNKNOWN, "type": "run.created", "payload": [1]}),
+        ("runs.complete", {"run_id": UNKNOWN, "status": "running", "result": None}),
+        ("memory.insert", {"content": ""}), ("memory.insert", {"content": "a", "tags": "ops"}), ("memory.insert", {"content": "a", "tags": [None]}), ("memory.insert", {"content": "a", "embedding": [1.0]}),
+        ("memory.search", {"query": "a", "limit": 51}), ("memory.search", {"query": "a", "limit": True}), ("memory.search", {"query": "a", "embedding": ["x"] * 384}), ("memory.search", {"query": "a", "embedding": [1.0, 2.0, 3.0]}),
+    ],
+)
+def test_inputs_are_checked(spark, tmp_path, name, given):
+    _fails("INVALID_INPUT", lambda: DATA.execute(name, Store(spark, str(tmp_path)), **given))
+
+
+def test_registries_are_checked(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    _fails("NOT_FOUND", lambda: DATA.execute("nothing", store))
+    assert set(DATA.only("runs.get").known) == {"runs.get"}
+    search = DATA.known["memory.search"]
+    for wrong in (lambda: Operation("x", {"a": text_check()}, [("a", print)], VALUE), lambda: Operation("x", {}, [("a", print), (None, print)], VALUE), lambda: Operations(search, search), lambda: search.view("y", "limit"), lambda: search.view("y", "query", "odd")):
+        with pytest.raises(ValueError):
+            wrong()
+    shape = Operation("z", {}, [(None, lambda s: s.spark.range(1))], VALUE)
+    with pytest.raises(AssertionError):
+        Operations(shape).execute("z", store)
+    gone = Operation("g", {}, [(None, lambda s: s.spark.table("no_such_table"))], VALUE)
+    _fails("NOT_FOUND", lambda: Operations(gone, failures=DATA.failures).execute("g", store))
+    with pytest.raises(AnalysisException):
+        Operations(gone).execute("g", store)
+
+
+def test_statement_files(spark, tmp_path, memories):
+    memories.createOrReplaceTempView("memory_rows")
+    files = {"by_tag.sql": "SELECT id FROM memory_rows WHERE array_contains(tags, :tag) -- not :this", "every.sql": "SELECT id, ':no' AS x FROM memory_rows ORDER BY id LIMIT :n", "echo.sql": "SELECT :payload AS value"}
+    entries = [{"operation": "find", "when": "tag", "file": "by_tag.sql", "parameters": ["tag"], "returns": "rows"}, {"operation": "find", "file": "every.sql", "parameters": ["n"], "returns": "rows"}, {"operation": "echo", "file": "echo.sql", "parameters": ["payload:json"], "returns": "value"}]
+
+    def load(entries):
+        (tmp_path / "statements.json").write_text(json.dumps(entries))
+        return statements.load(spark, str(tmp_path))
+
+    for name, body in files.items():
+        (tmp_path / name).write_text(body)
+    known = load(entries)
+    assert [r.id for r in statements.answer(spark, known, "find", {"tag": "ops"}).collect()] == ["m1"]
+    assert statements.answer(spark, known, "find", {"tag": "ops' OR 1=1 --"}).collect() == []
+    assert [r.id for r in statements.answer(spark, known, "find", {"n": 2}).collect()] == ["m1", "m2"]
+    assert statements.answer(spark, known, "echo", {"payload": {"a": [1]}}).first().value == '{"a": [1]}'
+    assert statements.answer(spark, known, "echo", {}).first().value is None
+    with pytest.raises(ValueError, match="NOT_FOUND"):
+        statements.answer(spark, known, "odd", {})
+    for wrong in ([entries[0]], [{**entries[1], "parameters": []}], [{**entries[1], "odd": 1}], [{**entries[1], "returns": "all"}]):
+        with pytest.raises(ValueError):
+            load(wrong)
+
+
+def test_migrations_run_once_and_in_order(spark, tmp_path):
+    folder, ledger = tmp_path / "files", str(tmp_path / "ledger")
+    folder.mkdir()
+    (folder / "0001_first.sql").write_text("CREATE OR REPLACE TEMP VIEW step AS SELECT 1 AS n;\nCREATE OR REPLACE TEMP VIEW again AS SELECT 'a;b' AS x;\n")
+    (folder / "notes.md").write_text("nothing to run")
+    assert tables.migrate(spark, str(folder), ledger) == ["0001_first.sql"]
+    (folder / "0002_second.sql").write_text("CREATE OR REPLACE TEMP VIEW later AS SELECT n + 1 AS n FROM step")
+    (folder / "0003_bad.sql").write_text("SELECT * FROM no_such_table")
+    with pytest.raises(AnalysisException):
+        tables.migrate(spark, str(folder), ledger)
+    assert sorted(r.version for r in tables.log(spark, ledger, SCHEMA_VERSION).collect()) == ["0001", "0002"]
+    (folder / "0003_bad.sql").unlink()
+    assert tables.migrate(spark, str(folder), ledger) == [] and (spark.table("again").first().x, spark.table("later").first().n) == ("a;b", 2)
+
+
+def test_database_tables(spark, memories):
+    url = "jdbc:derby:memory:ledgerline;create=true"
+    rows = spark.range(100).select(F.col("id").alias("N"), (F.col("id") % 7).alias("R"))
+    tables.write_jdbc(rows, url, "T")
+    out = tables.jdbc(spark, url, "T", "N", 0, 100, 4)
+    assert out.rdd.getNumPartitions() == 4 and out.where("R = 3").count() == rows.where("R = 3").count()
+    assert tables.jdbc(spark, url, "T").count() == 100
+
+
+def test_maps_vectors_and_ids(spark):
+    row = spark.sql("SELECT map('a', 1, 'b', null) AS m, '[1, 2.5]' AS v, 'x' AS bad")
+    out = row.select(values.has_key(F.col("m"), "b").alias("has"), values.has_key(F.col("m"), "c").alias("not"), values.without_nulls(F.col("m")).alias("m"), values.vector_of_json(F.col("v")).alias("v"), values.vector_of_json(F.col("bad")).alias("bad"), text.is_uuid(F.lit(UNKNOWN)).alias("id"), text.internal_tool_of(F.lit("/internal/memory_search")).alias("tool")).first()
+    assert (out.has, out["not"], out.m, out.v, out.id, out.tool) == (True, False, {"a": 1}, [1.0, 2.5], True, "memory_search") and not out.bad
 
 
 def test_logs_files_and_ledger(spark, tmp_path, memories):
