@@ -146,7 +146,8 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col
     """Add the ids of each whole text as a binary column of little-endian unsigned 32-bit integers.
 
     Special strings inside a text give their special ids, and no others are added. A null text counts as
-    empty and has no ids. All other columns stay; one with the name of the new column gives way to it."""
+    empty and has no ids. All other columns stay; one with the name of the new column gives way to it. Each row is
+    encoded for itself, repeated or not, whole and in one task; an empty table gives an empty one."""
     bound_arrow(docs.sparkSession)
     text = read(tokenizer_path)
 

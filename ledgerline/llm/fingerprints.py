@@ -105,6 +105,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``near_edited`` and ``near_next``. A null text counts as empty; a text without words has the empty
     fingerprint. Rows without an id come last; rows that share an id go by a hash of their text; rows that
     are equal in both count as one document in the order, and each gets its result. One document is its own next.
+    An empty table gives an empty one. Columns other than the two are not read, whatever their names. A very long text is
+    one value of a column, as are the arrays of its hashes.
     """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -172,8 +172,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     Returns for each input row ``id_col``, ``held_out``, ``score`` (0 to 1, higher: label 1 likelier) and ``predicted``
     (1 where the score is at least 0.5), then the columns ``carry`` of the row. Labels other than 0 and 1 are left out, and of several labels of one
-    id the least counts. A null text counts as empty and is scored like any other. All labelled rows are learnt
-    from; what comes to the driver is one matrix a class.
+    id the least counts. A null text counts as empty and is scored like any other; a null id is not held out and has no label. Repeated rows
+    and ids are scored each by its own text. An empty table gives an empty one; without labels every score is 0.5.
+    Columns other than those named are not read, whatever their names. Texts are read whole, long ones in one task. All
+    labelled rows are learnt from; what comes to the driver is one matrix a class.
     """
     bound_arrow(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

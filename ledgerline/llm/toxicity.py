@@ -247,7 +247,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     Returns for each input row
     ``id_col``, ``held_out``, ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (1 where the score is at
     least ``threshold``), then the columns ``carry`` of the row. Labels other than 0 and 1 are left out; of several labels of one id the least
-    counts. A null text counts as empty and is scored like any other.
+    counts. A null text counts as empty and is scored like any other; a null id is not held out and has no label. Repeated
+    rows and ids are scored each by its own text, and learnt from as often as they stand. An empty table gives an empty
+    one; without labels scores do not depend on what a text says. Columns other than those named are not read,
+    whatever their names. Texts are read whole, long ones in one task.
     """
     spark = docs.sparkSession
     bound_arrow(spark)
