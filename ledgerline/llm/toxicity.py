@@ -35,7 +35,9 @@ FUNCTION_WORDS = {
 #: Bytes that are neither letters nor digits nor part of a character beyond ASCII.
 _BETWEEN = np.array([not (chr(b).isalnum() if b < 128 else True) for b in range(256)])
 _BUCKETS, _WIDTHS, _FILTERS, _DIM = 1 << 20, (1, 2, 3), 8, 8
-_GAP = max(_WIDTHS) - 1
+#: Zero words after each text: its positions are those of its words and one of zero words, and no filter at them
+#: reaches the next text.
+_GAP = max(_WIDTHS)
 #: Width of the bins in which logits are counted.
 _STEP = 1 / 256
 
@@ -77,14 +79,14 @@ class Network:
     weights: np.ndarray
     intercept: float
 
-    def spread(self, buckets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Embedding rows of texts with gaps between them, and where each text begins."""
+    def spread(self, buckets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Embedding rows of texts with gaps between them, and where the positions of each text begin and end."""
         n = len(bounds) - 1
         starts = bounds[:-1] + _GAP * np.arange(n)
         out = np.zeros(len(buckets) + _GAP * n + _GAP, np.int32)
         where = np.arange(len(buckets)) + _GAP * np.repeat(np.arange(n), np.diff(bounds))
         out[where] = self.rows[buckets]
-        return out, starts
+        return out, starts, starts + np.diff(bounds) + 1
 
     def activations(self, table: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Filter values at each position; ``table`` is the embedding times the filters."""
@@ -99,11 +101,10 @@ class Network:
 
     def logits(self, buckets: np.ndarray, bounds: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
         table = self.embedding @ self.filters if table is None else table
-        rows, starts = self.spread(buckets, bounds)
+        rows, starts, stops = self.spread(buckets, bounds)
         if not len(starts):
             return np.zeros(0)
-        # a text's own positions reach into its gap, whose words are zero, so one without words has a value too
-        top = np.maximum.reduceat(self.activations(table, rows), starts, axis=0)
+        top = np.maximum.reduceat(self.activations(table, rows), np.column_stack([starts, stops]).ravel(), axis=0)[::2]
         return np.maximum(top + self.bias, 0) @ self.weights + self.intercept
 
 
@@ -161,9 +162,8 @@ def train(buckets: np.ndarray, bounds: np.ndarray, y: np.ndarray, counts: tuple[
         for pick in np.array_split(rng.permutation(own), max(1, len(own) // batch)):
             t += 1
             words, at = _ragged(buckets, bounds, pick)
-            ids, starts = net.spread(words, at)
+            ids, starts, stops = net.spread(words, at)
             values = net.activations(net.embedding @ net.filters, ids)
-            stops = np.append(starts[1:], len(values))
             best = np.stack([a + values[a:b].argmax(axis=0) for a, b in zip(starts, stops, strict=True)])
             top = values[best, np.arange(k)] + net.bias
             active = np.maximum(top, 0)

@@ -70,7 +70,7 @@ def _forward(net: Network, texts: list[list[int]]) -> np.ndarray:
     """The network word by word, with plain loops."""
     out, f = [], toxicity._FILTERS
     for words in texts:
-        rows = [net.embedding[net.rows[w]] for w in words] or [np.zeros(toxicity._DIM)]
+        rows = [*(net.embedding[net.rows[w]] for w in words), np.zeros(toxicity._DIM)]
         column, top = 0, []
         for w in toxicity._WIDTHS:
             values = []
@@ -100,6 +100,15 @@ def test_network_by_plain_loops():
     assert np.allclose(_network(3).logits(flat, bounds), _forward(_network(3), texts))
 
 
+def test_a_logit_does_not_depend_on_the_texts_around():
+    rng, net = np.random.default_rng(9), _network(5)
+    texts = [rng.integers(0, 60, n) for n in (0, 1, 2, 5, 0, 0, 9)]
+    for order in (range(7), range(6, -1, -1)):
+        flat, bounds = np.concatenate([texts[i] for i in order]).astype(np.int32), np.concatenate([[0], np.cumsum([len(texts[i]) for i in order])])
+        alone = [net.logits(texts[i].astype(np.int32), np.array([0, len(texts[i])]))[0] for i in order]
+        assert np.allclose(net.logits(flat, bounds), alone)
+
+
 def test_training_goes_down_the_gradient(monkeypatch):
     """One step of training against numeric gradients: every parameter moves against the sign of its own."""
     rng = np.random.default_rng(4)
