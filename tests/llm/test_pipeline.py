@@ -79,6 +79,26 @@ def test_a_rejected_text_takes_no_other_of_its_id(spark, tmp_path):
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(r for r in rows if r[1] == good)
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Columns named like those of operators, none of them lost or changed; nulls, repeats, and an empty table."""
+    words = [f"w{i}" for i in range(300)]
+    passage = " ".join(words[100:160])
+    rows = [(1, f"{passage} one two", "mine", "x", 7), (2, f"three four {passage}", "mine", "x", 7), (3, None, None, None, None), (None, "no id here", "y", "y", 1), (5, "", "z", "z", 2), (6, " ".join(words[200:260]), "q", "q", 3), (6, " ".join(words[200:260]), "q", "q", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words string, _gone string, _hash int")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.substring_dedup(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert Counter((r.doc_id, r.text, r.n_words) for r in out.collect()) == Counter([(1, "one two", "mine"), (2, "three four", "mine"), (3, "", None), (None, "no id here", "y"), (5, "", "z"), (6, "", "q"), (6, "", "q")])
+    out = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert out.columns == docs.columns and Counter(map(tuple, out.collect())) == Counter({*rows} - {rows[1]})  # the first two are near-duplicates
+    for stage in (corpus_pipeline.quality, corpus_pipeline.toxicity):
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns and not Counter(map(tuple, kept.collect())) - Counter(rows)
+    assert sorted(r.doc_id or 0 for r in corpus_pipeline.packing(spark, docs, SF).collect()) == [0, 1, 2, 3, 5, 6, 6]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_run_applies_all_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns[:3] == ["doc_id", "piece", "start"] and out.count() > 100
