@@ -13,6 +13,7 @@ from .embedding_dedup import near_vectors
 from .fingerprints import fingerprints
 from .minhash_dedup import near_duplicates
 from .packing import pack
+from .periodic_runs import periodic_runs, strongest
 from .quality import quality_scores
 from .substring_dedup import remove_repeats
 from .token_counts import token_counts
@@ -73,6 +74,23 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
+def _repeating(docs: DataFrame) -> DataFrame:
+    """Texts of which each tenth, by the checksum of its id, ends in words that repeat."""
+    sums = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    words = sums.withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    sized = words.withColumn("n", F.size("w")).withColumn("g", F.expr("h div 10"))
+    placed = sized.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    ends = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return placed.select("doc_id", F.when(F.col("n") > 0, F.array_join(ends, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(_repeating(_table(spark, sf_dir, "documents", "doc_id", "text"))).withColumn("best", strongest(F.col("runs")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -84,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_fingerprints": op9_fingerprints,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -103,4 +122,22 @@ x AS (SELECT doc_id, list(k) AS gone FROM c GROUP BY doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
   sha256(coalesce((SELECT string_agg(y.word, ' ' ORDER BY y.k) FROM (SELECT unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k) y WHERE NOT coalesce(list_contains(gone, y.k), false)), '')) AS kept_sha256
 FROM w LEFT JOIN x ON w.doc_id = x.doc_id""",
+    "op11_periodic_runs": r"""
+WITH s AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS o,
+  xor(list_reduce(list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT), lambda c, b:
+    list_reduce(range(0, 8), lambda v, j: xor(v >> 1, (v & 1) * 3988292384), xor(c, b)), 4294967295), 4294967295) AS h FROM documents),
+t AS (SELECT *, len(o) AS m, h // 10 AS g FROM s),
+u AS (SELECT *, g % nullif(m, 0) AS a, 1 + (m - g % nullif(m, 0)) // (3 + g % 8) AS p FROM t),
+w AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND m > 0 THEN list_transform(range(0, m), lambda i: CASE WHEN i < a THEN o[i + 1] ELSE o[a + (i - a) % p + 1] END) ELSE o END AS ws FROM u),
+-- 8 words that stand again q words later: a run's equal stretch is at least 16 long, so it holds such places one after the other
+e AS (SELECT doc_id, i, array_to_string(ws[i + 1:i + 8], ' ') AS v FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 7)) AS i FROM w)),
+d AS (SELECT doc_id, x.i, y.i - x.i AS q FROM e x JOIN e y USING (doc_id, v) WHERE x.i < y.i),
+k AS (SELECT doc_id, q, min(i) AS start, count(*) + 7 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isle FROM d) GROUP BY doc_id, q, isle HAVING count(*) + 7 + q >= greatest(24, 3 * q)),
+r AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM k z WHERE z.doc_id = k.doc_id AND z.q < k.q AND z.start <= k.start AND z.start + z.length >= k.start + k.length)),
+b AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines,
+  arg_min({'start': start, 'length': length, 'period': q}, {'a': -length::DOUBLE / q, 'b': start, 'c': q}) AS best FROM r GROUP BY doc_id),
+x AS (SELECT doc_id, list(DISTINCT gone) AS gone FROM (SELECT doc_id, unnest(range(start + q, start + length)) AS gone FROM r) GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.period::BIGINT AS period, (1000 * best.length // best.period)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, lambda z, i: NOT list_contains(gone, i - 1)) END, ' ')) AS collapsed_sha256
+FROM w LEFT JOIN b ON w.doc_id = b.doc_id LEFT JOIN x ON w.doc_id = x.doc_id""",
 }
