@@ -23,39 +23,63 @@ from .storage import bound_arrow
 from .textkit import slices, texts_of
 from .vocabulary import Vocabulary, read, vocabulary
 
-# The pattern of word pre-tokens, white space as in Unicode's property, and its endings after "'".
-PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+# The endings after "'" that are pre-tokens of their own.
 ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
 _NONE = np.int32(2**31 - 1)
-_SPACE, _LETTER, _DIGIT, _OTHER, _HARD = range(5)
+_SPACE, _LETTER, _DIGIT, _OTHER, _HARD, _UNSEEN = range(6)
 #: Bytes of a pre-token that its key holds, and what is left of eight bytes by how many of them count.
 _KEY = 16
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def lower(text: str) -> str:
-    """Lower case character by character: the form of sigma does not depend on its place."""
-    return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+@lru_cache(maxsize=1)
+def _tails() -> frozenset[str]:
+    """Characters that may join the one before them when a text is normalised."""
+    whole = map(chr, (c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000))
+    return frozenset(x for c in whole if not unicodedata.is_normalized("NFD", c) for x in unicodedata.normalize("NFD", c)[1:])
 
 
-@lru_cache(maxsize=1)
-def _characters() -> tuple[np.ndarray, np.ndarray]:
-    """Of each character up to U+FFFF its kind, and its lower case.
-
-    Hard are those whose normal form or lower case is another number of characters or may depend on their
-    neighbours, and the null character."""
-    kind, small = np.full(0x10001, _HARD, np.uint8), np.zeros(0x10001, np.uint32)
-    tails: set[str] = set()
-    whole = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
-    for c in whole:
-        tails.update(unicodedata.normalize("NFD", c)[1:])
-    plain = [c for c in whole if len(c.lower()) == 1 and c not in tails and not unicodedata.combining(c) and unicodedata.is_normalized("NFC", c)]
-    text = "".join(c.lower() for c in plain)
-    at, to = (np.frombuffer("".join(x).encode("utf-32-le"), np.uint32) for x in (plain, text))
-    small[at], kind[at] = to, _OTHER
-    for name, pattern in ((_SPACE, r"\p{White_Space}"), (_LETTER, r"\p{L}"), (_DIGIT, r"\p{N}")):
-        kind[at[[m.start() for m in regex.finditer(pattern, text)]]] = name
-    return kind, small
+class Characters:
+    """The kind and the normal form of characters as the tokenizer library has them, asked of it when they are first seen.
+
+    Hard are those whose normal form is another number of characters or may depend on their neighbours, those that
+    Python's tables do not know, and the null character: what holds one is cut by the library itself."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.tool, self.marked = vocab.library, vocab.library.normalizer is not None
+        self.kind, self.small = np.full(0x110000, _UNSEEN, np.uint8), np.arange(0x110000, dtype=np.uint32)
+
+    def _together(self, lead: str, chars: list[str]) -> np.ndarray:
+        """Whether each character stays in one pre-token with ``lead`` before it. A line end stands between them."""
+        found = [at for _, at in self.tool.pre_tokenizer.pre_tokenize_str("\n".join(lead + c for c in chars))]
+        ends = dict(found)
+        return np.array([ends.get(3 * i) == 3 * i + 2 for i in range(len(chars))])
+
+    def _learn(self, cps: np.ndarray) -> None:
+        chars = list(map(chr, cps.tolist()))
+        if self.marked:
+            normal = self.tool.normalizer.normalize_str
+            forms = [normal(c) for c in chars]
+            tails = _tails()
+            hard = np.array([len(f) != 1 or c == "\0" or c in tails or unicodedata.category(c) == "Cn" or unicodedata.combining(c) != 0 or not unicodedata.is_normalized("NFC", c) for c, f in zip(chars, forms, strict=True)])
+            chars = ["?" if h else f for f, h in zip(forms, hard.tolist(), strict=True)]
+            self.small[cps] = [ord(c) for c in chars]
+        else:
+            hard = np.zeros(len(cps), bool)
+        letter, digit, other = (self._together(lead, chars) for lead in "a1!")
+        if self.marked:  # digits stand alone in such files, and white space is a blank by now
+            space = np.array([c == " " for c in chars])
+        else:
+            space = ~(letter | digit | other)
+        self.kind[cps] = np.select([hard, space, letter, other], [_HARD, _SPACE, _LETTER, _OTHER], _DIGIT)
+
+    def of(self, cps: np.ndarray) -> np.ndarray:
+        """Kinds; afterwards ``small`` holds the normal forms of these characters that are not hard."""
+        kind = self.kind[cps]
+        if (kind == _UNSEEN).any():
+            self._learn(np.unique(cps[kind == _UNSEEN]))
+            kind = self.kind[cps]
+        return kind
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -189,7 +213,7 @@ class Counter:
         self.ranks = Ranks(vocab.merges)
         self.whole = np.array([w for _, _, w in vocab.merges], np.int64)
         self.known = Known()
-        self.kind, self.small = _characters()
+        self.characters = Characters(vocab)
         self.endings = [np.frombuffer(e.encode(), np.uint8) for e in ENDINGS]
 
     def merged(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +268,7 @@ class Counter:
             if special is not None:
                 out.append(special)
             else:
-                out += [w.encode() for w in PRE_TOKEN.findall(lower(unicodedata.normalize("NFC", piece)))]
+                out += self.vocab.pre_tokens(piece)
         return out
 
     def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -252,7 +276,8 @@ class Counter:
         id), and how many pre-tokens stand before each text."""
         joined = "\n".join([*texts, ""])
         cps = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        kind, small = self.kind[np.minimum(cps, 0x10000)], self.small[np.minimum(cps, 0x10000)]
+        kind = self.characters.of(cps)
+        small = self.characters.small[cps]
         n = len(cps)
         space = kind == _SPACE
         edge = np.ones(n + 1, bool)
@@ -268,7 +293,7 @@ class Counter:
         bounds = np.flatnonzero(edge)
         token = ~space[bounds[:-1]]
         starts, ends = bounds[:-1][token], bounds[1:][token]
-        width = np.ones(n, np.int64) if joined.isascii() else 1 + (small >= 0x80) + (small >= 0x800).astype(np.int64)
+        width = np.ones(n, np.int64) if joined.isascii() else 1 + (small >= 0x80) + (small >= 0x800) + (small >= 0x10000).astype(np.int64)
         data = np.frombuffer(small.tobytes().decode("utf-32-le").encode(), np.uint8)
         place = np.concatenate([[0], np.cumsum(width)])
         hard = np.flatnonzero(kind == _HARD)
@@ -367,9 +392,58 @@ class Counter:
         return np.diff(np.concatenate([[0], np.cumsum(self.known.size[entry], dtype=np.int64)])[first]).tolist()
 
 
+class ByteCounter(Counter):
+    """The same by a vocabulary without word-end marks, whose pre-tokens keep white space."""
+
+    def __init__(self, vocab: Vocabulary):
+        super().__init__(vocab)
+        if vocab.library.normalizer:
+            raise ValueError("vocabularies that keep white space and change characters are not supported")
+
+    def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        # a special token is a unit of its own, and what stands between two is cut like a text
+        units, special, unit = [], [], [0]
+        for t in texts:
+            for piece, ident in self.vocab.segments(t):
+                units.append(piece if ident is None else "")
+                special.append(-1 if ident is None else ident)
+            unit.append(len(units))
+        joined = "".join(units)
+        cps = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        kind, n = self.characters.of(cps), len(cps)
+        first = np.cumsum([0, *map(len, units)])
+        wall = np.zeros(n + 1, bool)
+        wall[first] = True
+        edge = wall.copy()
+        edge[1:n] |= kind[1:] != kind[:-1]
+        # of white space before something else the last character stands alone, or goes with it if it is a blank
+        after = np.flatnonzero((kind[:-1] == _SPACE) & (kind[1:] != _SPACE) & ~wall[1:n]) + 1
+        edge[after - 1] = True
+        edge[after[cps[after - 1] == 32]] = False
+        quotes = np.flatnonzero((cps == 39) & edge[:n])
+        for e in self.endings:
+            own = quotes[quotes + len(e) < n]
+            for i, c in enumerate(e.tolist()):
+                own = own[(cps[own + 1 + i] == c) & ~wall[own + 1 + i]]
+            edge[own + 1] = False
+            edge[own + 1 + len(e)] = True
+        bounds = np.flatnonzero(edge)
+        width = np.ones(n, np.int64) if joined.isascii() else 1 + (cps >= 0x80) + (cps >= 0x800) + (cps >= 0x10000).astype(np.int64)
+        place = np.concatenate([[0], np.cumsum(width)])
+        data = np.frombuffer(joined.encode(), np.uint8)
+        starts, ends, before = place[bounds[:-1]], place[bounds[1:]], np.searchsorted(bounds[:-1], first)
+        named = np.array(special, np.int64)
+        marked = np.flatnonzero(named >= 0)
+        if len(marked):
+            starts, ends = np.insert(starts, before[marked], -named[marked]), np.insert(ends, before[marked], 0)
+            before = before + np.concatenate([[0], np.cumsum(named >= 0)])
+        return data, starts, ends, before[unit]
+
+
 @lru_cache(maxsize=2)
 def counter(text: str) -> Counter:
-    return Counter(vocabulary(text))
+    vocab = vocabulary(text)
+    return (Counter if vocab.suffix else ByteCounter)(vocab)
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from functools import cached_property, lru_cache
 
 import regex
+from tokenizers import Tokenizer
 
 
 def byte_letters() -> dict[str, int]:
@@ -27,6 +28,7 @@ class Vocabulary:
         for t in found["added_tokens"]:
             if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]:
                 raise ValueError(f"special token {t['content']!r} has options that are not supported")
+        self.steps = {k: found[k] for k in ("version", "normalizer", "pre_tokenizer")}
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.ids: dict[str, int] = model["vocab"]
         self.special: dict[str, int] = {t["content"]: t["id"] for t in found["added_tokens"]}
@@ -37,6 +39,18 @@ class Vocabulary:
             self.merges.append((self.ids[a], self.ids[b], self.ids[a + b]))
         self.letters = byte_letters()
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The library's own normaliser and pre-tokenizer of the file, without its tokens."""
+        return Tokenizer.from_str(json.dumps(self.steps | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}))
+
+    def pre_tokens(self, text: str) -> list[bytes]:
+        """Pre-tokens of a text without special tokens, as the library cuts them."""
+        tool = self.library
+        if tool.normalizer:
+            text = tool.normalizer.normalize_str(text)
+        return [bytes(map(self.letters.__getitem__, piece)) for piece, _ in tool.pre_tokenizer.pre_tokenize_str(text)]
+
     @cached_property
     def special_pattern(self) -> regex.Pattern:
         return regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
