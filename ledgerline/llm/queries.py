@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
 from .bpe_codec import decode, encode
+from .collocations import collocations
 from .embedding_dedup import near_vectors
 from .fingerprints import fingerprints
 from .minhash_dedup import near_duplicates
@@ -96,6 +97,10 @@ def op12_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_windows(_table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents", "lang", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_window_packing": op12_window_packing,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -146,4 +152,21 @@ x AS (SELECT doc_id, list(DISTINCT gone) AS gone FROM (SELECT doc_id, unnest(ran
 SELECT w.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.period::BIGINT AS period, (1000 * best.length // best.period)::BIGINT AS exponent_milli,
   sha256(coalesce(lines, '')) AS runs_sha256, sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, lambda z, i: NOT list_contains(gone, i - 1)) END, ' ')) AS collapsed_sha256
 FROM w LEFT JOIN b ON w.doc_id = b.doc_id LEFT JOIN x ON w.doc_id = x.doc_id""",
+    "op13_collocations": r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(regexp_split_to_array(s, '[.,;:!?\x0A-\x0D]')) AS piece FROM t)),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, 1 AS k, unnest(ws) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM g GROUP BY lang, k, phrase HAVING count(*) >= 10),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cuts AS (SELECT c.lang, c.phrase, c.k, c.a, cut, x.a AS l, y.a AS r, 1000000 * c.a * c.a // (x.a * y.a) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c JOIN f x ON x.lang = c.lang AND x.k = cut AND x.phrase = array_to_string(ws[:cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.k = c.k - cut AND y.phrase = array_to_string(ws[cut + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_ AS (SELECT lang, phrase, max(a) AS longest FROM (SELECT lang, ws[1] || ' ' || ws[2] AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, ws[2] || ' ' || ws[3], a FROM c WHERE k = 3) GROUP BY lang, phrase)
+SELECT best.lang, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, best.a DESC, encode(best.phrase)) AS rank, best.phrase, best.a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM best JOIN n USING (lang) LEFT JOIN inner_ ON inner_.lang = best.lang AND inner_.phrase = best.phrase
+WHERE longest IS NULL OR 100 * longest < 50 * best.a QUALIFY rank <= 2000""",
 }
