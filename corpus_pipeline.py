@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.minhash_dedup import drop_near_duplicates
 from ledgerline.llm.packing import pack
 from ledgerline.llm.quality import quality_scores
-from ledgerline.llm.storage import free_name, materialise
+from ledgerline.llm.storage import alone, discard, free_name, materialise
 from ledgerline.llm.substring_dedup import remove_repeats
 from ledgerline.llm.toxicity import toxicity_scores
 
@@ -84,7 +84,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last stage gives. Each stage's output is written; its input and what was written to make it then go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for _, stage in STAGES:
+        before, docs = docs, alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        discard(before)
+    return docs

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import discard, materialise
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BINS, BITS, WORDS = 128, 8, 5
@@ -86,15 +86,18 @@ def _previous(keys: DataFrame, parts: int) -> DataFrame:
     the last. Ids are dealt by range; only the last of each range, one row a partition, meet in one task."""
     order = [F.col("id").desc_nulls_last(), F.col("h")]
     ranged = keys.distinct().repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
-    ranged = materialise(ranged)
+    written = materialise(ranged)
     own = W.partitionBy("part").orderBy(*order)
     row = F.struct("id", "h", "n")
-    rowed = ranged.withColumn("before", F.lag(row).over(own)).withColumn("last", F.lead(F.lit(1)).over(own).isNull())
+    rowed = written.withColumn("before", F.lag(row).over(own)).withColumn("last", F.lead(F.lit(1)).over(own).isNull())
     rowed = materialise(rowed)
+    discard(written)
     ends = rowed.where("last").select("part", row.alias("end"))
     around = W.orderBy("part")
     ends = ends.select("part", F.coalesce(F.lag("end").over(around), F.last("end").over(around.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("end"))
-    return rowed.join(ends, "part").withColumn("p", F.coalesce("before", "end")).select(F.col("id").alias("of_id"), F.col("h").alias("of_h"), F.col("p.id").alias("to_id"), F.col("p.h").alias("to_h"), F.col("p.n").alias("to_n"))
+    out = materialise(rowed.join(ends, "part").withColumn("p", F.coalesce("before", "end")).select(F.col("id").alias("of_id"), F.col("h").alias("of_h"), F.col("p.id").alias("to_id"), F.col("p.h").alias("to_h"), F.col("p.n").alias("to_n")))
+    discard(rowed)
+    return out
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,7 +115,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    before = materialise(_previous(keyed.select("id", "h", F.length("text").alias("n")), parts))
+    before = _previous(keyed.select("id", "h", F.length("text").alias("n")), parts)
     # both joins below read the same columns by the same keys, so the texts are shuffled once
     coded = keyed.withColumn("codes", bin_codes(F.col("text")))
     heads = coded.join(before, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("h") == F.col("of_h")))

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables that :func:`materialise` has written in this session and nothing has deleted.
+_written: list[DataFrame] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Only a local session, whose tasks share the driver's disk, gets one of our
     own where it is unset; on a cluster that is an error."""
@@ -32,6 +37,16 @@ def materialise(df: DataFrame) -> DataFrame:
     files.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    _written.append(out)
+    return out
+
+
+def alone(make: Callable[[], DataFrame]) -> DataFrame:
+    """Write what ``make`` returns, and delete the tables that were written to make it. Jobs of other threads must not
+    write tables meanwhile."""
+    before = list(_written)
+    out = materialise(make())
+    discard(*[df for df in _written if df is not out and not any(df is b for b in before)])
     return out
 
 
@@ -43,6 +58,7 @@ def discard(*tables: DataFrame) -> None:
             where, files = _place(df.sparkSession, path)
             files.delete(where, True)
             files.cancelDeleteOnExit(where)
+            _written[:] = [x for x in _written if x is not df]
 
 
 def _place(spark: SparkSession, path: str):

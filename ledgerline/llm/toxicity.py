@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import held_out
-from .storage import bound_arrow, materialise
+from .storage import bound_arrow, discard, materialise
 from .textkit import LOWER, Texts, part, slices, texts_of, word_hashes, words_of
 
 # Frequent function words of each language.
@@ -272,6 +272,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     bins = judged.join(known, "id").join(F.broadcast(trained), F.col("id").cast("string") == F.col("own"), "left")
     bins = bins.groupBy("lang", "label", F.col("own").isNotNull().alias("seen"), F.round(F.col("logit") / _STEP).alias("bin")).count().toArrow()
     lang, label, seen, z, n = (bins.column(i).to_numpy() for i in range(5))
+    discard(known)
     at = thresholds(lang, label, seen.astype(bool), z * _STEP, n)
     shifted = F.col("logit") - F.element_at(F.array(*map(F.lit, at)), F.col("lang") + 1) + F.lit(float(np.log(threshold / (1 - threshold))))
     scored = judged.withColumn("score", (1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), shifted))))))
