@@ -135,7 +135,7 @@ def _compare(bases: dict[int, np.ndarray], threshold: float, tile: int) -> Calla
     return compare
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, tile: int = 1024, block: int = 8192) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, tile: int = 1024, block_bytes: int = 4 << 20) -> DataFrame:
     """Link vectors of equal, non-null labels whose cosine is at least ``threshold``.
 
     Returns one row for each input row: ``id_col``, ``n_links`` (other rows linked directly),
@@ -143,7 +143,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     vector that is null, empty or zero, or holds null or non-finite components, links with nothing, nor does
     one with a null id or label; vectors of different lengths do not link. Equal vectors link with each other, and so do
     rows that repeat an id, each of which counts as a link. An empty table gives an empty one. Columns other than the
-    three are not read, whatever their names. There is one basis for each length of vectors, on the driver: a square
+    three are not read, whatever their names. Vectors travel in blocks of about ``block_bytes``. There is one basis for each length of vectors, on the driver: a square
     matrix of that length.
     """
     spark = vectors.sparkSession
@@ -162,7 +162,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     width = float(np.sqrt(max(2 - 2 * threshold, 1e-6))) + 1e-9
     kind = vectors.schema[label_col].dataType.simpleString()
     placed = classes.select("rep", "label", "v", "weight").mapInArrow(_place(bases, width), f"rep long, label {kind}, weight long, dim int, slab int, unit binary")
-    slabs = placed.groupBy("label", "dim", "slab").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    slabs = placed.groupBy("label", "dim", "slab").agg(F.ceil(F.count("*") * F.col("dim") * 8 / block_bytes).cast("int").alias("blocks"))
     dealt = placed.join(slabs, ["label", "dim", "slab"]).withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     tiles = materialise(dealt.repartition(*_KEY).groupBy(*_KEY).agg(F.collect_list(F.struct("rep", "weight", "unit")).alias("rows")))
 
