@@ -125,7 +125,7 @@ def codec(text: str) -> Codec:
 
 def _map_column(df: DataFrame, column: str, out: str, kind: T.DataType, arrow: pa.DataType, make) -> DataFrame:
     """``df`` with one more column, made in Arrow batches from ``column``; an input column named ``out`` gives way."""
-    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c != out or c == column])
+    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower() or c == column])
     source = kept if column != out else kept.withColumnRenamed(column, "_source")
     name = "_source" if column == out else column
 

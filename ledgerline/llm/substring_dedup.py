@@ -230,7 +230,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     bound_arrow(spark)
-    columns = [c for c in docs.columns if c not in (n_words, n_removed)]
+    columns = [c for c in docs.columns if c.lower() not in (n_words.lower(), n_removed.lower())]
     rest = [c for c in columns if c != text_col]
     total = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
     batches, buckets = -(-total // _BATCH_BYTES) + 1, -(-3 * total // _BUCKET_BYTES) + 1
