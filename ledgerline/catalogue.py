@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import search_queries
 from .functions import text, values
 from .functions.vector import cosine, has_dimension
 from .operators import audit, checks, memory, quota, results, runs
@@ -342,7 +343,7 @@ QUERIES: dict[str, Query] = {
         container_names, service_variables, call_properties, recall_envelopes,
         evidence_explode, iso_timestamps, duration_ms, result_invariants,
     )
-}
+} | search_queries.QUERIES
 
 _LINES = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) - 1)::INT AS seq FROM lineitem"
 _ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
@@ -425,4 +426,4 @@ SELECT page_id, len(parts)::INT AS n, len(list_filter(parts, lambda p: split_par
     "spoken_errors": "SELECT DISTINCT upper(event_type) || '_NOT_' || user_id % 4 || '_FOUND' AS code, event_type || ' not_' || user_id % 4 || '_found' AS said FROM events",
     "run_ids": """WITH d AS (SELECT DISTINCT md5(source || '-' || lang) AS h FROM documents), u AS (SELECT h, concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) AS f FROM d)
 SELECT f AS run_id, true AS valid FROM u UNION ALL SELECT upper(f), true FROM u UNION ALL SELECT h, false FROM u UNION ALL SELECT f || '0', false FROM u""",
-}
+} | search_queries.ORACLE_SQL
