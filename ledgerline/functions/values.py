@@ -36,8 +36,10 @@ def ordered_json(items: Column) -> Column:
 
 
 def vector_of_json(text: Column) -> Column:
-    """A JSON array of numbers as a vector; null for anything else."""
-    return F.from_json(text, "array<float>")
+    """A JSON array of numbers as a vector; null for anything else, such as more text after it or a component that is no
+    number."""
+    parsed = F.from_json(text, "array<float>")
+    return F.when(valid_json(text) & ~F.exists(parsed, lambda x: x.isNull()), parsed)
 
 
 def has_key(values: Column, key: Column | str) -> Column:

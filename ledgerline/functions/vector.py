@@ -21,9 +21,11 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; 0 where a norm is 0, null where the lengths differ or a vector is null."""
+    """Cosine similarity; 0 where a norm is 0, null where the lengths differ, a vector or one of its components is null, or
+    the score is not a finite number."""
     scale = norm(a) * norm(b)
-    return F.when(F.size(a) == F.size(b), F.when(scale == 0, 0.0).otherwise(dot(a, b) / F.nullif(scale, F.lit(0.0))))
+    score = F.when(scale == 0, 0.0).when(scale < float("inf"), dot(a, b) / F.nullif(scale, F.lit(0.0)))
+    return F.when((F.size(a) == F.size(b)) & (F.abs(score) < float("inf")), score)
 
 
 def has_dimension(a: Column, n: int) -> Column:

@@ -32,7 +32,8 @@ def insert_error(dimension: int = 384) -> Column:
     """``INVALID_INPUT`` for a row that :func:`inserted` refuses, else null."""
     empty = F.col("content").isNull() | (F.col("content") == "")
     size = F.col("embedding").isNotNull() & (F.size("embedding") != dimension)
-    return F.when(empty | size | F.coalesce(F.exists("tags", lambda t: t.isNull()), F.lit(False)), "INVALID_INPUT")
+    endless = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.when(empty | size | F.coalesce(endless, F.lit(False)) | F.coalesce(F.exists("tags", lambda t: t.isNull()), F.lit(False)), "INVALID_INPUT")
 
 
 def search_text(memories: DataFrame, query: str, limit: int | None = None, content: str = "content", newest: str = "created_at", key: str = "id") -> DataFrame:
@@ -43,7 +44,7 @@ def search_text(memories: DataFrame, query: str, limit: int | None = None, conte
 
 def search_vector(memories: DataFrame, query: Sequence[float], limit: int | None = None, embedding: str = "embedding", key: str = "id") -> DataFrame:
     """The memories nearest to ``query`` by cosine, exactly; those without an embedding or of another dimension
-    are skipped, a zero vector has score 0, and ties go by key."""
+    are skipped, like those with a component that is not finite; a zero vector has score 0, and ties go by key."""
     scored = memories.where(F.col(embedding).isNotNull()).withColumn("score", cosine(F.col(embedding), literal(query))).where("score IS NOT NULL")
     return scored.orderBy(F.col("score").desc(), F.col(key)).limit(limit_of(limit))
 

@@ -181,7 +181,7 @@ def decisions(calls: DataFrame, keys: list[str], at: str, ident: str, limit: int
     move a window. Calls at one time go by ``ident``. Calls without a time are denied; keys may be null and count
     as one key."""
     width = window_ms * 1000
-    kept = [F.col(f"`{c}`") for c in calls.columns if c not in ("window_start", "used", "allowed")]
+    kept = [F.col(f"`{c}`") for c in calls.columns if c.lower() not in ("window_start", "used", "allowed")]
     parts = [json_key(keys).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), F.struct(*kept).alias("row"), F.col(ident).alias("ident")]
     timed = calls.select(*parts)
     sliced = timed.where("us IS NOT NULL").withColumn("slice", F.floor(F.col("us") / F.lit(SLICE * width)))

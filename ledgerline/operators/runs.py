@@ -87,8 +87,9 @@ def event_item(seq: str = "seq", at: str = "at") -> Column:
 
 def lifecycle(events: DataFrame) -> DataFrame:
     """State of each run replayed from its events (run_id, seq, type, payload): status, number of events, whether
-    the output was validated, and events after completion, which are allowed."""
+    the output was validated, and events after completion, which are allowed. A completion that names no status makes the run
+    ``invalid``."""
     done = F.min(F.when(F.col("type") == "run.completed", F.col("seq"))).alias("completed_seq")
     status = F.min_by(F.get_json_object("payload", "$.status"), F.when(F.col("type") == "run.completed", F.col("seq"))).alias("_status")
     seen = events.groupBy("run_id").agg(F.count("*").alias("n_events"), F.max("seq").alias("last_seq"), F.max((F.col("type") == "output.validated").cast("int")).alias("validated"), done, status)
-    return seen.select("run_id", F.coalesce(F.when(F.col("completed_seq").isNotNull(), F.coalesce("_status", F.lit("ok"))), F.lit("running")).alias("status"), "n_events", (F.col("validated") == 1).alias("validated"), F.coalesce(F.col("last_seq") > F.col("completed_seq"), F.lit(False)).alias("late_events"))
+    return seen.select("run_id", F.coalesce(F.when(F.col("completed_seq").isNotNull(), F.coalesce("_status", F.lit("invalid"))), F.lit("running")).alias("status"), "n_events", (F.col("validated") == 1).alias("validated"), F.coalesce(F.col("last_seq") > F.col("completed_seq"), F.lit(False)).alias("late_events"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
@@ -56,8 +57,8 @@ def texts(v: object) -> str | None:
 
 def vector(n: int) -> Check:
     def check(v: object) -> str | None:
-        ok = isinstance(v, (list, tuple)) and len(v) == n and all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in v)
-        return None if ok else f"must be a list of {n} numbers"
+        ok = isinstance(v, (list, tuple)) and len(v) == n and all(isinstance(x, (int, float)) and not isinstance(x, bool) and math.isfinite(x) for x in v)
+        return None if ok else f"must be a list of {n} finite numbers"
 
     return check
 
@@ -100,7 +101,7 @@ class Operation:
             wrong = "is not a parameter" if k not in self.parameters else None if k in self.optional and k not in values else "is missing" if k not in values else self.parameters[k](values[k])
             if wrong:
                 raise OperationError("INVALID_INPUT", f"{self.name}: {k} {wrong}")
-        return values
+        return {k: v.lower() if self.parameters[k] is run_id else v for k, v in values.items()}  # ids are equal whatever their case
 
     def view(self, name: str, *keep: str) -> Operation:
         """The same operation under a name that takes only some of its parameters."""
