@@ -42,6 +42,15 @@ def run_events_json(spark: SparkSession, sf: str) -> DataFrame:
     return runs.events_json(table(spark, sf, "orders"), _numbered_lines(spark, sf), "o_orderkey", "l_orderkey", _item(), F.col("seq").isNotNull())
 
 
+def run_events_payload(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's calls as one JSON document, in which the calls' properties are objects, deeper in every third, or text where they
+    are no JSON."""
+    props = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"all":['), F.col("props"), F.lit(',null,"x"],"in":{"props":'), F.col("props"), F.lit("}}"))).when(F.col("event_id") % 3 == 1, F.concat(F.col("props"), F.lit("}"))).otherwise(F.col("props"))
+    calls = table(spark, sf, "events").select(F.col("user_id").alias("run_id"), "event_id", F.col("event_type").alias("type"), props.alias("payload"), F.col("ts").alias("at"))
+    numbered = runs.numbered(calls, "run_id", "at", "event_id")
+    return runs.events_json(table(spark, sf, "customer"), numbered, "c_custkey", "run_id", runs.event_item(), F.col("seq").isNotNull(), "seq")
+
+
 def event_seq_assign(spark: SparkSession, sf: str) -> DataFrame:
     return _numbered_lines(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "seq")
 
@@ -334,7 +343,7 @@ def run_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        run_get, run_events_json, event_seq_assign, next_seq, next_seq_of_unknown_run, run_current_state, completion_rejects, run_lifecycle,
+        run_get, run_events_json, run_events_payload, event_seq_assign, next_seq, next_seq_of_unknown_run, run_current_state, completion_rejects, run_lifecycle,
         search_text, search_text_escaped, search_text_accents, search_vector, score_against_row,
         quota_decisions, tool_owner_route, distinct_owners, audit_journal, audit_rollup,
         fk_violations, pk_duplicates, enum_violations, null_violations, range_violations, migration_pending,
@@ -365,6 +374,10 @@ ORACLE_SQL: dict[str, str] = {
     "run_events_json": f"""WITH e AS ({_LINES})
 SELECT o_orderkey, coalesce(to_json(list({{'seq': seq, 'line': l_linenumber, 'part': l_partkey, 'at': {_ISO.format('l_shipdate')}}} ORDER BY seq) FILTER (WHERE seq IS NOT NULL))::VARCHAR, '[]') AS value
 FROM orders LEFT JOIN e ON o_orderkey = l_orderkey GROUP BY o_orderkey""",
+    "run_events_payload": f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq,
+  CASE event_id % 3 WHEN 0 THEN ('{{"all":[' || props || ',null,"x"],"in":{{"props":' || props || '}}}}')::JSON WHEN 1 THEN to_json(props || '}}') ELSE props::JSON END AS payload FROM events),
+g AS (SELECT user_id, to_json(list({{'seq': seq, 'run_id': user_id, 'type': event_type, 'payload': payload, 'at': {_ISO.format('ts')}}} ORDER BY seq))::VARCHAR AS value FROM e GROUP BY user_id)
+SELECT c_custkey, replace(coalesce(value, '[]'), '"k": ', '"k":') AS value FROM customer LEFT JOIN g ON user_id = c_custkey""",
     "event_seq_assign": f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, seq FROM ({_LINES})",
     "next_seq": "SELECT conv_id, max(turn) + 1 AS next_seq FROM conversations GROUP BY conv_id",
     "next_seq_of_unknown_run": "SELECT coalesce(max(turn) + 1, 0) AS next_seq FROM conversations WHERE conv_id = -1",

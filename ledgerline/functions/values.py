@@ -30,9 +30,16 @@ def valid_json(text: Column) -> Column:
     return F.when(text.isNotNull(), whole & F.coalesce(F.json_array_length(listed) == 1, F.lit(False)))
 
 
-def ordered_json(items: Column) -> Column:
-    """An array of structs as JSON, in the order of the structs' fields; null fields are left out."""
-    return F.coalesce(F.to_json(F.array_sort(items)), F.lit("[]"))
+def json_value(text: Column) -> Column:
+    """JSON text as a value that stays nested in JSON made from it; what is no JSON stays the text that it is."""
+    return F.coalesce(F.when(valid_json(text), F.try_parse_json(text)), text.cast("variant"))
+
+
+def ordered_json(items: Column, by: str | None = None) -> Column:
+    """An array of structs as JSON, in the order of the structs' fields, or of the number in the field ``by`` alone where others, such
+    as parsed JSON, have no order; null fields are left out."""
+    ordered = F.array_sort(items) if by is None else F.array_sort(items, lambda x, y: F.when(x[by] < y[by], -1).when(x[by] > y[by], 1).otherwise(0))
+    return F.coalesce(F.to_json(ordered), F.lit("[]"))
 
 
 def vector_of_json(text: Column) -> Column:

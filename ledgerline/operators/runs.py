@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.values import iso_time, ordered_json
+from ..functions.values import iso_time, json_value, ordered_json
 
 
 def created(requests: DataFrame, now: Column | None = None) -> DataFrame:
@@ -70,19 +70,20 @@ def run(runs: DataFrame, ident) -> DataFrame:
     return runs.where(F.col("id") == F.lit(ident))
 
 
-def events_json(runs: DataFrame, events: DataFrame, run_key: str, event_key: str, item: Column, present: Column) -> DataFrame:
+def events_json(runs: DataFrame, events: DataFrame, run_key: str, event_key: str, item: Column, present: Column, by: str | None = None) -> DataFrame:
     """``runs.events`` for every run: its events as one JSON array, ``[]`` for a run without events.
 
-    ``item`` is a struct that begins with the sequence number; ``present`` tells events from missing ones. Events
-    meet by run before the join, so a run's events move once."""
+    ``item`` is a struct that begins with the sequence number, and ``by`` the name of that number if items have fields without an
+    order, such as parsed JSON; ``present`` tells events from missing ones. Events meet by run before the join, so
+    a run's events move once."""
     gathered = events.where(present).groupBy(F.col(event_key).alias("_run")).agg(F.collect_list(item).alias("_items"))
     joined = runs.select(run_key).join(gathered, F.col(run_key) == F.col("_run"), "left")
-    return joined.select(run_key, ordered_json(F.col("_items")).alias("value"))
+    return joined.select(run_key, ordered_json(F.col("_items"), by).alias("value"))
 
 
 def event_item(seq: str = "seq", at: str = "at") -> Column:
-    """An event of the log as an item of :func:`events_json`."""
-    return F.struct(F.col(seq).alias("seq"), "run_id", "type", "payload", iso_time(F.col(at)).alias("at"))
+    """An event of the log as an item of :func:`events_json`, its payload as an object and not as text; such items go ``by`` ``seq``."""
+    return F.struct(F.col(seq).alias("seq"), "run_id", "type", json_value(F.col("payload")).alias("payload"), iso_time(F.col(at)).alias("at"))
 
 
 def lifecycle(events: DataFrame) -> DataFrame:

@@ -190,7 +190,7 @@ def _complete(store: Store, run_id: str, status: str, result) -> DataFrame:
 
 def _events(store: Store, run_id: str) -> DataFrame:
     own = store.table("run_events").where(F.col("run_id") == run_id)
-    return runs.events_json(_known_run(store, run_id), own, "id", "run_id", runs.event_item(), F.col("seq").isNotNull()).select("value")
+    return runs.events_json(_known_run(store, run_id), own, "id", "run_id", runs.event_item(), F.col("seq").isNotNull(), "seq").select("value")
 
 
 def _insert(store: Store, content: str, tags: list[str], embedding: list[float] | None = None) -> DataFrame:

@@ -237,7 +237,7 @@ def test_a_run_from_its_creation_to_its_end(spark, tmp_path):
     event = DATA.one("runs.appendEvent", store, run_id=made.id, type="worker.started", payload={"image": "x"})
     assert (event.seq, json.loads(event.payload)) == (1, {"image": "x"})
     told = json.loads(DATA.one("runs.events", store, run_id=made.id).value)
-    assert [(e["seq"], e["type"], json.loads(e["payload"])) for e in told] == [(0, "run.created", {}), (1, "worker.started", {"image": "x"})]
+    assert [(e["seq"], e["type"], e["payload"]) for e in told] == [(0, "run.created", {}), (1, "worker.started", {"image": "x"})]
     done = DATA.one("runs.complete", store, run_id=made.id, status="ok", result={"memory_id": "m"})
     assert (done.status, json.loads(done.result), done.created_at) == ("ok", {"memory_id": "m"}, made.created_at) and done.completed_at
     _fails("INVALID_OPERATION", lambda: DATA.execute("runs.complete", store, run_id=made.id, status="failed", result=None))
