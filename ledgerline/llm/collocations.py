@@ -12,8 +12,8 @@ everywhere comes once a block. For a range, counters of name buckets first tell
 over these gives slots, with the names in the slots; each mapper's block becomes an array of counts by slot, and the arrays are
 summed in a tree.
 
-A last pass writes down the words of frequent phrases and the names of their parts, and the counts of both parts of each
-cut are found by name. Parts that are a good share of all words are broadcast, at most 10,000 rows, so that no
+A last pass writes down the words of frequent phrases, again in blocks by range; there the names of their parts are made, and the
+counts of both parts of each cut are found by name. Parts that are a good share of all words are broadcast, at most 10,000 rows, so that no
 join has a hot key.
 """
 
@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 from .perfect_hash import PerfectHash
 from .storage import bound_arrow, discard, materialise
 from .textkit import LOWER, Texts, mix, part, slices, texts_of, word_hashes, words_of
+from .token_counts import Known, ragged
 
 #: Phrases that a mapper adds up at once, bytes of text for each range of names, bits of a bit map, and of its rows.
-_AT_ONCE, _RANGE, _MAP, _ROW = 3_000_000, 24 << 20, 26, 19
+_AT_ONCE, _RANGE, _MAP, _ROW = 1_500_000, 16 << 20, 26, 19
 #: Counters of name buckets in a range (bits), and the share of all words from which a part is broadcast.
 _BUCKETS, _HEAVY = 21, 5000
 _SIZES = (1, 2, 3)
@@ -92,7 +93,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Words, list[str
         digests = [blake2b(x.encode(), digest_size=16).digest() for x in langs]
         hashes = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
         code, texts = coded.indices.to_numpy(), texts_of(batch.column(1))
-        for i, j in slices(texts, 2 << 20):
+        for i, j in slices(texts, 1 << 20):
             data, offsets = part(texts, i, j)
             low = Texts(LOWER[data], offsets)
             words = words_of(low, _BETWEEN)
@@ -109,6 +110,10 @@ def _on(bits: np.ndarray, a: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
 
 
+def _squeezed(raw: bytes) -> bytes:
+    return _CODEC.compress(raw, asbytes=True)
+
+
 def _planes(x: np.ndarray) -> bytes:
     """Bytes of equal weight together, which compress better."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
@@ -116,7 +121,7 @@ def _planes(x: np.ndarray) -> bytes:
 
 def _block(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> bytes:
     steps = np.diff(a, prepend=np.uint64(0)).astype("<u8")
-    return _CODEC.compress(_planes(steps) + b.astype("<u4").tobytes() + _planes(n.astype("<u4")), asbytes=True)
+    return _squeezed(_planes(steps) + b.astype("<u4").tobytes() + _planes(n.astype("<u4")))
 
 
 def _unblock(block: bytes, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,39 +258,84 @@ def _bit_map(names: DataFrame) -> bytes:
     return bytes(out)
 
 
-_PHRASE = "lang string, phrase string, size int, a long, b long, parts array<struct<a: long, b: long>>"
+def _joined(words: _Words, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of phrases, words apart by one blank and each phrase ended by a line end, and their lengths."""
+    place = at[:, None] + np.arange(size)
+    starts, n = words.starts[place].ravel(), (words.ends[place] - words.starts[place]).ravel()
+    to = np.cumsum(n + 1) - n - 1
+    out = np.full(int((n + 1).sum()), 0x20, np.uint8)
+    out[ragged(to, n)] = words.data[ragged(starts, n)]
+    whole = (n + 1).reshape(-1, size).sum(axis=1)
+    out[np.cumsum(whole) - 1] = 0x0A
+    return out, whole
 
 
-def _written(bits):
-    """The words of phrases whose names ``bits`` lets pass, and the names of the two parts of each cut."""
-    kinds = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+def _written(bits, ranges: int):
+    """Blocks of the words of phrases whose names ``bits`` lets pass, by range of names and language; a task gives a phrase about once."""
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(bits.value, np.uint8)
-        seen: set[tuple[int, int]] = set()
+        seen, numbers, held, count = Known(1 << 19), {}, [], 0
+
+        def sent() -> pa.RecordBatch:
+            own, lang, sizes, data = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((lang, own))
+            starts = np.cumsum(sizes) - sizes
+            data, own, lang = data[ragged(starts[order], sizes[order])], own[order], lang[order]
+            ends = np.cumsum(sizes[order])
+            edges = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (lang[1:] != lang[:-1])]))
+            stops = [*(ends[edges[1:] - 1]).tolist(), len(data)]
+            blocks = [_squeezed(data[i:j].tobytes()) for i, j in zip([0, *stops[:-1]], stops, strict=True)]
+            names = list(numbers)
+            lengths = np.diff([0, *stops])
+            return pa.RecordBatch.from_arrays([pa.array(own[edges].astype(np.int32)), pa.array([names[i] for i in lang[edges].tolist()], pa.string()), pa.array(lengths.astype(np.int64)), pa.array(blocks, pa.binary())], ["range", "lang", "n", "block"])
+
         for words, langs in _words(batches):
+            code = np.array([numbers.setdefault(x, len(numbers)) for x in langs], np.int64)
             for size in _SIZES[1:]:
                 at = words.places(size)
                 a, b = words.names(at, size)
                 on = np.flatnonzero(_on(known, a))
-                a, b, first, _ = _sum_up(a[on], b[on])
-                at = at[on][first]
-                keys = list(zip(a.view(np.int64).tolist(), b.tolist(), strict=True))
-                new = np.array([i for i, k in enumerate(keys) if k not in seen], np.int64)
-                if len(seen) > _AT_ONCE // 10:
-                    seen.clear()
-                seen.update(keys)
-                at = at[new]
-                text, starts, ends = words.data.tobytes(), words.starts, words.ends
-                phrases = [b" ".join(text[s:e] for s, e in zip(ss, es, strict=True)).decode() for ss, es in zip(*(x[at[:, None] + np.arange(size)].tolist() for x in (starts, ends)), strict=True)]
-                pairs = [words.names(at + skip, k) for cut in range(1, size) for skip, k in ((0, cut), (cut, size - cut))]
-                flat = [np.stack([x.astype(np.int64) for x in side], axis=1).reshape(-1) for side in zip(*pairs, strict=True)]
-                parts = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * len(pairs)), pa.StructArray.from_arrays([pa.array(x) for x in flat], ["a", "b"]))
-                yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in words.lang[at].tolist()], pa.string()), pa.array(phrases, pa.string()), pa.array(np.full(len(at), size, np.int32)), pa.array(a[new].view(np.int64)), pa.array(b[new].astype(np.int64)), parts.cast(kinds)], ["lang", "phrase", "size", "a", "b", "parts"])
+                key = np.stack([a[on], b[on].astype(np.uint64)], axis=1)
+                found, new = seen.find(key)
+                seen.again[found] = True
+                seen.again[seen.n - len(new) : seen.n] = False
+                at = at[on[new]]
+                data, sizes = _joined(words, at, size)
+                held.append((((key[new, 0] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64), code[words.lang[at]], sizes, data))
+                count += len(data)
+            if count >= _RANGE // 2:
+                yield sent()
+                held, count = [], 0
+        if count:
+            yield sent()
 
     return written
 
 
+def _named(table: pa.Table) -> pa.Table:
+    """The different phrases of a range with their names, and the names of the two parts of each cut."""
+    texts: dict[str, set[bytes]] = {}
+    for lang, n, block in zip(*(table.column(c).to_pylist() for c in ("lang", "n", "block")), strict=True):
+        texts.setdefault(lang, set()).update(_CODEC.decompress(block, n, asbytes=True)[:-1].split(b"\n"))
+    rows = [(lang, t) for lang, own in texts.items() for t in own]
+    source = pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.binary()).cast(pa.string())], ["lang", "text"])
+    out = []
+    for words, langs in _words(iter([source])):
+        begins = np.flatnonzero(np.concatenate([[True], ~words.goes_on[:-1]]))
+        lengths = np.diff(np.append(begins, len(words.a)))
+        for size in _SIZES[1:]:
+            at = begins[lengths == size]
+            a, b = words.names(at, size)
+            pairs = [words.names(at + skip, k) for cut in range(1, size) for skip, k in ((0, cut), (cut, size - cut))]
+            flat = [np.stack([x.astype(np.int64) for x in side], axis=1).reshape(-1) for side in zip(*pairs, strict=True)]
+            parts = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * len(pairs)), pa.StructArray.from_arrays([pa.array(x) for x in flat], ["a", "b"]))
+            text, starts, ends = words.data.tobytes(), words.starts[at].tolist(), words.ends[at + size - 1].tolist()
+            phrases = [text[s:e].decode() for s, e in zip(starts, ends, strict=True)]
+            out.append(pa.table([pa.array([langs[i] for i in words.lang[at].tolist()], pa.string()), pa.array(phrases, pa.string()), pa.array(np.full(len(at), size, np.int32)), pa.array(a.view(np.int64)), pa.array(b.astype(np.int64)), parts], ["lang", "phrase", "size", "a", "b", "parts"]))
+    return pa.concat_tables(out)
+
+
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10, top: int = 2000, inside_percent: int = 50) -> DataFrame:
     """The ``top`` phrases of two and three words of each language by the score of their weakest cut.
 
@@ -315,7 +365,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     words = levels[0].where("a IS NULL").groupBy("lang").agg(F.sum("f").alias("n"))
     singles, pairs, triples = (x.where("a IS NOT NULL").drop("lang") for x in levels)
     bits = spark.sparkContext.broadcast(_bit_map(pairs.unionByName(triples)))
-    texts = source.mapInArrow(_written(bits), _PHRASE).distinct()
+    blocks = source.mapInArrow(_written(bits, ranges), "range int, lang string, n long, block binary")
+    texts = blocks.groupBy("range").applyInArrow(_named, "lang string, phrase string, size int, a long, b long, parts array<struct<a: long, b: long>>")
     phrases = materialise(texts.join(pairs.unionByName(triples).select("a", "b", "f"), ["a", "b"]))
     bits.unpersist()
 
