@@ -375,3 +375,33 @@ def test_logs_files_and_ledger(spark, tmp_path, memories):
     assert "embedding" not in next(x for x in lines if x["id"] == "m3")
     tables.register({"mem": memories})
     assert spark.sql("SELECT * FROM mem WHERE id = :id", args={"id": "m1' OR 1=1"}).count() == 0
+
+
+def test_quota_of_a_hot_key_in_divided_slices_and_small_batches(spark, monkeypatch):
+    """A third of all calls is of one key, some at one time and some without a time; its slices are divided and walked in many batches."""
+    import random
+
+    rng = random.Random(9)
+    calls = [(("hot" if i % 3 == 0 else f"k{rng.randrange(20)}"), f"c{i:05}", rng.randrange(4000) if i % 50 else 777) for i in range(3000)]
+    table = spark.createDataFrame(calls, "who string, call_id string, ms int").withColumn("at", F.timestamp_millis("ms"))
+    none = spark.createDataFrame([("hot", "late")], "who string, call_id string").selectExpr("who", "call_id", "null ms", "null at").withColumns({"ms": F.col("ms").cast("int"), "at": F.col("at").cast("timestamp")})
+    monkeypatch.setattr(quota, "CALLS", 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for width in (1, 5, 90, 1000, 10_000):
+            out = quota.decisions(table.unionByName(none), ["who"], "at", "call_id", 3, width)
+            found = {r.call_id: r.allowed for r in out.collect()}
+            assert found.pop("late") is False
+            assert found == _reference_quota([(w, ms, i) for w, i, ms in calls], 3, width)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert quota._busy(table.select(F.col("who").alias("key"), F.lit(0).cast("long").alias("slot"))).where("parts > 1").count() > 0
+
+
+def test_quota_shuffles_its_calls_once(spark):
+    calls = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    out = quota.decisions(calls, ["user_id", "event_type"], "ts", "event_id", 2, 1000)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    wide = [x for x in plan.splitlines() if "Exchange hashpartitioning(key" in x and "slice" in x and "REPARTITION" in x]
+    assert len([x for x in wide if "ReusedExchange" not in x and "Reused" not in x]) == 1 and "ReusedExchange" in plan
