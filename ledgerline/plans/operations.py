@@ -159,10 +159,10 @@ class Operations:
 
 def _known_run(store: Store, ident: str) -> DataFrame:
     """The current state of a run as a table of one row."""
-    own = runs.run(store.table("runs"), ident)
+    own = runs.run(store.of("runs", ident), ident)
     if own.isEmpty():
         raise OperationError("NOT_FOUND", "unknown run")
-    return runs.settle(own, store.table("completions").where(F.col("run_id") == ident), "at")[0]
+    return runs.settle(own, store.of("completions", ident), "at")[0]
 
 
 def _get(store: Store, run_id: str) -> DataFrame:
@@ -177,7 +177,7 @@ def _create(store: Store, service: str, tool: str, input) -> DataFrame:
 def _append_event(store: Store, run_id: str, type: str, payload: dict) -> DataFrame:
     _known_run(store, run_id)
     new = store.spark.createDataFrame([(run_id, type, json.dumps(payload))], "run_id string, type string, payload string").withColumn("at", F.current_timestamp())
-    return store.append("run_events", runs.appended(store.table("run_events").where(F.col("run_id") == run_id), new, "at"))
+    return store.append("run_events", runs.appended(store.of("run_events", run_id), new, "at"))
 
 
 def _complete(store: Store, run_id: str, status: str, result) -> DataFrame:
@@ -189,7 +189,7 @@ def _complete(store: Store, run_id: str, status: str, result) -> DataFrame:
 
 
 def _events(store: Store, run_id: str) -> DataFrame:
-    own = store.table("run_events").where(F.col("run_id") == run_id)
+    own = store.of("run_events", run_id)
     return runs.events_json(_known_run(store, run_id), own, "id", "run_id", runs.event_item(), F.col("seq").isNotNull(), "seq").select("value")
 
 

@@ -34,6 +34,8 @@ SCHEMA_VERSION = _row(("version", _S), ("applied_at", _TS))
 
 #: The logs of a store.
 LOGS = {"runs": RUN, "run_events": RUN_EVENT, "completions": COMPLETION, "memories": MEMORY}
+#: The column by which each is looked up.
+KEYS = {"runs": "id", "run_events": "run_id", "completions": "run_id", "memories": "id"}
 
 #: Versions of the tables, in order; a version is added and never changed.
 VERSIONS = {"0001_runs": ["runs", "run_events"], "0002_memory": ["memories"], "0003_runs_immutable": []}

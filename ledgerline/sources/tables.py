@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import is_migration, version_of
-from ..schemas import LOGS, SCHEMA_VERSION
+from ..schemas import KEYS, LOGS, SCHEMA_VERSION
+from .buckets import BucketedLog
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,16 +39,26 @@ def log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 @dataclass(frozen=True)
 class Store:
-    """The logs of :data:`~ledgerline.schemas.LOGS` in one folder that the cluster shares. Each log has one writer at a time."""
+    """The logs of :data:`~ledgerline.schemas.LOGS` in one folder that the cluster shares, each bucketed by its key. Each
+    log has one writer at a time, compaction included."""
 
     spark: SparkSession
     folder: str
+    #: Batches of a bucket from which an append merges them.
+    most: int = 64
+
+    def log(self, name: str) -> BucketedLog:
+        return BucketedLog(self.spark, f"{self.folder}/{name}", LOGS[name], KEYS[name])
 
     def table(self, name: str) -> DataFrame:
-        return log(self.spark, f"{self.folder}/{name}", LOGS[name])
+        return self.log(name).rows()
+
+    def of(self, name: str, value: str) -> DataFrame:
+        """The rows of one key; only its bucket is listed and read."""
+        return self.log(name).of(value)
 
     def append(self, name: str, rows: DataFrame) -> DataFrame:
-        return append(rows, f"{self.folder}/{name}", LOGS[name])
+        return self.log(name).append(rows, self.most)
 
 
 def register(views: Mapping[str, DataFrame]) -> None:
