@@ -22,10 +22,11 @@ def call_error(owner: Column, subject: Column, allowed: Column) -> Column:
     return F.when(owner.isNull(), "UNKNOWN_TOOL").when(subject.isNull(), "UNAUTHENTICATED").when(~allowed, "QUOTA_EXCEEDED")
 
 
-def journal(calls: DataFrame, error: Column, at: str = "at", ended: str | None = None) -> DataFrame:
-    """Rows (at, subject, tool, owner, outcome, error_code, duration_ms) of calls with these columns and their end."""
+def journal(calls: DataFrame, error: Column, at: str = "at", ended: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (at, subject, tool, owner, outcome, error_code, duration_ms) of calls with these columns and their end, after the columns
+    ``keep``."""
     spent = duration_ms(F.col(at), F.col(ended)) if ended else F.lit(0).cast("long")
-    return calls.select(iso_time(F.col(at)).alias("at"), F.coalesce("subject", F.lit("anonymous")).alias("subject"), "tool", "owner", F.when(error.isNull(), "ok").otherwise("error").alias("outcome"), error.alias("error_code"), spent.alias("duration_ms"))
+    return calls.select(*keep, iso_time(F.col(at)).alias("at"), F.coalesce("subject", F.lit("anonymous")).alias("subject"), "tool", "owner", F.when(error.isNull(), "ok").otherwise("error").alias("outcome"), error.alias("error_code"), spent.alias("duration_ms"))
 
 
 def rollup(entries: DataFrame, *by: str) -> DataFrame:

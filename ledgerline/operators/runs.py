@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.values import iso_time, json_value, ordered_json
+from ..schemas import EVENT_ORDER
 
 
 def created(requests: DataFrame, now: Column | None = None) -> DataFrame:
@@ -94,3 +95,25 @@ def lifecycle(events: DataFrame) -> DataFrame:
     status = F.min_by(F.get_json_object("payload", "$.status"), F.when(F.col("type") == "run.completed", F.col("seq"))).alias("_status")
     seen = events.groupBy("run_id").agg(F.count("*").alias("n_events"), F.max("seq").alias("last_seq"), F.max((F.col("type") == "output.validated").cast("int")).alias("validated"), done, status)
     return seen.select("run_id", F.coalesce(F.when(F.col("completed_seq").isNotNull(), F.coalesce("_status", F.lit("invalid"))), F.lit("running")).alias("status"), "n_events", (F.col("validated") == 1).alias("validated"), F.coalesce(F.col("last_seq") > F.col("completed_seq"), F.lit(False)).alias("late_events"))
+
+
+def order_fault(kind: Column, before: Column, first: Column, gap: Column, late: Column) -> Column:
+    """What is wrong with an event's place in its run, else null: ``late`` after the run's completion, a ``gap`` in the sequence, or
+    a type that may not follow the one ``before``; ``first`` tells the first event of a run."""
+    allowed = F.create_map(*[F.lit(x) for t, after in EVENT_ORDER.items() if t for x in (t, ",".join(after))])
+    fits = F.when(first, kind.isin(EVENT_ORDER[None])).otherwise(F.array_contains(F.split(F.get(F.array(F.element_at(allowed, before)), F.lit(0)), ","), kind))
+    wrong = F.concat(kind, F.lit(" after "), F.when(first, F.lit("nothing")).otherwise(before))
+    return F.when(late, F.concat(kind, F.lit(" after completion"))).when(gap, "gap in the sequence").when(~F.coalesce(fits, F.lit(False)), wrong)
+
+
+def order_faults(events: DataFrame) -> DataFrame:
+    """Each event (run_id, seq, type) and the ``fault`` of its place, by the order in which a run's events follow each other. An event
+    meets the one before it by run and number, so that a run with very many events is dealt to many tasks; numbers
+    are from 0 and unique in a run."""
+    own = events.select("run_id", "seq", "type")
+    before = own.select("run_id", (F.col("seq") + 1).alias("seq"), F.col("type").alias("before"))
+    done = own.where("type = 'run.completed'").groupBy("run_id").agg(F.min("seq").alias("done"))
+    met = own.join(before, ["run_id", "seq"], "left").join(done, "run_id", "left")
+    first = F.col("seq") == 0
+    fault = order_fault(F.col("type"), F.col("before"), first, ~first & F.col("before").isNull(), F.coalesce(F.col("seq") > F.col("done"), F.lit(False)))
+    return met.select("run_id", "seq", "type", fault.alias("fault"))

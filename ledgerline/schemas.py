@@ -7,6 +7,16 @@ from pyspark.sql import types as T
 # The vocabularies of statuses, event types and error codes.
 RUN_STATUSES = ["running", "ok", "needs_clarification", "failed"]
 EVENT_TYPES = ["run.created", "worker.started", "worker.exited", "output.validated", "output.invalid", "run.completed"]
+#: What may follow an event in a run's log; None is the beginning.
+EVENT_ORDER = {
+    None: ["run.created"],
+    "run.created": ["worker.started"],
+    "worker.started": ["worker.exited"],
+    "worker.exited": ["output.validated", "output.invalid", "run.completed"],
+    "output.validated": ["run.completed"],
+    "output.invalid": ["run.completed"],
+    "run.completed": [],
+}
 DATA_ERRORS = ["NOT_FOUND", "INVALID_INPUT", "INVALID_OPERATION"]
 CALL_ERRORS = ["UNKNOWN_TOOL", "UNAUTHENTICATED", "QUOTA_EXCEEDED", "SERVICE_UNAVAILABLE"]
 RESULT_ERRORS = ["INVALID_INPUT", "NEEDS_CLARIFICATION", "WORKER_UNAVAILABLE", "WORKER_FAILED", "WORKER_TIMEOUT", "WORKER_OUTPUT_INVALID", "DATA_UNAVAILABLE", "INTERNAL"]

@@ -63,11 +63,16 @@ class BucketedLog:
             return self._empty()
         return self._read(f"{self.path}/{name}").where(F.col(self.key) == F.lit(value)).select(*self.schema.names)
 
-    def append(self, rows: DataFrame, most: int | None = None) -> DataFrame:
+    def append(self, rows: DataFrame, most: int | None = None, batch: str | None = None) -> DataFrame:
         """Append rows in the columns of the schema and return them as they were written: ids and times that rows make when they
         are computed are read back, not made again. A key with very many rows is written by several tasks. With ``most`` the buckets with more
-        batches than that are compacted afterwards, but for the new batch."""
-        batch = uuid.uuid4().hex
+        batches than that are compacted afterwards, but for the new batch. A batch that is given a name replaces the one of that name."""
+        if batch:
+            for bucket, names in self.batches().items():
+                if batch in names:
+                    files, where = self._place(f"bucket={bucket}", f"batch={batch}")
+                    files.delete(where, True)
+        batch = batch or uuid.uuid4().hex
         typed = rows.select(*[F.col(f.name).cast(f.dataType.simpleString()) for f in self.schema]).withColumn("bucket", self._bucket()).withColumn("batch", F.lit(batch))
         typed.hint("rebalance", "bucket").write.partitionBy("bucket", "batch").mode("append").parquet(self.path)
         if most:

@@ -16,16 +16,16 @@ from ..operators.quota import json_key, window_starts
 STATE = T.StructType([T.StructField("start", T.LongType()), T.StructField("used", T.LongType())])
 
 
-def decision(ident: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField("key", T.StringType()), T.StructField("call_id", ident), T.StructField("window_start", T.LongType()), T.StructField("allowed", T.BooleanType())])
+def decision(ident: T.DataType, carried: tuple[T.StructField, ...] = ()) -> T.StructType:
+    return T.StructType([T.StructField("key", T.StringType()), T.StructField("call_id", ident), T.StructField("window_start", T.LongType()), T.StructField("allowed", T.BooleanType()), *carried])
 
 
 class AnchoredQuota(StatefulProcessor):
     """Decides calls (key, call_id, us) in the order in which they arrive; in one batch by time and id. A call without a time
-    is denied and leaves the window as it is."""
+    is denied and leaves the window as it is. The columns ``carry`` go along."""
 
-    def __init__(self, limit: int, window_ms: int):
-        self.limit, self.width = limit, window_ms * 1000
+    def __init__(self, limit: int, window_ms: int, carry: tuple[str, ...] = ()):
+        self.limit, self.width, self.carry = limit, window_ms * 1000, list(carry)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.window = handle.getValueState("window", STATE)
@@ -35,7 +35,7 @@ class AnchoredQuota(StatefulProcessor):
         none = calls["us"].isna()
         late, calls = calls[none], calls[~none]
         if len(late):
-            yield pd.DataFrame({"key": key[0], "call_id": late["call_id"], "window_start": pd.array([None] * len(late), "Int64"), "allowed": False})
+            yield pd.DataFrame({"key": key[0], "call_id": late["call_id"], "window_start": pd.array([None] * len(late), "Int64"), "allowed": False, **{c: late[c] for c in self.carry}})
         if not len(calls):
             return
         known = self.window.exists()
@@ -46,14 +46,15 @@ class AnchoredQuota(StatefulProcessor):
         one = np.array([0, len(line)])
         starts, numbers = window_starts(line, np.zeros(len(line), np.int64), one, self.width, np.array([start]), np.array([known]), np.array([used]))
         self.window.update((int(starts[-1]), int(numbers[-1])))
-        yield pd.DataFrame({"key": key[0], "call_id": calls["call_id"], "window_start": starts, "allowed": numbers <= self.limit})
+        yield pd.DataFrame({"key": key[0], "call_id": calls["call_id"], "window_start": starts, "allowed": numbers <= self.limit, **{c: calls[c] for c in self.carry}})
 
     def close(self) -> None:
         pass
 
 
-def decide(calls: DataFrame, keys: list[str], at: str, ident: str, limit: int, window_ms: int) -> DataFrame:
+def decide(calls: DataFrame, keys: list[str], at: str, ident: str, limit: int, window_ms: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """Decisions over a stream of calls: ``key`` (the keys as JSON, as in the batch form), ``call_id`` (``ident`` as it
-    is), ``window_start`` in microseconds and ``allowed``. The session must use the RocksDB state store."""
-    keyed = calls.select(json_key(keys).alias("key"), F.col(ident).alias("call_id"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"))
-    return keyed.groupBy("key").transformWithStateInPandas(AnchoredQuota(limit, window_ms), decision(calls.schema[ident].dataType), "Append", "None")
+    is), ``window_start`` in microseconds and ``allowed``, then the columns ``carry``. The session must use the RocksDB state store."""
+    keyed = calls.select(json_key(keys).alias("key"), F.col(ident).alias("call_id"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), *carry)
+    out = decision(calls.schema[ident].dataType, tuple(calls.schema[c] for c in carry))
+    return keyed.groupBy("key").transformWithStateInPandas(AnchoredQuota(limit, window_ms, carry), out, "Append", "None")
