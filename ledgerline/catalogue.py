@@ -7,11 +7,12 @@ conversations for a run log with its own sequence, documents and embeddings for
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import search_queries
+from . import flow_queries, search_queries
 from .functions import text, values
 from .functions.vector import cosine, has_dimension
 from .operators import audit, checks, memory, quota, results, runs
@@ -22,6 +23,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Calls allowed in a window, and its width, of the quota queries.
 LIMIT, WINDOW_MS = 2, 3 * 24 * 3600 * 1000
 RUN, NEEDLE, RECENT = 7, "en", 5
+#: What the recall tool is asked for.
+RECALLED = ["the", "É", "%", "UND"]
 
 
 def _numbered_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,7 +42,7 @@ def run_get(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_events_json(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.events_json(table(spark, sf, "orders"), _numbered_lines(spark, sf), "o_orderkey", "l_orderkey", _item(), F.col("seq").isNotNull())
+    return runs.events_json(table(spark, sf, "orders"), _numbered_lines(spark, sf), "o_orderkey", "l_orderkey", _item(), F.col("seq").isNotNull(), None)
 
 
 def run_events_payload(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,7 +51,7 @@ def run_events_payload(spark: SparkSession, sf: str) -> DataFrame:
     props = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"all":['), F.col("props"), F.lit(',null,"x"],"in":{"props":'), F.col("props"), F.lit("}}"))).when(F.col("event_id") % 3 == 1, F.concat(F.col("props"), F.lit("}"))).otherwise(F.col("props"))
     calls = table(spark, sf, "events").select(F.col("user_id").alias("run_id"), "event_id", F.col("event_type").alias("type"), props.alias("payload"), F.col("ts").alias("at"))
     numbered = runs.numbered(calls, "run_id", "at", "event_id")
-    return runs.events_json(table(spark, sf, "customer"), numbered, "c_custkey", "run_id", runs.event_item(), F.col("seq").isNotNull(), "seq")
+    return runs.events_json(table(spark, sf, "customer"), numbered, "c_custkey", "run_id", runs.event_item(), F.col("seq").isNotNull())
 
 
 def event_seq_assign(spark: SparkSession, sf: str) -> DataFrame:
@@ -215,15 +218,10 @@ def call_properties(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def recall_envelopes(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers of the recall tool, one a language and hundred ids, as JSON envelopes: found memories are data and evidence."""
-    docs = table(spark, sf, "documents").where(text.contains_ignoring_case(F.col("text"), "%"))
-    item = F.struct(F.col("doc_id").alias("id"), F.length("text").alias("size"))
-    found = docs.groupBy("lang", F.floor(F.col("doc_id") / 100).alias("page")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    seen = F.transform("items", lambda i: F.struct(F.lit("memory").alias("source"), i["id"].cast("string").alias("ref"), F.lit(None).cast("string").alias("excerpt")))
-    none = F.lit(None).cast("string")
-    zero = F.lit(0)
-    value = results.envelope(F.lit("ok"), F.col("items"), seen, F.col("lang"), zero, zero, zero, none, none)
-    return found.select("lang", "page", F.to_json(value).alias("answer"))
+    """The answer of the recall tool to each of a few queries, as a JSON envelope: found memories are data and evidence."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    answers = [results.recall_answer(memory.recall(docs, q, 20, newest="id"), F.lit(q)).select(F.lit(q).alias("query"), F.col("value").alias("answer")) for q in RECALLED]
+    return reduce(DataFrame.unionByName, answers)
 
 
 def runs_created(spark: SparkSession, sf: str) -> DataFrame:
@@ -241,9 +239,10 @@ def events_appended(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _settled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Users as runs and some of their calls as attempts to complete them: of unknown users, and with statuses that are not final."""
+    """Users as runs and their calls as attempts to complete them, some with statuses that are not final. Each fifth user is left out
+    of the runs, so that attempts of unknown ones are refused."""
     events = table(spark, sf, "events")
-    users = table(spark, sf, "customer").where("c_custkey < 120")
+    users = table(spark, sf, "customer").where("c_custkey % 5 != 0")
     known = users.select(F.col("c_custkey").alias("id"), F.lit("memory").alias("service"), F.lit("recall").alias("tool"), F.lit("null").alias("input"), F.lit("running").alias("status"), F.lit(None).cast("string").alias("result"), F.lit("2024-01-01").cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("completed_at"))
     status = F.when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "running")
     tries = events.select(F.col("user_id").alias("run_id"), status.alias("status"), F.col("props").alias("result"), F.col("ts").cast("timestamp").alias("at"), "event_id")
@@ -260,7 +259,7 @@ def completions_refused(spark: SparkSession, sf: str) -> DataFrame:
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with vectors as memories to insert: some texts are empty, some tags null, some vectors too short."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 10 != 0, F.substring("text", 1, 20)).otherwise("").alias("content"), F.when(F.col("doc_id") % 4 != 0, F.array("lang", F.when(F.col("doc_id") % 7 != 0, F.col("source")))).alias("tags"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 10 != 0, F.col("text")).otherwise("").alias("content"), F.when(F.col("doc_id") % 4 != 0, F.array("lang", F.when(F.col("doc_id") % 7 != 0, F.col("source")))).alias("tags"))
     cut = F.when(F.col("vec_id") % 9 == 0, F.slice("embedding", 1, 5)).otherwise(F.col("embedding"))
     return docs.join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), cut.alias("embedding")), "id", "left")
 
@@ -352,7 +351,7 @@ QUERIES: dict[str, Query] = {
         container_names, service_variables, call_properties, recall_envelopes,
         evidence_explode, iso_timestamps, duration_ms, result_invariants,
     )
-} | search_queries.QUERIES
+} | search_queries.QUERIES | flow_queries.QUERIES
 
 _LINES = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) - 1)::INT AS seq FROM lineitem"
 _ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
@@ -364,7 +363,7 @@ f AS (SELECT user_id, event_type, event_id, us, n, us AS start FROM o WHERE n =
 q AS (SELECT event_id, (row_number() OVER (PARTITION BY user_id, event_type, start ORDER BY us, event_id))::INT AS used FROM f)"""
 _JOURNAL = f"""j AS (SELECT {_ISO.format("ts")} AS at, user_id::VARCHAR AS subject, event_type AS tool, owner,
   CASE WHEN owner IS NULL THEN 'UNKNOWN_TOOL' WHEN used > {LIMIT} THEN 'QUOTA_EXCEEDED' END AS error_code FROM events JOIN q USING (event_id) LEFT JOIN (SELECT * FROM {_TOOLS}) ON tool = event_type)"""
-_ITEMS = """WITH i AS (SELECT doc_id AS id, CASE WHEN doc_id % 10 <> 0 THEN text[1:20] ELSE '' END AS content, doc_id % 4 <> 0 AS tagged, lang, source, CASE WHEN vec_id % 9 = 0 THEN 5 WHEN vec_id IS NOT NULL THEN 64 END AS n,
+_ITEMS = """WITH i AS (SELECT doc_id AS id, CASE WHEN doc_id % 10 <> 0 THEN text ELSE '' END AS content, doc_id % 4 <> 0 AS tagged, lang, source, CASE WHEN vec_id % 9 = 0 THEN 5 WHEN vec_id IS NOT NULL THEN 64 END AS n,
   coalesce(content = '' OR (doc_id % 4 <> 0 AND doc_id % 7 = 0) OR vec_id % 9 = 0, false) OR content IS NULL AS bad FROM documents LEFT JOIN embeddings ON doc_id = vec_id)"""
 #: Spark's size of a null array.
 _NO_VECTOR = "NULL"
@@ -409,8 +408,8 @@ SELECT file, substr(file, 1, 4) AS version FROM f WHERE regexp_full_match(file,
     "container_names": "SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_.-]', '-', 'g') AS name FROM pages",
     "service_variables": "SELECT DISTINCT source, upper(source) || '_URL' AS variable FROM documents",
     "call_properties": "SELECT event_id, json_valid(props || CASE WHEN event_id % 7 = 0 THEN '}' ELSE '' END) AS valid FROM events",
-    "recall_envelopes": """WITH m AS (SELECT lang, doc_id // 100 AS page, doc_id, length(text) AS size FROM documents WHERE contains(lower(text), '%'))
-SELECT lang, page, to_json({'status': 'ok', 'data': list({'id': doc_id, 'size': size} ORDER BY doc_id), 'evidence': list({'source': 'memory', 'ref': doc_id::VARCHAR} ORDER BY doc_id), 'run_id': lang, 'cost': {'input_tokens': 0, 'output_tokens': 0, 'usd': 0.0}})::VARCHAR AS answer FROM m GROUP BY lang, page""",
+    "recall_envelopes": " UNION ALL ".join(f"""SELECT '{q}' AS query, to_json({{'status': 'ok', 'data': list({{'id': doc_id::VARCHAR, 'content': text, 'score': 1.0::DOUBLE}} ORDER BY doc_id DESC), 'evidence': list({{'source': 'memory', 'ref': doc_id::VARCHAR, 'excerpt': text}} ORDER BY doc_id DESC), 'run_id': '{q}', 'cost': {{'input_tokens': 0, 'output_tokens': 0, 'usd': 0.0}}}})::VARCHAR AS answer
+FROM (SELECT doc_id, text FROM documents WHERE contains(lower(text), lower('{q}')) ORDER BY doc_id DESC LIMIT 20)""" for q in RECALLED),
     "iso_timestamps": f"SELECT event_id, {_ISO.format('ts')} AS at FROM events",
     "duration_ms": "SELECT event_id, epoch_us(ts) // 1000 - epoch_us(TIMESTAMP '2024-01-01') // 1000 AS ms FROM events",
     "result_invariants": """SELECT event_id, CASE WHEN event_type = 'error' THEN NULL WHEN value <= 10 OR value IS NULL OR value > 90 THEN 'status ok requires data and no error' END AS breach,
@@ -420,11 +419,11 @@ SELECT lang, page, to_json({'status': 'ok', 'data': list({'id': doc_id, 'size':
 SELECT conv_id AS run_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 + known)::INT AS seq, 'worker.started' AS type, CASE WHEN role = 'user' THEN '{{"role":"user"}}' ELSE '{{}}' END AS payload, {_ISO.format("make_timestamp(turn * 1000000)")} AS at
 FROM conversations JOIN n USING (conv_id) WHERE turn >= 3""",
     "runs_settled": f"""WITH f AS (SELECT user_id, arg_min(CASE WHEN event_type = 'purchase' THEN 'ok' ELSE 'failed' END, (ts, event_id)) AS status, arg_min(props, (ts, event_id)) AS result, min(ts) AS at FROM events WHERE event_type IN ('purchase', 'error') GROUP BY user_id)
-SELECT c_custkey AS id, coalesce(status, 'running') AS status, result, {_ISO.format("f.at")} AS completed_at FROM customer LEFT JOIN f ON user_id = c_custkey WHERE c_custkey < 120""",
+SELECT c_custkey AS id, coalesce(status, 'running') AS status, result, {_ISO.format("f.at")} AS completed_at FROM customer LEFT JOIN f ON user_id = c_custkey WHERE c_custkey % 5 <> 0""",
     "completions_refused": """WITH t AS (SELECT event_id, user_id AS run_id, CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'running' END AS status, ts FROM events),
 r AS (SELECT *, status IN ('ok', 'failed') IS TRUE AS final, row_number() OVER (PARTITION BY run_id, status IN ('ok', 'failed') IS TRUE ORDER BY ts, event_id) AS place FROM t)
-SELECT event_id, run_id, status, CASE WHEN NOT final THEN 'INVALID_INPUT' WHEN run_id >= 120 OR run_id NOT IN (SELECT c_custkey FROM customer) THEN 'NOT_FOUND' ELSE 'INVALID_OPERATION' END AS error
-FROM r WHERE NOT final OR place > 1 OR run_id >= 120 OR run_id NOT IN (SELECT c_custkey FROM customer)""",
+SELECT event_id, run_id, status, CASE WHEN NOT final THEN 'INVALID_INPUT' WHEN run_id % 5 = 0 OR run_id NOT IN (SELECT c_custkey FROM customer) THEN 'NOT_FOUND' ELSE 'INVALID_OPERATION' END AS error
+FROM r WHERE NOT final OR place > 1 OR run_id % 5 = 0 OR run_id NOT IN (SELECT c_custkey FROM customer)""",
     "memories_inserted": f"""{_ITEMS} SELECT id, content, CASE WHEN tagged THEN lang || ',' || source ELSE '' END AS tags, coalesce(n, {_NO_VECTOR})::INT AS dimension, '2024-01-01T00:00:00.000Z' AS created_at FROM i WHERE NOT bad""",
     "memories_refused": f"{_ITEMS} SELECT id, 'INVALID_INPUT' AS error FROM i WHERE bad",
     "recall_search": f"SELECT doc_id, lang, 1.0::DOUBLE AS score FROM documents WHERE (lang = 'de' OR source = 'de') AND contains(lower(text), 'und') ORDER BY doc_id DESC LIMIT {memory.MOST}",
@@ -439,4 +438,4 @@ SELECT page_id, len(parts)::INT AS n, len(list_filter(parts, lambda p: split_par
     "spoken_errors": "SELECT DISTINCT upper(event_type) || '_NOT_' || user_id % 4 || '_FOUND' AS code, event_type || ' not_' || user_id % 4 || '_found' AS said FROM events",
     "run_ids": """WITH d AS (SELECT DISTINCT md5(source || '-' || lang) AS h FROM documents), u AS (SELECT h, concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) AS f FROM d)
 SELECT f AS run_id, true AS valid FROM u UNION ALL SELECT upper(f), true FROM u UNION ALL SELECT h, false FROM u UNION ALL SELECT f || '0', false FROM u""",
-} | search_queries.ORACLE_SQL
+} | search_queries.ORACLE_SQL | flow_queries.ORACLE_SQL

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import valid_json
 from ..schemas import RESULT_ERRORS
 
 
@@ -30,6 +31,32 @@ def evidence(answers: DataFrame, items: str, source: str, *keep: str) -> DataFra
     return answers.select(*keep, F.explode(items).alias("_item")).where("_item.id IS NOT NULL").select(*keep, F.lit(source).alias("source"), F.col("_item.id").alias("ref"), F.col("_item.content").alias("excerpt"))
 
 
+def evidence_of_answers(answers: DataFrame, answer: str, source: str, *keep: str) -> DataFrame:
+    """One row (source, ref, excerpt) for each record in JSON answers of any shape: an answer is a record or an array of them. A record
+    counts if its ``id`` is a string, whatever else it holds; its ``content`` is the excerpt if that is a string. Answers that are no
+    JSON, other values in an array and records without such an id give nothing."""
+    parsed = F.when(valid_json(F.col(answer)), F.try_parse_json(F.col(answer)))
+    listed = F.when(F.schema_of_variant(parsed).startswith("ARRAY"), parsed).otherwise(F.try_parse_json(F.concat(F.lit("["), F.col(answer), F.lit("]"))))
+    own = answers.select(*keep, F.when(parsed.isNotNull(), listed).alias("_answer")).where("_answer IS NOT NULL")
+    records = own.lateralJoin(answers.sparkSession.tvf.variant_explode(F.col("_answer").outer()).select(F.col("value").alias("_record")))
+
+    def text(path: str) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get("_record", path, "variant"))
+        return F.when(kind == "STRING", F.try_variant_get("_record", path, "string"))
+
+    return records.select(*keep, F.lit(source).alias("source"), text("$.id").alias("ref"), text("$.content").alias("excerpt")).where("ref IS NOT NULL")
+
+
+def recall_answer(found: DataFrame, run_id: Column | None = None, content: str = "content", key: str = "id") -> DataFrame:
+    """One row (value): the envelope of what a search found, as JSON; each row found is data and evidence."""
+    item = F.struct(F.col(key).cast("string").alias("id"), F.col(content).alias("content"), F.col("score"))
+    items = found.withColumn("_at", F.monotonically_increasing_id()).agg(F.array_sort(F.collect_list(F.struct("_at", item.alias("item")))).alias("rows"))
+    data = F.transform("rows", lambda r: r["item"])
+    seen = F.transform("rows", lambda r: F.struct(F.lit("memory").alias("source"), r["item"]["id"].alias("ref"), r["item"]["content"].alias("excerpt")))
+    none, zero = F.lit(None).cast("string"), F.lit(0)
+    return items.select(F.to_json(envelope(F.lit("ok"), data, seen, none if run_id is None else run_id, zero, zero, zero, none, none)).alias("value"))
+
+
 def cost_breach(cost: Column) -> Column:
     bad = (cost["input_tokens"] < 0) | (cost["output_tokens"] < 0) | (cost["usd"] < 0)
     return F.when(bad, "costs must not be negative")

@@ -71,12 +71,12 @@ def run(runs: DataFrame, ident) -> DataFrame:
     return runs.where(F.col("id") == F.lit(ident))
 
 
-def events_json(runs: DataFrame, events: DataFrame, run_key: str, event_key: str, item: Column, present: Column, by: str | None = None) -> DataFrame:
+def events_json(runs: DataFrame, events: DataFrame, run_key: str, event_key: str, item: Column, present: Column, by: str | None = "seq") -> DataFrame:
     """``runs.events`` for every run: its events as one JSON array, ``[]`` for a run without events.
 
-    ``item`` is a struct that begins with the sequence number, and ``by`` the name of that number if items have fields without an
-    order, such as parsed JSON; ``present`` tells events from missing ones. Events meet by run before the join, so
-    a run's events move once."""
+    ``item`` is a struct that begins with the sequence number, which is named ``by``; with None whole items are compared, which is
+    faster but impossible where a field, such as parsed JSON, has no order. ``present`` tells events from missing ones. Events meet by
+    run before the join, so a run's events move once."""
     gathered = events.where(present).groupBy(F.col(event_key).alias("_run")).agg(F.collect_list(item).alias("_items"))
     joined = runs.select(run_key).join(gathered, F.col(run_key) == F.col("_run"), "left")
     return joined.select(run_key, ordered_json(F.col("_items"), by).alias("value"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.nearest import nearest
+from .operators.text_index import TextIndex
 from .operators.vector_index import VectorIndex
 from .sources.scratch import scratch_path
 from .sources.tables import table
@@ -13,6 +14,8 @@ from .sources.tables import table
 #: Neighbours of a query. The vectors of the test tables point anywhere, so most of the cells are read for 90 % of all
 #: neighbours; for those of cosine ``CLOSE`` or more a few do.
 NEIGHBOURS, SHARE, FEW, CLOSE = 50, 0.75, 3, 0.8
+#: Texts that are looked for, rare and frequent, and how many of each are wanted.
+NEEDLES, RECENT = ["the", "UND", "é", "É", "ción", "100%", "###", "&&&", "license", "copyright", "@", "http", "zq", "Keit ", "password", ".\n", "\u00df", "mente que", "qqqq", "a b"], 5
 
 
 def _asked(vectors: DataFrame) -> DataFrame:
@@ -49,7 +52,14 @@ def index_recall(spark: SparkSession, sf: str) -> DataFrame:
     return seen.crossJoin(found).crossJoin(close).select("stored", "celled", "wanted", (F.col("recall") >= 0.9).alias("reached"), (F.col("close") >= 0.9).alias("close_reached"))
 
 
-QUERIES = {f.__name__: f for f in (nearest_vectors, index_search, index_recall)}
+def text_index_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest documents that hold each of some needles, by an index of character triples."""
+    index = TextIndex.build(table(spark, sf, "documents").select("doc_id", "text"), scratch_path(spark, "text-index"), "doc_id", "text")
+    needles = spark.createDataFrame([(n,) for n in NEEDLES], "needle string")
+    return index.search_many(needles, RECENT, "doc_id").select("needle", "rank", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (nearest_vectors, index_search, index_recall, text_index_search)}
 
 _COSINE = "list_cosine_similarity({}::DOUBLE[], {}::DOUBLE[])"
 
@@ -58,6 +68,8 @@ ORACLE_SQL = {
   (row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE.format('q.embedding', 'r.embedding')} DESC, r.vec_id))::INT AS rank FROM embeddings q, embeddings r WHERE q.vec_id % 20 = 0) WHERE rank <= {NEIGHBOURS}""",
     "index_search": f"""WITH q AS (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1)
 SELECT vec_id, label, round({_COSINE.format('embedding', 'v')}, 6) AS score FROM embeddings, q ORDER BY {_COSINE.format('embedding', 'v')} DESC, vec_id LIMIT {NEIGHBOURS}""",
+    "text_index_search": f"""WITH n(needle) AS (VALUES {", ".join("('" + n + "')" for n in NEEDLES)})
+SELECT * FROM (SELECT needle, (row_number() OVER (PARTITION BY needle ORDER BY doc_id DESC))::INT AS rank, doc_id FROM documents, n WHERE contains(lower(text), lower(needle))) WHERE rank <= {RECENT}""",
     "index_recall": f"""WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE vec_id % 20 = 0) AS q FROM embeddings)
 SELECT n AS stored, n AS celled, q * least(n, {NEIGHBOURS}) AS wanted, true AS reached, true AS close_reached FROM n""",
 }

@@ -61,7 +61,7 @@ def _bound(value) -> Column:
 
 def answer(spark: SparkSession, known: list[Statement], operation: str, values: Mapping[str, object]) -> DataFrame:
     """Run the first statement of an operation whose condition is met; a parameter that is not given is null. The answer of
-    a ``row`` or ``value`` has one row at most."""
+    a ``row`` or ``value`` has one row; where there is none that is a failure, ``NOT_FOUND``."""
     statement = next((s for s in known if s.operation == operation and (s.when is None or values.get(s.when) is not None)), None)
     if statement is None:
         raise ValueError(f"NOT_FOUND: unknown operation {operation}")
@@ -71,4 +71,10 @@ def answer(spark: SparkSession, known: list[Statement], operation: str, values:
         value = values.get(name)
         given[name] = _bound(json.dumps(value) if p != name and value is not None else value)
     out = spark.sql(statement.text, args=given)
-    return out if statement.returns == "rows" else out.select("value").limit(1) if statement.returns == "value" else out.limit(1)
+    if statement.returns == "rows":
+        return out
+    one = (out.select("value") if statement.returns == "value" else out).limit(1)
+    rows = one.collect()
+    if not rows:
+        raise ValueError(f"NOT_FOUND: {operation} found nothing")
+    return spark.createDataFrame(rows, one.schema)
