@@ -405,3 +405,39 @@ def test_quota_shuffles_its_calls_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     wide = [x for x in plan.splitlines() if "Exchange hashpartitioning(key" in x and "slice" in x and "REPARTITION" in x]
     assert len([x for x in wide if "ReusedExchange" not in x and "Reused" not in x]) == 1 and "ReusedExchange" in plan
+
+
+def test_vectors_that_are_not_finite_are_refused_and_never_found(spark, tmp_path):
+    store, nan, inf = Store(spark, str(tmp_path)), float("nan"), float("inf")
+    for bad in ([nan] * 384, [inf] + [0.0] * 383):
+        _fails("INVALID_INPUT", lambda bad=bad: DATA.execute("memory.insert", store, content="x", embedding=bad))
+        _fails("INVALID_INPUT", lambda bad=bad: DATA.execute("memory.search", store, query="", embedding=bad))
+    rows = [(1, [1.0, 0.0]), (2, [nan, 0.0]), (3, [inf, 1.0]), (4, [1e200, 1e200]), (5, [0.0, 0.0]), (6, [1.0, 1.0]), (7, [1.0, None])]
+    table = spark.createDataFrame(rows, "id int, embedding array<double>")
+    assert [(r.id, round(r.score, 6)) for r in memory.search_vector(table, [1.0, 0.0], 9).collect()] == [(1, 1.0), (6, 0.707107), (5, 0.0)]
+    items = table.selectExpr("'c' content", "cast(null as array<string>) tags", "embedding", "id")
+    assert {r.id for r in items.select("id", memory.insert_error(2).alias("e")).where("e IS NOT NULL").collect()} == {2, 3, 7}
+
+
+def test_run_ids_are_equal_whatever_their_case(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    made = DATA.one("runs.create", store, service="s", tool="t", input=None)
+    assert DATA.one("runs.get", store, run_id=made.id.upper()).id == made.id
+    event = DATA.one("runs.appendEvent", store, run_id=made.id.upper(), type="run.created")
+    assert event.run_id == made.id
+    assert json.loads(DATA.one("runs.events", store, run_id=made.id.upper()).value)[0]["payload"] == {}
+
+
+def test_vectors_of_json_are_strict(spark):
+    texts = ["[1,2.5]", "[1,2]x", "[1,null]", '[1,"a"]', "[]", "null", "7", "[NaN]", "[[1]]", None]
+    out = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", values.vector_of_json(F.col("t")).alias("v")).orderBy("i").collect()
+    assert [r.v for r in out] == [[1.0, 2.5], None, None, None, [], None, None, None, None, None]
+
+
+def test_payloads_stay_nested_and_completions_need_a_status(spark):
+    rows = [("a", 1, "run.completed", "{}"), ("a", 0, "run.created", '{"k":[1,{"x":null}]}'), ("b", 0, "run.created", "no json")]
+    events = spark.createDataFrame(rows, "run_id string, seq int, type string, payload string").withColumn("at", F.lit(T0))
+    known = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    found = {r.id: json.loads(r.value) for r in runs.events_json(known, events, "id", "run_id", runs.event_item(), F.col("seq").isNotNull()).collect()}
+    assert [e["payload"] for e in found["a"]] == [{"k": [1, {"x": None}]}, {}] and found["b"][0]["payload"] == "no json" and found["c"] == []
+    assert {r.run_id: r.status for r in runs.lifecycle(events).collect()} == {"a": "invalid", "b": "running"}
