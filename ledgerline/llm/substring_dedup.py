@@ -6,7 +6,7 @@ bucket of the minimiser; equal windows have equal minimisers, so each bucket cou
 by sorting. Where a minimiser is very common, its windows are told apart by their minimiser over longer runs as well:
 a histogram of minimisers over one text in sixteen plans this, and the plan changes no result.
 
-Texts are dealt to batches by a hash of their id and text. A batch sends a bucket one compressed block with
+Texts are dealt to batches by a hash of their id and text, and rows that repeat both very often to several. A batch sends a bucket one compressed block with
 each different super-k-mer once (with a mark if the batch has it twice), so a passage that a third of
 all texts share reaches its bucket once a batch. The bucket answers each batch with one bit a window. The
 batch reads its texts again from the same shuffle files and removes the words that marked windows cover.
@@ -20,16 +20,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import bound_arrow
+from .storage import bound_arrow, free_name
 from .textkit import Texts, mix, part, runs, slices, texts_of, word_hashes, words_of
 
 _BATCH_BYTES, _BUCKET_BYTES, _MOST_PARTS = 8 << 20, 6 << 20, 20_000
 #: Minimisers are counted by their top bits; of what is counted, one text in so many is read.
 _CELL_BITS, _ONE_IN = 16, 16
+#: Bytes that a row counts beside its text, and the share of all bytes from which rows that repeat id and text are divided: at most so
+#: many different ones are.
+_ROW_BYTES, _SHARE = 100, 50_000
 
 
 def _least_of(h: np.ndarray, k: int) -> np.ndarray:
@@ -218,13 +221,20 @@ def _cut(width: int, seed: int, buckets: int, heavy: np.ndarray) -> Callable:
     return cut
 
 
+def _repeated(docs: DataFrame, key: Column, text_col: str, total: int) -> DataFrame:
+    """Keys (_key) of rows that repeat id and text and would fill a batch, ``_SHARE`` at most, and the batches (_lots) that they need."""
+    limit = max(_BATCH_BYTES, total // _SHARE)
+    sizes = docs.select(key.alias("_key"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + _ROW_BYTES).alias("n")).groupBy("_key").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    return sizes.where((F.col("rows") > 1) & (F.col("n") > limit)).select("_key", F.least(F.col("rows"), F.ceil(F.col("n") / limit)).alias("_lots"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, seed: int = 4, n_words: str = "n_words", n_removed: str = "n_removed") -> DataFrame:
     """Remove each word that a ``width``-word window covers whose words also start somewhere else, in the
     same text or another. Windows are judged on the input, not on what is left.
 
     Returns the input's columns, ``text_col`` with the kept words joined by one space, and two counts. A
     column of the input that has the name of a count gives way to it. A null text gives an empty one and
-    counts of 0; a null id is an id like any other; repeated rows repeat each other and lose their passages;
+    counts of 0; a null id is an id like any other; repeated rows repeat each other and lose their passages, be they very many;
     an empty table gives an empty one. Names of other columns may be any. A text is walked whole in one task. Windows count as equal when two independent 64-bit hashes over
     all their words are.
     """
@@ -232,12 +242,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bound_arrow(spark)
     columns = [c for c in docs.columns if c.lower() not in (n_words.lower(), n_removed.lower())]
     rest = [c for c in columns if c != text_col]
-    total = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
+    total, count = (x or 0 for x in docs.select(F.sum(F.octet_length(text_col)), F.count("*")).first())
     batches, buckets = -(-total // _BATCH_BYTES) + 1, -(-3 * total // _BUCKET_BYTES) + 1
     parts = min(_MOST_PARTS, 2 * batches)
     heavy = _heavy(docs, id_col, text_col, width, seed, buckets)
-    batch = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(batches))
-    dealt = docs.select(batch.alias("_batch"), F.col(id_col).cast("string").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]).alias("_rest")).repartition(parts, "_batch")
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    # rows of one id and text are alike, so that it does not matter which of them goes to which batch
+    own, lots = free_name(docs, "_key"), free_name(docs, "_lots")
+    lot = F.pmod(F.monotonically_increasing_id(), F.col(lots))
+    named = docs.withColumn(own, key).join(F.broadcast(_repeated(docs, key, text_col, total + _ROW_BYTES * count).toDF(own, lots)), own, "left")
+    batch = F.pmod(F.when(F.col(lots) > 1, F.xxhash64(own, lot)).otherwise(F.col(own)), F.lit(batches))
+    dealt = named.select(batch.alias("_batch"), F.col(id_col).cast("string").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]).alias("_rest")).repartition(parts, "_batch")
     blocks = dealt.groupBy("_batch").applyInArrow(_blocks(width, seed, buckets, heavy), "bucket long, batch long, block binary")
     answers = blocks.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_count(width), "batch long, bucket long, marks binary")
     kinds = T.StructType([T.StructField("_rest", dealt.schema["_rest"].dataType), T.StructField("_kept", T.StringType()), T.StructField("_words", T.LongType()), T.StructField("_removed", T.LongType())])
