@@ -83,12 +83,12 @@ class TextIndex:
         return search_text(self.candidates(needle), needle, limit, self.content, newest, self.key)
 
     def search_many(self, needles: DataFrame, limit: int | None = None, newest: str = "created_at") -> DataFrame:
-        """The same for a table of different needles (needle): their rows with ``needle`` and ``rank``, from 1. Short needles meet all
-        ranges."""
-        short = needles.where(F.size(triples(F.col("needle"))) == 0)
-        every = self.texts().select("range").distinct()
-        ranges = self._ranges(needles).unionByName(short.join(F.broadcast(every.agg(F.collect_set("range").alias("r")))).select("needle", F.explode("r").alias("range")))
-        texts = self.texts().join(ranges, "range").drop("range")
-        found = texts.where(F.contains(F.lower(F.col(self.content)), F.lower(F.col("needle"))))
+        """The same for a table of different needles (needle): their rows with ``needle`` and ``rank``, from 1. Those of fewer than three
+        characters go to every text, as one list."""
+        holds = lambda needle: F.contains(F.lower(F.col(self.content)), F.lower(needle))
+        found = self.texts().join(self._ranges(needles), "range").where(holds(F.col("needle"))).drop("range")
+        short = needles.where(F.size(triples(F.col("needle"))) == 0).agg(F.collect_set("needle").alias("_short"))
+        read = self.texts().join(F.broadcast(short)).withColumn("needle", F.explode(F.filter("_short", holds))).drop("range", "_short")
+        found = found.unionByName(read)
         rank = F.row_number().over(W.partitionBy("needle").orderBy(F.col(newest).desc(), F.col(self.key)))
         return found.withColumn("rank", rank).where(F.col("rank") <= limit_of(limit))
