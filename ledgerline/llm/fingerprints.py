@@ -109,7 +109,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fingerprint. Rows without an id come last; rows that share an id go by a hash of their text; rows that
     are equal in both count as one document in the order, and each gets its result. One document is its own next.
     An empty table gives an empty one. Columns other than the two are not read, whatever their names. A very long text is
-    one value of a column, as are the arrays of its hashes.
+    one value of a column, as are the arrays of its hashes. The result is written, so that it does not keep the
+    shuffle of the texts.
     """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -122,7 +123,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heads = heads.select("to_id", "to_h", F.expr("substring(text, 1, int(to_n div 3))").alias("head"), F.col("codes").alias("next_codes")).dropDuplicates(["to_id", "to_h"])
     edited = F.concat(F.expr("substring(text, 1, length(text) - int(length(text) div 3))"), F.col("head"))
     both = coded.join(heads, F.col("id").eqNullSafe(F.col("to_id")) & (F.col("h") == F.col("to_h"))).withColumn("edited", edited).withColumn("edited_codes", bin_codes(F.col("edited")))
-    return both.select(
+    out = materialise(both.select(
         F.col("id").alias(id_col),
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
@@ -130,4 +131,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         packed(F.col("edited_codes")).alias("edited_fingerprint"),
         likeness(F.col("codes"), F.col("edited_codes")).alias("near_edited"),
         likeness(F.col("codes"), F.col("next_codes")).alias("near_next"),
-    )
+    ))
+    discard(before)
+    return out
