@@ -2,28 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the folder of ``spark.checkpoint.dir``; what is written there goes when the driver's JVM ends. It is
-    an error if the session names no such folder."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A new path under the folder of ``spark.checkpoint.dir``; what is written there goes when the driver's JVM ends. Only a local
+    session, whose tasks share the driver's disk, gets a folder of our own where none is named; on a cluster that is an error."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="ledgerline-")
+        context.setCheckpointDir(found)
     path = f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or as many more underscores before it as no column of ``df`` has, case ignored."""
     taken = {c.lower() for c in df.columns}
