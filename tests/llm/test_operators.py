@@ -408,6 +408,6 @@ def test_bounds_drop_no_link():
 def test_queries_have_the_columns_of_their_contract(spark):
     from ledgerline.llm.queries import QUERIES
 
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
     out = QUERIES["op9_fingerprints"](spark, "/root/testdata/sf0.001")
     assert out.columns[:1] == ["doc_id"] and out.where(F.col("near_edited").between(0, 1)).count() == out.count()
