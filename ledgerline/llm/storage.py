@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import bound_arrow as bound_arrow
+
 
 #: Tables that :func:`materialise` has written in this session and nothing has deleted.
 _written: list[DataFrame] = []
@@ -66,17 +68,6 @@ def _place(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def bound_arrow(spark: SparkSession, max_bytes: int = 4 << 20) -> None:
-    """Limit Arrow batches by bytes, so that a run of very long texts cannot fill a Python worker.
-
-    Spark reads the setting when a query runs, which is after an operator has returned its DataFrame. So it stays
-    set in the caller's session; a limit of the caller's own that is lower is left alone."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = (spark.conf.get(key) or "").rstrip("bB")
-    if not now.isdigit() or int(now) > max_bytes:
-        spark.conf.set(key, str(max_bytes))
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or as many more underscores before it as no column of ``df`` has, case ignored."""
     taken = {c.lower() for c in df.columns}

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import nearest as module
+from ledgerline.operators import vector_index
 from ledgerline.operators.memory import search_vector
 from ledgerline.operators.nearest import nearest
 from ledgerline.operators.vector_index import VectorIndex, fit
@@ -89,3 +92,45 @@ def test_centroids_are_units_without_empty_cells():
     assert np.allclose((c * c).sum(axis=1)[(c != 0).any(axis=1)], 1)
     assert len(np.unique((v @ c.T).argmax(axis=1))) >= 35
     assert len(fit(np.ones((10, 4)), 5)) == 1
+
+
+def _peak(work) -> float:
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_full_pair_of_blocks_needs_little_memory():
+    rng, d = np.random.default_rng(3), 64
+    lists = []
+    for count in (module.QUERY_BYTES // 8 // d, module.ROW_BYTES // 8 // d):
+        v = pa.ListArray.from_arrays(pa.array(np.arange(count + 1) * d, pa.int32()), pa.array(rng.normal(size=count * d)))
+        rows = pa.StructArray.from_arrays([pa.array(np.arange(count)), v], ["id", "v"])
+        lists.append(pa.ListArray.from_arrays(pa.array([0, count], pa.int32()), rows))
+    batch, seen = pa.RecordBatch.from_arrays(lists, ["asked", "held"]), []
+    assert _peak(lambda: seen.extend(b.num_rows for b in module._compare(50)([batch]))) < 60  # 421 MB with all products at once
+    assert sum(seen) == 50 * lists[0].value_lengths()[0].as_py()
+
+
+def test_cells_of_a_batch_are_found_in_parts():
+    rng = np.random.default_rng(4)
+    v, centroids, found = rng.normal(size=(3000, 16)), rng.normal(size=(2000, 16)), []
+    assert _peak(lambda: found.extend(best[:, 0] for _, best in vector_index._nearest_cells(v, centroids, 1))) < 30  # 45 MB is one number for each vector and cell
+    assert np.array_equal(np.concatenate(found), (v @ centroids.T).argmax(axis=1))
+
+
+@pytest.mark.parametrize("probes", [2, 9])
+def test_small_and_large_cells_in_blocks(spark, table, tmp_path, monkeypatch, probes):
+    monkeypatch.setattr(module, "ROW_BYTES", 70 * 48)
+    monkeypatch.setattr(module, "QUERY_BYTES", 200)
+    index = VectorIndex.build(table, str(tmp_path / "index"), cells=9)
+    first, parts = index._plan(9, 6)
+    assert parts.max() > 1 and len(set(first)) < 9 and index._plan(9, 6)[0].tolist() == first.tolist()
+    queries = table.where("id IN (0, 7, 120, 343, 346)")
+    found: dict = {}
+    for r in index.search_many(queries, 20, probes=probes).orderBy("query", "rank").collect():
+        found.setdefault(r.query, []).append((r.id, r.score))
+    assert found == {q.id: [(r.id, r.score) for r in index.search(q.embedding, 20, probes).collect()] for q in queries.collect() if q.embedding and len(q.embedding) == 6}
