@@ -47,8 +47,11 @@ def index_recall(spark: SparkSession, sf: str) -> DataFrame:
     index = _index(spark, sf)
     seen = index.rows().agg(F.count("*").alias("stored"), F.count("cell").alias("celled"))
     queries, probes = _asked(table(spark, sf, "embeddings")), int(SHARE * len(index.centroids()))
-    found = index.recall(queries, NEIGHBOURS, "vec_id", probes=probes)
-    close = index.recall(queries, NEIGHBOURS, "vec_id", probes=FEW, least=CLOSE).select(F.col("recall").alias("close"))
+    path = scratch_path(spark, "neighbours")
+    nearest(queries, index.rows(), NEIGHBOURS, "vec_id", "embedding", "vec_id", "embedding").write.parquet(path)
+    exact = spark.read.parquet(path)
+    found = index.recall(queries, NEIGHBOURS, "vec_id", probes=probes, exact=exact)
+    close = index.recall(queries, NEIGHBOURS, "vec_id", probes=FEW, least=CLOSE, exact=exact).select(F.col("recall").alias("close"))
     return seen.crossJoin(found).crossJoin(close).select("stored", "celled", "wanted", (F.col("recall") >= 0.9).alias("reached"), (F.col("close") >= 0.9).alias("close_reached"))
 
 
