@@ -1,19 +1,23 @@
 """Substring search by an index of character triples, which reads few of the texts.
 
 Texts are dealt to ranges of about a hundred by a hash of their key and stored in the order of ranges, in small row groups. The
-index says which triples of lower-case characters stand in which ranges. A text that holds a needle holds all its
+index says which triples of lower-case characters, as numbers, stand in which ranges. A text that holds a needle holds all its
 triples, so only ranges that have all of them are read, and their texts are tested. Needles of fewer than three characters have no
 triple: for them all texts are read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import bound_arrow
 from .memory import limit_of, search_text
 
 #: Texts of a range, about, buckets of triples, bytes of a row group, and ranges that are named in a filter; more are joined.
@@ -30,6 +34,25 @@ def triples(text: Column) -> Column:
     return F.get(F.transform(F.array(F.split(F.lower(text), "")), of), F.lit(0))
 
 
+def _codes(text: Column) -> Column:
+    """The triples of a text as numbers of three times 21 bits, as the index stores them."""
+    point = lambda x, i: F.ascii(F.substring(x, i, 1)).cast("long")
+    return F.transform(triples(text), lambda x: F.shiftleft(point(x, 1), 42) + F.shiftleft(point(x, 2), 21) + point(x, 3))
+
+
+def _codes_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (range, text), texts in lower case: the different codes of the texts of a range in a batch."""
+    for batch in batches:
+        found: dict[int, list[np.ndarray]] = {}
+        for where, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            points = np.frombuffer(text.as_buffer().to_pybytes().decode("utf-8", "replace").encode("utf-32-le"), dtype="<u4").astype(np.int64)
+            if len(points) > 2:
+                found.setdefault(where, []).append(np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:]))
+        for where, codes in found.items():
+            codes = np.unique(np.concatenate(codes))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), where, dtype=np.int32)), pa.array(codes)], ["range", "triple"])
+
+
 def _bucket(triple: Column) -> Column:
     return F.pmod(F.xxhash64(triple), F.lit(BUCKETS)).cast("int")
 
@@ -50,7 +73,9 @@ class TextIndex:
         ranges = -(-rows.count() // RANGE) or 1
         own = rows.drop("range").withColumn("range", F.pmod(F.xxhash64(key), F.lit(ranges)).cast("int"))
         own.hint("rebalance", "range").sortWithinPartitions("range").write.option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/texts")
-        stored = index.texts().select("range", F.explode(triples(F.col(content))).alias("triple")).distinct().withColumn("bucket", _bucket(F.col("triple")))
+        bound_arrow(rows.sparkSession)
+        lower = index.texts().where(F.col(content).isNotNull()).select("range", F.lower(F.col(content)).alias("text"))
+        stored = lower.mapInArrow(_codes_in, "range int, triple long").distinct().withColumn("bucket", _bucket(F.col("triple")))
         stored.hint("rebalance", "bucket").sortWithinPartitions("bucket", "triple").write.partitionBy("bucket").parquet(f"{path}/triples")
         return index
 
@@ -59,7 +84,7 @@ class TextIndex:
 
     def _ranges(self, needles: DataFrame) -> DataFrame:
         """Of each needle (needle) of three characters or more, the ranges that have all its triples."""
-        wanted = needles.select("needle", triples(F.col("needle")).alias("all")).where(F.size("all") > 0)
+        wanted = needles.select("needle", _codes(F.col("needle")).alias("all")).where(F.size("all") > 0)
         asked = wanted.select("needle", F.size("all").alias("n"), F.explode("all").alias("triple")).withColumn("bucket", _bucket(F.col("triple")))
         held = self.spark.read.parquet(f"{self.path}/triples")
         return asked.join(held, ["bucket", "triple"]).groupBy("needle", "n", "range").agg(F.count("*").alias("found")).where("found = n").select("needle", "range")
@@ -67,7 +92,7 @@ class TextIndex:
     def candidates(self, needle: str) -> DataFrame:
         """The rows that a search for ``needle`` has to test."""
         asked = self.spark.createDataFrame([(needle,)], "needle string")
-        own = asked.select(F.explode(triples(F.col("needle"))).alias("triple"), F.size(triples(F.col("needle"))).alias("n")).withColumn("bucket", _bucket(F.col("triple"))).collect()
+        own = asked.select(F.explode(_codes(F.col("needle"))).alias("triple")).withColumn("bucket", _bucket(F.col("triple"))).collect()
         if not own:
             return self.texts().drop("range")
         buckets, named = sorted({r["bucket"] for r in own}), [r["triple"] for r in own]
@@ -85,10 +110,12 @@ class TextIndex:
     def search_many(self, needles: DataFrame, limit: int | None = None, newest: str = "created_at") -> DataFrame:
         """The same for a table of different needles (needle): their rows with ``needle`` and ``rank``, from 1. Those of fewer than three
         characters go to every text, as one list."""
-        holds = lambda needle: F.contains(F.lower(F.col(self.content)), F.lower(needle))
-        found = self.texts().join(self._ranges(needles), "range").where(holds(F.col("needle"))).drop("range")
-        short = needles.where(F.size(triples(F.col("needle"))) == 0).agg(F.collect_set("needle").alias("_short"))
-        read = self.texts().join(F.broadcast(short)).withColumn("needle", F.explode(F.filter("_short", holds))).drop("range", "_short")
-        found = found.unionByName(read)
+        read, low = self.texts(), F.lower(F.col(self.content))
+        # as the variable of an outer function the text is put in lower case once and not once a needle
+        holding = lambda names: F.explode(F.get(F.transform(F.array(low), lambda x: F.filter(names, lambda n: F.contains(x, F.lower(n)))), F.lit(0)))
+        named = self._ranges(needles).groupBy("range").agg(F.collect_list("needle").alias("_named"))
+        found = read.join(named, "range").withColumn("needle", holding(F.col("_named"))).drop("range", "_named")
+        short = needles.where(F.size(triples(F.col("needle"))) == 0).agg(F.collect_set("needle").alias("_named"))
+        found = found.unionByName(read.join(F.broadcast(short.where(F.size("_named") > 0))).withColumn("needle", holding(F.col("_named"))).drop("range", "_named"))
         rank = F.row_number().over(W.partitionBy("needle").orderBy(F.col(newest).desc(), F.col(self.key)))
         return found.withColumn("rank", rank).where(F.col("rank") <= limit_of(limit))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline import flow_queries
 from ledgerline.operators import checks, memory, results
 from ledgerline.operators.contracts import Contract, counts
+from ledgerline.operators import text_index
 from ledgerline.operators.text_index import RANGE, TextIndex, triples
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +79,11 @@ def test_text_index_equals_the_search_of_all_texts_and_reads_few(spark, tmp_path
     for r in index.search_many(spark.createDataFrame([(n,) for n in needles], "needle string"), 7, newest="id").orderBy("needle", "rank").collect():
         many.setdefault(r.needle, []).append(r.id)
     assert many == {n: ids for n in needles if (ids := [r.id for r in memory.search_text(table, n, 7, newest="id").collect()])}
+
+
+def test_stored_triples_are_the_numbers_of_those_asked_for(spark):
+    texts = ["ABab", "É日本", "x😀y😀x", "ab", "", "aaaa\n"]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2, 3, 4, 0], pa.int32()), pa.array([t.lower() for t in texts])], ["range", "text"])
+    stored = {(r["range"], r["triple"]) for b in text_index._codes_in([batch]) for r in b.to_pylist()}
+    asked = spark.createDataFrame(list(zip([0, 1, 2, 3, 4, 0], texts)), "range int, text string").select("range", F.explode(text_index._codes(F.col("text")))).collect()
+    assert stored == {tuple(r) for r in asked} and len(stored) == 8
